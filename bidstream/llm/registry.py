@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from bidstream.llm import mixing, secrets
+from bidstream.llm import fingerprints, mixing, secrets
 
 
 def queries() -> dict:
-    return {"op1_secrets": secrets.op1_secrets, "op8_mix": mixing.op8_mix}
+    return {"op1_secrets": secrets.op1_secrets, "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints}
 
 
 def oracle_sql() -> dict:
