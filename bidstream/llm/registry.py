@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from bidstream.llm import fingerprints, mixing, secrets
+from bidstream.llm import fingerprints, licenses, mixing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op1_secrets": secrets.op1_secrets, "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints}
+    return {
+        "op1_secrets": secrets.op1_secrets, "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality,
+        "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints,
+    }
 
 
 def oracle_sql() -> dict:
