@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from bidstream.llm import fingerprints, licenses, mixing, quality, secrets
+from bidstream.llm import fingerprints, licenses, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
-        "op1_secrets": secrets.op1_secrets, "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality,
-        "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op1_secrets": secrets.op1_secrets, "op3_pack": packing.op3_pack, "op5_licenses": licenses.op5_licenses,
+        "op6_quality": quality.op6_quality, "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
 
