@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bidstream.llm import fingerprints, licenses, mixing, neardup, packing, quality, secrets
+from bidstream.llm import fingerprints, licenses, mixing, neardup, packing, quality, secrets, substrings
 
 
 def queries() -> dict:
     return {
-        "op1_secrets": secrets.op1_secrets, "op3_pack": packing.op3_pack, "op5_licenses": licenses.op5_licenses,
-        "op6_quality": quality.op6_quality, "op8_mix": mixing.op8_mix, "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op1_secrets": secrets.op1_secrets, "op3_pack": packing.op3_pack, "op4_substrings": substrings.op4_substrings,
+        "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality, "op8_mix": mixing.op8_mix,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
