@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from bidstream.llm import fingerprints, licenses, mixing, neardup, packing, quality, secrets, substrings
+from bidstream.llm import fingerprints, licenses, lines, mixing, neardup, packing, quality, secrets, substrings
 
 
 def queries() -> dict:
     return {
-        "op1_secrets": secrets.op1_secrets, "op3_pack": packing.op3_pack, "op4_substrings": substrings.op4_substrings,
+        "op1_secrets": secrets.op1_secrets, "op2_lines": lines.op2_lines, "op3_pack": packing.op3_pack, "op4_substrings": substrings.op4_substrings,
         "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality, "op8_mix": mixing.op8_mix,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_near_duplicates": neardup.op10_near_duplicates,
@@ -15,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_lines": lines.OP2_SQL}
