@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from bidstream.llm import fingerprints, licenses, lines, mixing, neardup, packing, quality, secrets, substrings
+from bidstream.llm import fingerprints, licenses, lines, mixing, neardup, packing, quality, secrets, substrings, topk
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets, "op2_lines": lines.op2_lines, "op3_pack": packing.op3_pack, "op4_substrings": substrings.op4_substrings,
-        "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality, "op8_mix": mixing.op8_mix,
+        "op5_licenses": licenses.op5_licenses, "op6_quality": quality.op6_quality, "op7_top_k": topk.op7_top_k, "op8_mix": mixing.op8_mix,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_lines": lines.OP2_SQL}
+    return {"op2_lines": lines.OP2_SQL, "op7_top_k": topk.OP7_SQL}
