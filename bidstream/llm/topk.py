@@ -170,7 +170,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH x AS (
   SELECT vec_id, [floor(256 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), scores AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_sum([q.x[i] * v.x[i] FOR i IN range(1, len(q.x) + 1)])::BIGINT AS score
   FROM x q JOIN x v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
