@@ -3,9 +3,9 @@
 Texts of one shingle set are one class, and the class's least doc_id stands for it. Signatures of classes are cut into
 bands; classes that agree on a band are candidates. To stay linear in a bucket's size, each class is first paired
 with its bucket's least class only. Links found so join classes to components. Then buckets that still hold more than
-one component are compared in blocks, and only pairs across components that a sketch lets pass come out. A pair's
-signatures are compared batch by batch; it is dropped once the posterior probability of enough similarity is below a
-chosen miss probability, and what survives is confirmed on the full shingle sets.
+one component are compared in blocks, across components, and only pairs that survive come out. A pair's signatures
+are compared batch by batch; it is dropped once the posterior probability of enough similarity is below a chosen
+miss probability, and what survives is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -100,30 +100,27 @@ def _buffers(column) -> Iterator[bytes]:
         yield x.as_buffer() if x.is_valid else b""
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, h1, h2, sigs, bits = [], [], [], [], []
+        n, h1, h2, sigs = [], [], [], []
         for text in _buffers(batch.column(1)):
             s = shingle_set(text)
             n.append(len(s))
             h1.append(int(_mix(s * np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)))
             h2.append(int(_mix(s ^ np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)))
-            sig = signature(s)
-            sigs.append(sig.tobytes() if len(s) else None)
-            # one bit of each minimum, after a mix, as the least values themselves are small numbers
-            bits.append(np.packbits((_mix(sig.astype(np.uint64)) & np.uint64(1)).astype(bool)).tobytes() if len(s) else None)
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())]
+            sigs.append(signature(s).tobytes() if len(s) else None)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, schema=_PROFILE)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), h1 and h2 (hash of the set), sig and bits (null for an empty set)."""
+    """doc_id, n (size of the shingle set), h1 and h2 (hash of the set), sig (null for an empty set)."""
     small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), text_of().cast("binary").alias("text")).mapInArrow(
-        _profiles, "doc_id long, n long, h1 long, h2 long, sig binary, bits binary"
+        _profiles, "doc_id long, n long, h1 long, h2 long, sig binary"
     )
 
 
@@ -214,32 +211,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch], miss: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; pairs of a block's two sides, of different components, that the sketches let pass.
+    """Rows come sorted by block; pairs of a block's two sides, of different components, that are not given up.
 
-    Two sketches of HASHES bits agree on (1 + s) / 2 of them for similarity s, so as few as `least` for t have less
-    than `miss` probability.
+    All pairs compare their first STEP hashes, and only those that go on compare the next.
     """
-    t, total, least = (1 + PERCENT / 100) / 2, 0.0, 0
-    while True:
-        total += math.comb(HASHES, least) * t**least * (1 - t) ** (HASHES - least)
-        if total >= miss:
-            break
-        least += 1
+    least = fewest_matches(miss)
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         _, i, j = rows[0][:3]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
-        pick = lambda side, k: np.array([r[k] for r in side])
-        sketch = lambda side: np.unpackbits(np.array([np.frombuffer(r[7], dtype=np.uint8) for r in side]), axis=1).astype(np.float32)
         if not left or not right:
             return []
-        x, y, nx, ny = sketch(left), sketch(right), pick(left, 6), pick(right, 6)
-        agree = x @ y.T + (1 - x) @ (1 - y).T
-        ok = (agree >= least) & (pick(left, 5)[:, None] != pick(right, 5)[None, :])
-        ok &= 100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :])
-        va, vb = pick(left, 4), pick(right, 4)
-        return sorted({(min(a, b), max(a, b)) for a, b in zip(va[np.nonzero(ok)[0]].tolist(), vb[np.nonzero(ok)[1]].tolist(), strict=True)})
+        pick = lambda side, k: np.array([r[k] for r in side])
+        x, y = (np.array([np.frombuffer(r[7], dtype=np.uint32) for r in side]) for side in (left, right))
+        nx, ny = pick(left, 6)[:, None], pick(right, 6)[None, :]
+        agreed = sum((x[:, h, None] == y[None, :, h]).astype(np.int16) for h in range(STEP))
+        ok = (agreed >= least[STEP]) & (pick(left, 5)[:, None] != pick(right, 5)[None, :])
+        a, b = np.nonzero(ok & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)))
+        agreed = agreed[a, b].astype(int)
+        for h in range(STEP, HASHES, STEP):
+            agreed += (x[a, h : h + STEP] == y[b, h : h + STEP]).sum(axis=1)
+            on = agreed >= least[h + STEP]
+            a, b, agreed = a[on], b[on], agreed[on]
+        va, vb = pick(left, 4)[a].tolist(), pick(right, 4)[b].tolist()
+        return sorted({(min(p), max(p)) for p in zip(va, vb, strict=True)})
 
     held: list[tuple] = []
     for batch in batches:
@@ -265,7 +261,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     found = stored(profiles(docs), "near-profiles")
     known = found.where("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("v")), "near-classes")
-    reps = known.join(classes, ["h1", "h2", "n"]).where("doc_id = v").select("v", "h1", "h2", "n", "sig", "bits")
+    reps = known.join(classes, ["h1", "h2", "n"]).where("doc_id = v").select("v", "h1", "h2", "n", "sig")
     reps = stored(reps.dropDuplicates(["v", "h1", "h2", "n"]), "near-reps")
     width = 4 * ROWS
     band = F.posexplode(F.array(*[F.substring("sig", i * width + 1, width) for i in range(BANDS)])).alias("band", "part")
@@ -284,10 +280,10 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     mixed = grouped.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     blocks = (
-        grouped.join(mixed, "key").join(reps.select("v", "n", "bits"), "v")
+        grouped.join(mixed, "key").join(reps.select("v", "n", "sig"), "v")
         .withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "c", "n", "bits")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "c", "n", "sig")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
     across = blocks.mapInArrow(lambda batches: _across(batches, miss), "a long, b long").distinct()
