@@ -2,7 +2,7 @@
 
 A full suffix array has an entry for each byte. This one is sparse: of each string of LENGTH bytes, the ANCHOR-byte
 string in it that hashes lowest is its anchor, so equal strings have equal anchors at the same place, and one suffix
-in about a hundred is indexed, the one that starts at an anchor. Indexes order suffixes by a hash of their first
+in about 160 is indexed, the one that starts at an anchor. Indexes order suffixes by a hash of their first
 ANCHOR bytes; for matches that long, neighbours are the same as in lexicographic order. New batches of documents get
 an index, are merge-scanned against the indexes of all levels for suffixes that agree so far, and indexes of equal
 size are merged. What matches is then compared over the whole strings that the anchor stands for.
@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidstream.llm.common import documents, fits, small_batches, stored, text_of
 from bidstream.llm.neardup import _buffers, _mix, _powers
 
-LENGTH, ANCHOR = 400, 200
+LENGTH, ANCHOR = 400, 80
 WINDOW = LENGTH - ANCHOR + 1
+#: A place is a position shifted by 2 * PLACE_BITS, then how far before the anchor its strings start, then their number less 1.
+PLACE_BITS = 10
 #: Bytes that are hashed at once.
 SEGMENT = 1 << 19
 #: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group.
@@ -72,8 +74,8 @@ def _anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return number[first], anchor, a, b, key[anchor], _mix(_hash(sums, down, a, b + LENGTH) + shape)
 
 
-_ENTRY = pa.schema([("doc_id", pa.int64()), ("th", pa.int64())] + [(c, pa.int64()) for c in ("key", "ctx", "at", "first", "last")])
-_ENTRY_SQL = "doc_id long, th long, key long, ctx long, at long, first long, last long"
+_ENTRY = pa.schema([("doc_id", pa.int64()), ("th", pa.int64())] + [(c, pa.int64()) for c in ("key", "ctx", "place")])
+_ENTRY_SQL = "doc_id long, th long, key long, ctx long, place long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +88,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, at, first, last, key, ctx = _anchored(np.concatenate([d for _, _, d in held]), starts, ends)
             row, shift = np.array([r for r, _, _ in held])[number], np.array([s for _, s, _ in held])[number] - starts[number]
             held.clear()
+            place = (((at + shift) << PLACE_BITS | (at - first)) << PLACE_BITS) | (last - first)
             return pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)),
-                pa.array(at + shift), pa.array(first + shift), pa.array(last + shift),
+                batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(place),
             ], schema=_ENTRY)
 
         size = 0
@@ -110,11 +112,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def suffix_entries(docs: DataFrame, batches: int) -> DataFrame:
-    """The sparse suffixes of all texts, written by batch: doc_id, th, key, ctx, at, first, last, batch."""
+    """The sparse suffixes of all texts: doc_id, th, key, ctx, place, and the batch that the document is in."""
     small_batches(docs.sparkSession)
     return _texts(docs).mapInArrow(_entries, _ENTRY_SQL).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
 
 
+def _at(place: Column) -> Column:
+    return F.shiftright(place, 2 * PLACE_BITS)
+
+
+def _low(place: Column) -> Column:
+    """Where a place's strings start, counted from the anchor."""
+    return -F.shiftright(place, PLACE_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+
+def _high(place: Column) -> Column:
+    return _low(place) + place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+
 def new_index(entries: DataFrame) -> DataFrame:
     """The index of a batch: its suffixes' keys in order, and how many suffixes have each."""
     return stored(entries.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "suffix-index")
@@ -141,12 +156,12 @@ _CONTEXT_SQL = "key long, ctx long, at long, text binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of contexts: of a text and a list of (key, ctx, at, first, last)."""
+    """The bytes of contexts: of a text and a list of (key, ctx, at, low, high)."""
     for batch in batches:
         out = []
         for text, wanted in zip(_buffers(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             text = memoryview(text)
-            out += [(w["key"], w["ctx"], w["at"] - w["first"], bytes(text[w["first"] : w["last"] + LENGTH])) for w in wanted]
+            out += [(w["key"], w["ctx"], -w["low"], bytes(text[w["at"] + w["low"] : w["at"] + w["high"] + LENGTH])) for w in wanted]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "ctx", "at", "text"])
 
 
@@ -164,11 +179,14 @@ def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": np.full(len(h), key), "ctx": np.full(len(h), ctx), "start": start, "h": h.view(np.int64)})
 
 
+_RUNS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; (key, ctx, starts) of the strings that another context of the key has too."""
+    """Rows come sorted by key; (key, ctx, runs) of the strings that another context of the key has too."""
 
-    def group(rows: list[tuple]) -> list[tuple]:
-        each = [_strings(text, at) for _, _, at, text in rows]
+    def group(rows: dict[int, tuple]) -> list[tuple]:
+        each = [_strings(text, at) for _, _, at, text in rows.values()]
         start, h = np.concatenate([s for s, _ in each]), np.concatenate([x for _, x in each])
         of = np.repeat(np.arange(len(rows)), [len(s) for s, _ in each])
         order = np.lexsort((h, start))
@@ -176,45 +194,60 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.zeros(len(h), dtype=bool)
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
-        return [(rows[i][0], rows[i][1], start[twice & (of == i)].tolist()) for i in np.unique(of[twice])]
+        at = np.flatnonzero(twice)
+        if not len(at):
+            return []
+        first = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(of[at]) > 0)))
+        last = np.append(first[1:], len(at)) - 1
+        found: dict[int, list] = {}
+        for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True):
+            found.setdefault(int(of[a]), []).append({"low": int(start[a]), "high": int(start[b])})
+        named = list(rows.values())
+        return [(named[i][0], named[i][1], runs) for i, runs in found.items()]
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["key", "ctx", "starts"])
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), _RUNS))], names=["key", "ctx", "runs"])
 
-    held: list[tuple] = []
+    key, held = None, {}
     for batch in batches:
         out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
+            if row[0] != key:
                 out += group(held) if len(held) > 1 else []
-                held = []
-            held.append(row)
+                key, held = row[0], {}
+            held[row[1]] = row
         yield made(out)
     if len(held) > 1:
         yield made(group(held))
 
 
 def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, ctx, starts) for contexts that share some of their strings with another context of their key.
+    """(key, ctx, runs) for contexts that share some of their strings with another context of their key.
 
     groups: a row for each key and ctx, with the place of one such context and variants, the contexts of the key.
+    runs: where these strings start, counted from the anchor, from low to high.
     """
-    wanted = groups.where("variants > 1").groupBy("rep.doc_id", "rep.th").agg(
-        F.collect_list(F.struct("key", "ctx", "rep.at", "rep.first", "rep.last")).alias("wanted")
-    )
+    place = F.col("rep.place")
+    one = F.struct("key", "ctx", _at(place).alias("at"), _low(place).alias("low"), _high(place).alias("high"))
+    wanted = groups.where("variants > 1").groupBy("rep.doc_id", "rep.th").agg(F.collect_list(one).alias("wanted"))
     wanted = stored(wanted, "suffix-wanted")
     places = wanted.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     if fits(wanted.select(F.explode("wanted")), MOST_BROADCAST):
         places = F.broadcast(places)
-    one = texts.join(places, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
-    contexts = stored(one.mapInArrow(_cut, _CONTEXT_SQL).dropDuplicates(["key", "ctx"]), "suffix-contexts")
+    held = texts.join(places, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
+    contexts = held.mapInArrow(_cut, _CONTEXT_SQL)
     hot = groups.where(f"variants > {MOST_CONTEXTS}").select("key").distinct()
-    few = contexts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    out = few.mapInArrow(_repeated, "key long, ctx long, starts array<long>")
-    strings = contexts.join(hot, "key", "left_semi").mapInArrow(_all_strings, "key long, ctx long, start long, h long")
-    twice = strings.groupBy("key", "start", "h").agg(F.count("*").alias("n")).where("n > 1")
-    many = strings.join(twice, ["key", "start", "h"]).groupBy("key", "ctx").agg(F.collect_list("start").alias("starts"))
-    return out.unionByName(many)
+    few, runs = contexts, "array<struct<low: bigint, high: bigint>>"
+    if hot.limit(1).count():
+        contexts = stored(contexts, "suffix-contexts")
+        few = contexts.join(hot, "key", "left_anti")
+    out = few.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, f"key long, ctx long, runs {runs}")
+    if few is not contexts:
+        strings = contexts.join(hot, "key", "left_semi").mapInArrow(_all_strings, "key long, ctx long, start long, h long").distinct()
+        twice = strings.groupBy("key", "start", "h").agg(F.count("*").alias("n")).where("n > 1")
+        run = F.struct(F.col("start").alias("low"), F.col("start").alias("high"))
+        out = out.unionByName(strings.join(twice, ["key", "start", "h"]).groupBy("key", "ctx").agg(F.collect_list(run).cast(runs).alias("runs")))
+    return out
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -259,15 +292,17 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
         levels, found = add_batch(levels, entries.where(F.col("batch") == b), keep=b < batches - 1)
         keys = found if keys is None else keys.union(found)
     matched = stored(entries.drop("batch").join(keys.distinct(), "key", "left_semi"), "suffix-matched")
-    place = F.struct("doc_id", "th", "at", "first", "last")
-    groups = matched.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("rep"))
+    groups = matched.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("rep"))
     groups = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("variants")), "key"), "suffix-groups")
     texts = _texts(docs)
-    whole = matched.join(groups.where("n > 1").select("key", "ctx"), ["key", "ctx"])
-    spans = whole.select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
-    partly = matched.join(repeated_strings(groups, texts), ["key", "ctx"]).withColumn("start", F.explode("starts"))
-    spans = spans.union(partly.select("doc_id", "th", F.col("at") + F.col("start"), F.col("at") + F.col("start") + LENGTH))
-    by_row = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # all strings of a context that occurs twice are repeated; of others, those that another context shares
+    whole = F.array(F.struct(_low(F.col("rep.place")).alias("low"), _high(F.col("rep.place")).alias("high")))
+    runs = groups.where("n > 1").select("key", "ctx", whole.alias("runs"))
+    single = groups.where("n = 1 and variants > 1").select("key", "ctx")
+    runs = runs.unionByName(repeated_strings(groups, texts).join(single, ["key", "ctx"], "left_semi"))
+    spans = matched.join(runs, ["key", "ctx"]).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
+    span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
+    by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
     by_row = by_row.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     joined = texts.join(by_row, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda x: _remove(x, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

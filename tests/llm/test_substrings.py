@@ -63,7 +63,9 @@ def test_segments_do_not_show(monkeypatch):
     def strings():
         batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5], pa.int64()), "th": pa.array([6], pa.int64()), "text": pa.array([text], pa.binary())})
         rows = [r for b in substrings._entries(iter([batch])) for r in b.to_pylist()]
-        return {p: (r["key"], r["at"]) for r in rows for p in range(r["first"], r["last"] + 1)}
+        bits = substrings.PLACE_BITS
+        places = [(r["key"], r["place"] >> 2 * bits, r["place"] >> bits & (1 << bits) - 1, r["place"] & (1 << bits) - 1) for r in rows]
+        return {p: (key, at) for key, at, back, more in places for p in range(at - back, at - back + more + 1)}
 
     whole = strings()
     assert sorted(whole) == list(range(len(text) - substrings.LENGTH + 1))
