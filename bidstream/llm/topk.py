@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from bidstream.llm.common import small_batches, stored
 
 SCALE = 256
-#: Annuli of a pivot; vectors in a block, on average; queries that meet a block at once.
-ANNULI, BLOCK, QUERIES = 16, 2048, 4096
+#: Vectors in a block, on average; queries that meet a block at once; pivots and annuli of a pivot, at most.
+BLOCK, QUERIES, PIVOTS, ANNULI = 2048, 4096, 256, 64
+#: Queries whose visits are listed at once.
+LISTED = 64
 
 _HITS = "query_id long, vec_id long, score long"
 
@@ -86,14 +88,14 @@ def _best(ids: np.ndarray, q_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.
     return pd.DataFrame({"query_id": a, "vec_id": b, "score": c}, dtype="int64")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None, sample: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of `queries` the k best other rows of `vectors`, or all if fewer.
 
     Both have vec_id and embedding; queries are among the vectors. Vectors that are null, or have a null, NaN or
     infinite component, and those with a null id take no part; of rows with one id each is a candidate, and none is one
     of its own id's. Vectors of fewer components count as filled up with zeros. Products are exact up to 2 ** 63.
-    An empty table gives no rows. pivots and sample: clusters, and the vectors that they are fitted on; neither
-    changes the result.
+    An empty table gives no rows. pivots and sample: clusters (by default as many as give annuli of about half
+    a block), and the vectors that they are fitted on; neither changes the result.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -102,6 +104,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32,
     n, dims, longest = x.agg(F.count("*"), F.max(F.size("x")), F.max(square)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    size = max(1, 2 * n // BLOCK)
+    pivots = pivots or min(PIVOTS, max(1, round(2 * size**0.5)))
+    annuli = min(ANNULI, -(-size // pivots))
     centres = choose_pivots(x, pivots, sample, dims, longest)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,17 +116,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32,
             yield b.assign(pivot=near.astype(np.int32), distance=d[np.arange(len(b)), near])
 
     keys = stored(x.mapInPandas(keyed, "vec_id long, x array<bigint>, pivot int, distance double"), "topk-keys")
-    edges = F.percentile_approx("distance", [i / ANNULI for i in range(1, ANNULI)], 1000)
+    edges = F.percentile_approx("distance", [i / annuli for i in range(1, annuli)] or [1.0], 1000)
     # one row for each pivot
     rings = {r["pivot"]: r["edges"] for r in keys.groupBy("pivot").agg(edges.alias("edges")).collect()}
     ring_of = F.element_at(F.create_map(*[c for p, e in rings.items() for c in (F.lit(p), F.array(*map(F.lit, e)))]), F.col("pivot"))
     ringed = keys.withColumn("ring", F.size(F.filter(ring_of, lambda e: e < F.col("distance"))))
-    # at most ANNULI rows for each pivot
+    # at most `annuli` rows for each pivot, and one more at its very edge
     cells = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).toPandas()
     cells = cells.sort_values(["pivot", "ring"], ignore_index=True)
     cells["blocks"] = -(-cells["n"] // BLOCK)
-    blocks = F.element_at(F.create_map(*[F.lit(int(v)) for r in cells.itertuples() for v in (r.pivot * ANNULI + r.ring, r.blocks)]), F.col("cell"))
-    placed = ringed.withColumn("cell", F.col("pivot") * ANNULI + F.col("ring")).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    blocks = F.element_at(F.create_map(*[F.lit(int(v)) for r in cells.itertuples() for v in (r.pivot * (annuli + 1) + r.ring, r.blocks)]), F.col("cell"))
+    placed = ringed.withColumn("cell", F.col("pivot") * (annuli + 1) + F.col("ring")).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
     placed = stored(placed.select("vec_id", "x", "cell", "block"), "topk-index")
     asked = placed.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
     asked = stored(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", "block"), "topk-queries")
@@ -140,8 +145,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32,
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The blocks that may hold a score of at least the floor, but for the one that was searched."""
-        cell, low, high, count = (cells["pivot"] * ANNULI + cells["ring"]).to_numpy(), cells["low"].to_numpy(), cells["high"].to_numpy(), cells["blocks"].to_numpy()
-        for b in batches:
+        cell, low, high, count = (cells["pivot"] * (annuli + 1) + cells["ring"]).to_numpy(), cells["low"].to_numpy(), cells["high"].to_numpy(), cells["blocks"].to_numpy()
+        for b in (batch[i : i + LISTED] for batch in batches for i in range(0, len(batch), LISTED)):
             q = _matrix(b["q"], dims).astype(np.float64)
             d = _distances(np.column_stack([q, np.zeros(len(q))]), centres)[:, cells["pivot"]]
             gap = np.maximum(0, np.maximum(d - high, low - d))
