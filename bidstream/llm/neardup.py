@@ -2,7 +2,8 @@
 
 Texts of one shingle set are one class, and the class's least doc_id stands for it. Signatures of classes are cut into
 bands; classes that agree on a band are candidates. To stay linear in a bucket's size, each class is first paired
-with its bucket's least class only. Links found so join classes to components. Then buckets that still hold more than
+with its bucket's most central class only, the one with the largest buckets over all bands: of a text and its edited
+copies, that is the text. Links found so join classes to components. Then buckets that still hold more than
 one component are compared in blocks, across components, and only pairs that survive come out. A pair's signatures
 are compared batch by batch; it is dropped once the posterior probability of enough similarity is below a chosen
 miss probability, and what survives is confirmed on the full shingle sets.
@@ -266,9 +267,12 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     width = 4 * ROWS
     band = F.posexplode(F.array(*[F.substring("sig", i * width + 1, width) for i in range(BANDS)])).alias("band", "part")
     banded = stored(reps.select("v", band).select("v", F.xxhash64("band", "part").alias("key")), "near-bands")
-    buckets = banded.groupBy("key").agg(F.min("v").alias("least"), F.count("*").alias("m")).where("m > 1")
-    members = stored(banded.join(buckets, "key"), "near-members")
-    stars = members.where("v != least").select(F.col("least").alias("a"), F.col("v").alias("b")).distinct()
+    buckets = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = banded.join(buckets, "key")
+    central = members.groupBy("v").agg(F.sum("m").alias("weight"))
+    members = stored(members.join(central, "v"), "near-members")
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("v")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
+    stars = members.join(centres, "key").where("v != centre").select(F.least("centre", "v").alias("a"), F.greatest("centre", "v").alias("b")).distinct()
     links = confirmed(stars, reps, docs, miss)
     same_id = W.partitionBy("doc_id")
     ids = known.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "v").distinct()
