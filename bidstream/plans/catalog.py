@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bidstream.plans import ingest, revisions, searching, texts
+
+_MODULES = (searching, revisions, texts, ingest)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
