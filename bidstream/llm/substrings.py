@@ -291,7 +291,9 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     for b in range(batches):
         levels, found = add_batch(levels, entries.where(F.col("batch") == b), keep=b < batches - 1)
         keys = found if keys is None else keys.union(found)
-    matched = stored(entries.drop("batch").join(keys.distinct(), "key", "left_semi"), "suffix-matched")
+    # both sides of the joins below come straight from tables, so that Spark can split a hot key's rows
+    keys = stored(keys.distinct(), "suffix-keys")
+    matched = stored(entries.drop("batch").join(keys, "key", "left_semi"), "suffix-matched")
     groups = matched.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("rep"))
     groups = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("variants")), "key"), "suffix-groups")
     texts = _texts(docs)
@@ -299,7 +301,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     whole = F.array(F.struct(_low(F.col("rep.place")).alias("low"), _high(F.col("rep.place")).alias("high")))
     runs = groups.where("n > 1").select("key", "ctx", whole.alias("runs"))
     single = groups.where("n = 1 and variants > 1").select("key", "ctx")
-    runs = runs.unionByName(repeated_strings(groups, texts).join(single, ["key", "ctx"], "left_semi"))
+    runs = stored(runs.unionByName(repeated_strings(groups, texts).join(single, ["key", "ctx"], "left_semi")), "suffix-runs")
     spans = matched.join(runs, ["key", "ctx"]).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
     span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
     by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
