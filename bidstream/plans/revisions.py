@@ -196,7 +196,7 @@ SELECT id, min(c) AS component FROM reach GROUP BY id
 """)
 def identity_components(spark, d):
     keyed = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key")).distinct()
-    return identity.key_components(keyed, "id", "key").withColumnRenamed("node", "id")
+    return identity.key_components(keyed, "id", "key")
 
 
 RECORD = "id string, source string, ocid string, lot string, title string, amount double, currency string, first_seen long, last_seen long, versions long, changes long"
@@ -216,7 +216,7 @@ def reconcile_fold(spark, d):
     )
     rows = rows.withColumn("keys", identity.exact_keys(F.col("ocid"), F.col("refs"), F.array().cast("array<string>"), F.col("lot")))
     linked = identity.key_components(rows.select("id", F.explode("keys").alias("key")), "id", "key")
-    keyed = rows.join(linked, F.col("id") == F.col("node")).drop("node", "refs", "user_id")
+    keyed = rows.join(linked, "id").drop("refs", "user_id")
     return identity.folded(keyed, "component", RECORD, lambda r: [{k: v for k, v in x.items() if k != "keys"} for x in identity.reconciled(r)])
 
 

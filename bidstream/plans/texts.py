@@ -305,6 +305,6 @@ SELECT doc_id FROM r WHERE text NOT IN (SELECT text FROM r WHERE protected)
 def protected_pruning(spark, d):
     """What may be pruned: rows that no chain of shared texts ties to a protected one."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    linked = identity.key_components(docs, "doc_id", "key").withColumnRenamed("node", "doc_id")
+    linked = identity.key_components(docs, "doc_id", "key")
     safe = linked.join(docs.where("doc_id % 4 = 0").select("doc_id"), "doc_id", "left_semi").select("component").distinct()
     return linked.join(safe, "component", "left_anti").select("doc_id")
