@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FORMATS = ("dd/MM/yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyyMMdd")
-_MICRO = F.expr("INTERVAL 0.999999 SECOND")
 #: The last zone in which a day ends.
 LAST_ZONE = "-12:00"
 
@@ -55,7 +54,7 @@ def end_of_day(date: Column, zone: Column) -> Column:
     known = zone.isin(*known_zones())
     there = F.when(known, zoned_instant(last, F.when(known, zone).otherwise(F.lit("UTC"))))
     anywhere = F.timestamp_add("HOUR", F.lit(12), last.cast("timestamp"))
-    return F.coalesce(there, anywhere) + _MICRO
+    return F.coalesce(there, anywhere) + F.expr("INTERVAL 0.999999 SECOND")
 
 
 def deadline_instant(d: Column) -> Column:

@@ -31,7 +31,7 @@ def packed(versions: DataFrame, key: str, order: list[str], facts: str) -> DataF
     """
     w = W.partitionBy(key).orderBy(*order)
     after = F.lead(facts).over(w)
-    restore = F.map_filter(facts, lambda k, v: ~F.coalesce(F.element_at("after_", k).eqNullSafe(v), F.lit(False)))
+    restore = F.map_filter(facts, lambda k, v: ~(F.map_contains_key("after_", k) & F.element_at("after_", k).eqNullSafe(v)))
     remove = F.array_except(F.map_keys("after_"), F.map_keys(facts))
     return versions.withColumn("after_", after).withColumn("current", F.col("after_").isNull()).select(
         key, *order, "current", F.when(F.col("current"), F.col(facts)).alias(facts), F.when(~F.col("current"), restore).alias("restore"),

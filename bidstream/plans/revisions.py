@@ -28,7 +28,10 @@ def events(spark, d):
 
 
 #: A revision without a value, as publishers send them: every third.
-_SPARSE = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+def _sparse():
+    return F.when(F.col("event_id") % 3 != 0, F.col("value"))
+
+
 _SPARSE_SQL = "CASE WHEN event_id % 3 <> 0 THEN value END"
 
 
@@ -45,7 +48,7 @@ def latest_revision(spark, d):
 SELECT event_id, user_id, last_value({_SPARSE_SQL} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS known_value FROM events
 """)
 def latest_ignoring_nulls(spark, d):
-    rows = events(spark, d).select("event_id", "user_id", "at_us", _SPARSE.alias("known_value"))
+    rows = events(spark, d).select("event_id", "user_id", "at_us", _sparse().alias("known_value"))
     return ordered.filled_forward(rows, ["user_id"], ["at_us", "event_id"], ["known_value"]).drop("at_us")
 
 
@@ -55,7 +58,7 @@ SELECT user_id, arg_max(v, (ts, event_id)) FILTER (v IS NOT NULL) AS value, arg_
 """)
 def sparse_merge(spark, d):
     """Empty fields change nothing; each column's last fact stays."""
-    rows = events(spark, d).select("user_id", "at_us", "event_id", _SPARSE.alias("value"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("kind"))
+    rows = events(spark, d).select("user_id", "at_us", "event_id", _sparse().alias("value"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("kind"))
     return identity.merged_revisions(rows, ["user_id"], ["at_us", "event_id"], ["value", "kind"])
 
 
@@ -234,7 +237,7 @@ SELECT user_id, arg_max(({_SPARSE_SQL})::VARCHAR, (ts, event_id)) FILTER ({_SPAR
 """)
 def stream_replay_equal(spark, d):
     """Records after four batches that come in no order of time."""
-    rows = events(spark, d).select("user_id", "at_us", "event_id", _SPARSE.alias("value"), "event_type")
+    rows = events(spark, d).select("user_id", "at_us", "event_id", _sparse().alias("value"), "event_type")
     return incremental.replayed(rows, F.pmod(F.xxhash64("event_id"), F.lit(4)), 4, ["user_id"], ["at_us", "event_id"], ["value", "event_type"])
 
 
