@@ -4,9 +4,9 @@ Texts of one shingle set are one class, and the class's least doc_id stands for
 bands; classes that agree on a band are candidates. To stay linear in a bucket's size, each class is first paired
 with its bucket's most central class only, the one with the largest buckets over all bands: of a text and its edited
 copies, that is the text. Links found so join classes to components. Then buckets that still hold more than
-one component are compared in blocks, across components, and only pairs that survive come out. A pair's signatures
-are compared batch by batch; it is dropped once the posterior probability of enough similarity is below a chosen
-miss probability, and what survives is confirmed on the full shingle sets.
+one component are compared in blocks, across components, and links come out, no more than join a block's components.
+A pair's signatures are compared batch by batch; it is dropped once the posterior probability of enough similarity is
+below a chosen miss probability, and what survives is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -183,11 +183,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, miss: float) -
         .mapInArrow(lambda batches: _bayes(batches, miss), "a long, ha long, b long, hb long")
     )
     near = stored(near, "near-survivors")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if fits(ids, MOST_BROADCAST):
-        ids = F.broadcast(ids)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
-    texts = texts.mapInArrow(_with_hash, "v long, h long, text binary")
+    texts = _texts_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id"))).mapInArrow(_with_hash, "v long, h long, text binary")
     of = lambda s: texts.select(F.col("v").alias(s), F.col("h").alias(f"h{s}"), F.col("text").alias(f"text_{s}"))
     both = near.join(of("b"), ["b", "hb"]).join(of("a"), ["a", "ha"]).select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_exact, "a long, b long").distinct(), "near-links")
@@ -211,45 +207,117 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: Iterator[pa.RecordBatch], miss: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; pairs of a block's two sides, of different components, that are not given up.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
+    """The two sides of each block, of rows that come sorted by (key, i, j); one list twice if a part meets itself."""
+    held: list[dict] = []
+
+    def sides() -> tuple[list[dict], list[dict]]:
+        i, j = held[0]["i"], held[0]["j"]
+        left = [r for r in held if r["part"] == i]
+        return left, left if i == j else [r for r in held if r["part"] == j]
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(held[0][k] != row[k] for k in ("key", "i", "j")):
+                yield sides()
+                held = []
+            held.append(row)
+    if held:
+        yield sides()
+
+
+_ROW = [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("v", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("h1", pa.int64())]
+_ROW_SQL = "key long, i int, j int, part int, v long, c long, n long, h1 long"
+
+
+def _maybe(left: list[dict], right: list[dict]) -> np.ndarray:
+    """Pairs of different components whose set sizes leave enough similarity possible."""
+    pick = lambda side, k: np.array([r[k] for r in side])
+    nx, ny = pick(left, "n")[:, None], pick(right, "n")[None, :]
+    return (pick(left, "c")[:, None] != pick(right, "c")[None, :]) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+
+
+def _alive(batches: Iterator[pa.RecordBatch], miss: float) -> Iterator[pa.RecordBatch]:
+    """Of blocks of rows with signatures, the rows that have a pair across components that is not given up.
 
     All pairs compare their first STEP hashes, and only those that go on compare the next.
     """
     least = fewest_matches(miss)
-
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j = rows[0][:3]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
+    for left, right in _blocks(batches):
         if not left or not right:
-            return []
-        pick = lambda side, k: np.array([r[k] for r in side])
-        x, y = (np.array([np.frombuffer(r[7], dtype=np.uint32) for r in side]) for side in (left, right))
-        nx, ny = pick(left, 6)[:, None], pick(right, 6)[None, :]
+            continue
+        x, y = (np.array([np.frombuffer(r["sig"], dtype=np.uint32) for r in side]) for side in (left, right))
         agreed = sum((x[:, h, None] == y[None, :, h]).astype(np.int16) for h in range(STEP))
-        ok = (agreed >= least[STEP]) & (pick(left, 5)[:, None] != pick(right, 5)[None, :])
-        a, b = np.nonzero(ok & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)))
+        a, b = np.nonzero((agreed >= least[STEP]) & _maybe(left, right))
         agreed = agreed[a, b].astype(int)
         for h in range(STEP, HASHES, STEP):
             agreed += (x[a, h : h + STEP] == y[b, h : h + STEP]).sum(axis=1)
             on = agreed >= least[h + STEP]
             a, b, agreed = a[on], b[on], agreed[on]
-        va, vb = pick(left, 4)[a].tolist(), pick(right, 4)[b].tolist()
-        return sorted({(min(p), max(p)) for p in zip(va, vb, strict=True)})
-
-    held: list[tuple] = []
+        rows = {id(r): r for r in [left[k] for k in np.unique(a)] + [right[k] for k in np.unique(b)]}
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows.values()], t) for c, t in _ROW], names=[c for c, _ in _ROW])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = [len(s) for s in [*left, *right]]
+    table = np.zeros((len(sizes), at.max(initial=0) + 1), dtype=np.float32)
+    table[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+    return (table[: len(left)] @ table[len(left) :].T).astype(np.int64)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks of rows with full sets, as many links as join the components that the block's rows link."""
+    for left, right in _blocks(batches):
+        parent: dict[int, int] = {}
+        links = []
+
+        def root(c, parent=parent):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for i in range(0, len(left), 32):
+            for j in range(0, len(right), 32):
+                x, y = left[i : i + 32], right[j : j + 32]
+                sets = [[np.frombuffer(r["shingles"], dtype=np.uint64) for r in side] for side in (x, y)]
+                nx, ny, both = np.array([len(s) for s in sets[0]])[:, None], np.array([len(s) for s in sets[1]])[None, :], _common(*sets)
+                for a, b in zip(*np.nonzero(_maybe(x, y) & (100 * both >= PERCENT * (nx + ny - both))), strict=True):
+                    p, q = root(x[a]["c"]), root(y[b]["c"])
+                    if p != q:
+                        parent[p] = q
+                        links.append((x[a]["v"], y[b]["v"]))
+        yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][:3] != row[:3]:
-                out += pairs(held)
-                held = []
-            held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    if held:
-        out = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        sets = [shingle_set(t) for t in _buffers(batch.column(1))]
+        h = [int(_mix(s * np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "h1", "shingles"])
+
+
+def links_across(blocks: DataFrame, docs: DataFrame, miss: float) -> DataFrame:
+    """Links (a, b) that join the components within blocks: (key, i, j, part, v, c, n, h1, sig).
+
+    Rows without a pair that survives the signatures are left out; the others are compared on their full sets. A block
+    gives no more links than it has components, whatever its size.
+    """
+    order = ("key", "i", "j")
+    alive = blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda x: _alive(x, miss), _ROW_SQL)
+    alive = stored(alive, "near-alive")
+    sets = _texts_of(docs, alive.select(F.col("v").alias("doc_id"))).mapInArrow(_shingled, "v long, h1 long, shingles binary").dropDuplicates(["v", "h1"])
+    full = alive.join(sets, ["v", "h1"]).repartition(*order).sortWithinPartitions(*order)
+    return stored(full.mapInArrow(_joining, "a long, b long").distinct(), "near-across")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) of the documents with these ids."""
+    ids = ids.distinct()
+    if fits(ids, MOST_BROADCAST):
+        ids = F.broadcast(ids)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
@@ -284,14 +352,12 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     mixed = grouped.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     blocks = (
-        grouped.join(mixed, "key").join(reps.select("v", "n", "sig"), "v")
+        grouped.join(mixed, "key").join(reps.select("v", "n", "h1", "sig"), "v")
         .withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "c", "n", "sig")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "c", "n", "h1", "sig")
     )
-    across = blocks.mapInArrow(lambda batches: _across(batches, miss), "a long, b long").distinct()
-    joined = components(links.union(confirmed(across, reps, docs, miss)))
+    joined = components(links.union(links_across(blocks, docs, miss)))
 
     named = classes.join(joined, "v", "left").select("h1", "h2", "n", F.coalesce("c", "v").alias("component_id"))
     rows = found.select("doc_id", "n", "h1", "h2")
