@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,43 @@ def phrase_evidence(parts: DataFrame, phrases: dict[str, list[str]]) -> DataFram
     return parts.withColumn("hit", F.explode(hits)).select("*", "hit.capability", "hit.phrases").drop("hit")
 
 
+#: Text that says nothing of a scope: links, mailboxes, standards, clauses.
+NOISE = (r"https?://\S+", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"\b(?:ISO|IEC|EN|DIN|BS)[ /-]?\d+(?:[-:]\d+)*", r"(?i)\b(?:clause|article|section|§)\s*\d+(?:\.\d+)*")
+#: Sentences of how to bid, not of what is bought.
+BIDDING = r"(?i)\b(?:submit|upload|register|log ?in|portal|e-?tender\w*|bidders? (?:must|shall|should))\b"
+
+
+def scope_text(text: Column) -> Column:
+    """A text without noise and without sentences of bidding instructions."""
+    for pattern in NOISE:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.array_join(F.filter(F.split(text, SENTENCE), lambda s: ~s.rlike(BIDDING)), " ")
+
+
+def affirmed(text: Column, phrase: str) -> Column:
+    """Whether a phrase stands in a clause that does not negate it before it; a later clause may."""
+    clauses = F.split(F.lower(text), r"[;:.!?]|,? but |,? however ")
+    negated = rf"(?U)\b(?:no|not|without|excluding|except|neither|never)\b[^,]*(?<!\w){re.escape(phrase.lower())}(?!\w)"
+    return F.exists(clauses, lambda c: c.rlike(rf"(?U)(?<!\w){re.escape(phrase.lower())}(?!\w)") & ~c.rlike(negated))
+
+
+def requirements(text: Column, most: int = 5) -> Column:
+    """Sentences that set conditions for taking part, the first few."""
+    asked = r"(?i)\b(?:must (?:hold|have|be|provide)|is required to|minimum (?:turnover|experience)|certificat\w+|accredit\w+|insurance)\b"
+    return F.slice(F.filter(F.transform(F.split(text, SENTENCE), lambda s: F.trim(s)), lambda s: s.rlike(asked)), 1, most)
+
+
+def traceable(evidence: Column, texts: list[Column]) -> Column:
+    """Evidence whose quote stands in one of the texts that it may be of."""
+    def stands(e: Column) -> Column:
+        out = F.lit(False)
+        for t in texts:
+            out = out | F.coalesce(t.contains(e["quote"]), F.lit(False))
+        return out
+
+    return F.filter(evidence, stands)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fires if the title matches, and the detail or a code's prefix does; an empty pattern asks nothing."""
