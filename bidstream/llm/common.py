@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidstream.sources.shared import shared_dir
+
 #: Words of the contracts that split on ASCII white space.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -25,20 +26,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only a local session may go without: it gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """`df` written to the shared folder and read again, so that nothing before it is ever run a second time."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
