@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from bidstream.llm.common import documents, stored, text_of
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words, in any case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Fixed by the contract: phrase, label.
 BASE = (
@@ -55,11 +56,13 @@ def _vocabulary() -> list[str]:
 
 def license_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and hits: (p, w), where in the text the template word with that number stands."""
-    words = F.regexp_extract_all(F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
     listed = _vocabulary()
-    numbered = F.transform("words", lambda w, i: F.when(w.isin(listed), F.struct(i.alias("p"), w.alias("w"))))
+    small = lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # lower() is quick but knows capitals beyond A-Z as well, so what it lets pass is looked at again
+    numbered = F.transform("words", lambda w, i: F.when(F.lower(w).isin(listed) & small(w).isin(listed), F.struct(i.alias("p"), w.alias("w"))))
     number = F.array(*map(F.lit, listed))
-    hits = F.transform(F.filter(numbered, lambda x: x.isNotNull()), lambda x: F.struct(x["p"].alias("p"), F.array_position(number, x["w"]).alias("w")))
+    hits = F.transform(F.filter(numbered, lambda x: x.isNotNull()), lambda x: F.struct(x["p"].alias("p"), F.array_position(number, small(x["w"])).alias("w")))
     return docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
@@ -100,10 +103,15 @@ def find_licenses(docs: DataFrame, agree: float = 0.6) -> DataFrame:
         ) / total
         return F.array_max(F.transform(verified, share))
 
-    held = F.size("hits") > 0
     none = F.array().cast("array<int>")
-    bases = [F.when(held, phrase(p)).otherwise(none).alias(f"b{i}") for i, (p, _) in enumerate(BASE)]
-    shares = [F.when(held, template(t, k)).alias(f"t{i}") for i, (t, k, _) in enumerate(TEMPLATES)]
+
+    def held(text: str) -> Column:
+        """Whether all words of a phrase are in the file at all; rarest first, so that most files fail at once."""
+        return reduce(lambda x, y: x & y, [F.array_contains("present", number[w]) for w in sorted(set(text.split()), key=lambda w: -idf[w])])
+
+    bases = [F.when(held(p), phrase(p)).otherwise(none).alias(f"b{i}") for i, (p, _) in enumerate(BASE)]
+    shares = [F.when(held(k), template(t, k)).alias(f"t{i}") for i, (t, k, _) in enumerate(TEMPLATES)]
+    found = found.withColumn("present", F.array_distinct("hits.w"))
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
     labels = F.array_compact(F.array(*[F.when(F.col(f"t{i}") >= agree, F.lit(label)) for i, (*_, label) in enumerate(TEMPLATES)]))
     best = F.greatest(*[F.coalesce(f"t{i}", F.lit(0.0)) for i in range(len(TEMPLATES))])

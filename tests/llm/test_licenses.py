@@ -5,7 +5,7 @@ from tests.llm.conftest import SCHEMA, collected
 
 
 def scanned(text):
-    words = re.findall(licenses.WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     places, labels = [], set()
     for phrase, label in licenses.BASE:
         p = phrase.split()
@@ -22,6 +22,7 @@ EXTRA = [
     (1003, "cc\x00by ccéby CC_BY cc by-nc 4.0 licensed under CC BY-NC 4.0", None, None, 0, None, None, None),
     (1004, "the license of the public is general by the version", None, None, 0, None, None, None),
     (1005, "by " * 20000 + "cc by", None, None, 0, None, None, None),
+    (1006, "GNU GENERAL PUBLIC L\u0130CENSE M\u0130T license apache \u212Aelvin wor\u212A \u00c9 LICENSE Apache\u00c9 License", None, None, 0, None, None, None),
 ]
 
 
