@@ -26,8 +26,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(named: DataFrame) -> DataFrame:
-    """Places whose name is not theirs alone, and whether an earlier place has it; a hot name is counted map-side."""
+    """Places whose name is not theirs alone, and whether an earlier place has it.
+
+    A hot name is counted map-side; its group is read from a table, so that Spark can split the join's hot side.
+    """
     groups = named.groupBy(*NAME).agg(F.count("*").alias("copies"), F.min(F.struct("ord_", "th_", "pos")).alias("first")).where("copies > 1")
+    groups = stored(groups, "line-groups")
     later = F.struct("ord_", "th_", "pos") != F.col("first")
     return named.join(groups, NAME).withColumn("later", later).drop("first", "copies")
 
