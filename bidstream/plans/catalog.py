@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidstream.plans import ingest, revisions, searching, texts
+from bidstream.plans import ingest, relations, revisions, searching, texts
 
-_MODULES = (searching, revisions, texts, ingest)
+_MODULES = (searching, revisions, texts, relations, ingest)
 
 
 def queries() -> dict:
