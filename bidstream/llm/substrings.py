@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, fits, small_batches, stored, text_of
+from bidstream.llm.common import documents, small_batches, stored, text_of
 from bidstream.llm.neardup import _buffers, _mix, _powers
 
 LENGTH, ANCHOR = 400, 80
@@ -29,8 +29,6 @@ PLACE_BITS = 10
 SEGMENT = 1 << 19
 #: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group.
 MOST_CONTEXTS = 4096
-#: Contexts that may be broadcast, at about 60 bytes each.
-MOST_BROADCAST = 400_000
 
 _BYTE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -230,10 +228,7 @@ def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
     place = F.col("rep.place")
     one = F.struct("key", "ctx", _at(place).alias("at"), _low(place).alias("low"), _high(place).alias("high"))
     wanted = groups.where("variants > 1").groupBy("rep.doc_id", "rep.th").agg(F.collect_list(one).alias("wanted"))
-    wanted = stored(wanted, "suffix-wanted")
     places = wanted.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
-    if fits(wanted.select(F.explode("wanted")), MOST_BROADCAST):
-        places = F.broadcast(places)
     held = texts.join(places, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
     contexts = held.mapInArrow(_cut, _CONTEXT_SQL)
     hot = groups.where(f"variants > {MOST_CONTEXTS}").select("key").distinct()
@@ -298,11 +293,11 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     groups = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("variants")), "key"), "suffix-groups")
     texts = _texts(docs)
     # all strings of a context that occurs twice are repeated; of others, those that another context shares
-    whole = F.array(F.struct(_low(F.col("rep.place")).alias("low"), _high(F.col("rep.place")).alias("high")))
-    runs = groups.where("n > 1").select("key", "ctx", whole.alias("runs"))
-    single = groups.where("n = 1 and variants > 1").select("key", "ctx")
-    runs = stored(runs.unionByName(repeated_strings(groups, texts).join(single, ["key", "ctx"], "left_semi")), "suffix-runs")
-    spans = matched.join(runs, ["key", "ctx"]).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
+    own = F.array(F.struct(_low(F.col("place")).alias("low"), _high(F.col("place")).alias("high")))
+    whole = matched.join(groups.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("doc_id", "th", "place", own.alias("runs"))
+    single = groups.where("n = 1 and variants > 1").select("key", "ctx", "rep.*")
+    partly = single.join(repeated_strings(groups, texts), ["key", "ctx"]).select("doc_id", "th", "place", "runs")
+    spans = whole.union(partly).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
     span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
     by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
     by_row = by_row.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")

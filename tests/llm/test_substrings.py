@@ -47,9 +47,10 @@ def test_against_all_strings(spark, tmp_path, monkeypatch, most_contexts):
     assert sorted(map(tuple, out.collect()), key=repr) == by_force(rows)
 
 
-def test_without_broadcast_and_repeated_rows(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(substrings, "MOST_BROADCAST", 0)
+def test_without_broadcast_and_repeated_rows(spark, docs, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(docs, batches=3).collect()]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(out, key=repr) == by_force(rows)
 
 
