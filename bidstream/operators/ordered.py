@@ -32,7 +32,7 @@ def last_n(df: DataFrame, key: list[str], item: list[str], n: int, into: str) ->
 
 def round_robin(df: DataFrame, stratum: str, order: list[str], most: int | None = None) -> DataFrame:
     """The turn of each row when strata take turns, in order; with `most`, only the first turns."""
-    turn = F.row_number().over(W.partitionBy(stratum).orderBy(*order))
+    turn = F.row_number().over(W.partitionBy(stratum).orderBy(*order)).cast("long")
     out = df.withColumn("turn", turn)
     return out if most is None else out.where(F.col("turn") <= most)
 

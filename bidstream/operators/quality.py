@@ -32,7 +32,7 @@ def transitions(before: DataFrame, after: DataFrame, key: str, state: str) -> Da
 def stable_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str) -> DataFrame:
     """`n` rows of each stratum in an order of hashes, the same in each run."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
-    turn = F.row_number().over(W.partitionBy(stratum).orderBy(order))
+    turn = F.row_number().over(W.partitionBy(stratum).orderBy(order)).cast("long")
     return df.withColumn("turn", turn).where(F.col("turn") <= n)
 
 

@@ -81,7 +81,7 @@ def view_counts(df: DataFrame, views: dict[str, Column]) -> DataFrame:
 
 def ranked(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first `most` rows of an order, numbered. Only those rows, which each task has picked, are numbered at once."""
-    return df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
 #: Points of a match: explicit in the title, explicit, needs in the title, needs, context, hint.
