@@ -3,7 +3,8 @@
 A document's fractional copies are its source's target over its source's size. The whole part is certain; the
 fractions are rounded in pairs. A pair shifts words from one document to the other until one of the two has no
 fraction left, in a direction drawn so that each expected count stays. What stays open is paired again, in
-buckets of bounded size that form a reduction tree, so a source takes its target but for one document's size.
+buckets of bounded size that form a reduction tree. One document of a source is left at its root and goes to the nearer
+side, so a source takes its target but for half a document's size.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def mix(
             F.floor(F.col("bucket") / fan_in).cast("long").alias("bucket"),
         )
     last = folded.select(*keep, F.col("state.cur").alias("c"))
-    drawn = (F.pmod(F.xxhash64("c.ord", F.lit(-1)), F.lit(1000003)) / 1000003.0 < F.col("c.p")).cast("int")
-    out = out.unionByName(last.select(*keep, "c.doc_id", "c.key", "c.size", drawn.alias("up")))
+    # one document of a source is left over; it goes to the nearer side
+    out = out.unionByName(last.select(*keep, "c.doc_id", "c.key", "c.size", (F.col("c.p") >= 0.5).cast("int").alias("up")))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("up")).otherwise(F.lit(0)).cast("long")
     return out.select(
         "doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

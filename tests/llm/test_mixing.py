@@ -37,7 +37,7 @@ def test_mix_meets_its_targets(docs, rows, fan_in):
     for r in out:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= largest[s]
+        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
 
 
 def test_reruns_agree_whatever_the_partitions(docs):
