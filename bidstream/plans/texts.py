@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from bidstream.functions import dates, text as tx
 from bidstream.operators import classify, history, identity, quality, related
+from bidstream.operators.capabilities import prefiltered
 from bidstream.plans.notices import NOTICES_SQL, notices, now
+from bidstream.sources import config
 from bidstream.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -105,6 +107,22 @@ def exclusion_reasons(spark, d):
     return docs.select("doc_id", F.array_join(found, ",").alias("reasons"))
 
 
+VOCABULARY = {"capabilities": {
+    "licensing": {"family": "platform", "explicit": ["gnu general public license", "apache license"], "needs": ["licensed under"]},
+    "credentials": {"family": "ai", "needs": ["password", "token"], "contextual": ["secret"], "context": ["key"]},
+}}
+
+
+@query()
+def capability_scores(spark, d):
+    """Documents as notices: the first line is the title, and the language the code."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("description"), F.array("lang").alias("codes")
+    )
+    out = prefiltered(docs, config.capabilities(VOCABULARY), ("de",))
+    return out.select("doc_id", "score", "candidate", "priority", F.array_join("capabilities", ",").alias("capabilities"), F.size("evidence").alias("quotes"))
+
+
 @query("""
 WITH c AS (SELECT text, doc_id, n_chars FROM documents), once AS (SELECT DISTINCT text FROM c)
 SELECT doc_id, length(regexp_replace(text, '[^.]', '', 'g')) AS stops FROM c JOIN once USING (text)
