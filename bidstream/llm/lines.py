@@ -21,8 +21,9 @@ NAME = ["n1", "n2"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with its order: ord, the id with null last, and th, which tells texts of one id apart."""
-    return docs.withColumns({"ord_": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "th_": F.xxhash64(text_of())})
+    """The whole row, which may have these names as well, ord_, its id with null last, th_, which tells texts of one id apart, and text."""
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row_")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord_"), F.xxhash64(text_of()).alias("th_"), "text", whole)
 
 
 def _repeated(named: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def dedup_lines(docs: DataFrame, deep: bool = True) -> DataFrame:
     kept = F.array_join(F.filter("lines_", lambda line, i: ~F.array_contains("gone_", i)), "\n")
     text = F.when(F.col("text").isNull() | (F.size("gone_") == 0), F.col("text")).otherwise(kept)
     return rows.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n.cast("long").alias("lines_n"),
+        *[text.alias(c) if c == "text" else F.col(f"row_.{c}") for c in docs.columns], n.cast("long").alias("lines_n"),
         F.col("gone_").alias("lines_gone"), F.col("run_").cast("long").alias("lines_repeat"),
     )
 

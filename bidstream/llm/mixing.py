@@ -132,13 +132,15 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it was taken; rows of one id and text count together."""
     taken = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    one = W.partitionBy("doc_id", "key").orderBy("key")
-    rows = docs.withColumn("key", F.xxhash64("text")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    one = W.partitionBy("id", "key").orderBy("key")
+    # the row is kept whole beside the names that are used here, which it may have as well
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), whole).withColumn("nth", F.row_number().over(one)).where("nth = 1")
     joined = rows.join(
         taken.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "copies"),
-        F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("key").eqNullSafe(F.col("key_")),
+        F.col("id").eqNullSafe(F.col("id_")) & F.col("key").eqNullSafe(F.col("key_")),
     )
-    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

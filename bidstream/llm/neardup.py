@@ -370,12 +370,12 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each group; one row of each doc_id, and all rows of none."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return (
-        docs.join(gone, "doc_id", "left_anti").withColumn("nth", F.row_number().over(one))
-        .where("nth = 1 or doc_id is null").select(*docs.columns)
-    )
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    one = W.partitionBy("id").orderBy("key")
+    # the row is kept whole beside the names that are used here, which it may have as well
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), whole)
+    return rows.join(gone, "id", "left_anti").withColumn("nth", F.row_number().over(one)).where("nth = 1 or id is null").select("row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # columns whose names the operators use inside
-    T.StructField("size", T.StringType()), T.StructField("block", T.StringType()), T.StructField("key", T.StringType()),
+    T.StructField("size", T.StringType()), T.StructField("nth", T.StringType()), T.StructField("key", T.StringType()),
 ])
 
 WORDS = "the of and secret notice tender works road bridge supply school water office paper lamp été straße 数据 🙂 license by".split()

@@ -56,4 +56,5 @@ def test_columns_stay_and_nulls_stay_null(docs, rows, no_docs):
     out = lines.dedup_lines(docs, deep=False)
     assert out.columns[:-3] == docs.columns and out.count() == len(rows)
     assert out.where("text is null").count() == sum(r[1] is None for r in rows)
+    assert {(r["size"], r["nth"], r["key"]) for r in out.collect()} <= {("s", "b", "k"), (None, None, None)}
     assert lines.dedup_lines(no_docs).count() == 0

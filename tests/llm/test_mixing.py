@@ -60,6 +60,7 @@ def test_mixed_documents_repeat_rows(docs):
     taken = sum(r["copies"] for r in mixing.mix(docs).collect())
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == taken
+    assert {(r["size"], r["nth"], r["key"]) for r in out.collect()} <= {("s", "b", "k"), (None, None, None)}
 
 
 def test_empty_table_and_texts(spark, no_docs):

@@ -95,4 +95,5 @@ def test_deduplicated_and_empty(docs, no_docs):
     assert out.columns == docs.columns
     kept = [r["doc_id"] for r in neardup.near_duplicates(docs).where("kept").select("doc_id").distinct().collect()]
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted(kept, key=repr)
+    assert {(r["size"], r["nth"], r["key"]) for r in out.collect()} <= {("s", "b", "k"), (None, None, None)}
     assert neardup.near_duplicates(no_docs).count() == 0
