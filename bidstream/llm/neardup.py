@@ -199,7 +199,6 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         least = edges.join(labels.select(F.col("v").alias("w"), F.col("c").alias("near")), "w").groupBy("v").agg(F.min("near").alias("near"))
         lower = labels.join(least, "v").select("v", F.least("c", "near").alias("c"), F.col("c").alias("was"))
-        lower = stored(lower, "labels")
         jump = lower.select(F.col("v").alias("c"), F.col("c").alias("next"))
         new = stored(lower.join(jump, "c", "left").select("v", F.least("c", "next").alias("c"), "was"), "labels")
         labels = new.select("v", "c")
@@ -334,7 +333,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     reps = stored(reps.dropDuplicates(["v", "h1", "h2", "n"]), "near-reps")
     width = 4 * ROWS
     band = F.posexplode(F.array(*[F.substring("sig", i * width + 1, width) for i in range(BANDS)])).alias("band", "part")
-    banded = stored(reps.select("v", band).select("v", F.xxhash64("band", "part").alias("key")), "near-bands")
+    banded = reps.select("v", band).select("v", F.xxhash64("band", "part").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = banded.join(buckets, "key")
     central = members.groupBy("v").agg(F.sum("m").alias("weight"))
