@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidstream.functions import dates, text as tx
-from bidstream.operators import classify, history, identity, quality, related
+from bidstream.operators import checks, classify, history, identity, quality, related
 from bidstream.operators.capabilities import prefiltered
 from bidstream.plans.notices import NOTICES_SQL, notices, now
 from bidstream.sources import config
@@ -304,6 +304,16 @@ def storage_health(spark, d):
     return quality.storage_health(table(spark, d, "documents"), "source", F.col("n_chars"), 110000, 150000)
 
 
+@query("""
+SELECT 'no credentials' AS "check", doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:token|password)\\s*[:=]\\s*["'']?[A-Za-z0-9+/_=-]{16,}')
+UNION ALL SELECT 'is prose', doc_id FROM documents WHERE n_chars < 20
+""")
+def publication_checks(spark, d):
+    """Documents that must not be published as they are."""
+    rules = {"no credentials": ~F.col("text").rlike(checks.CREDENTIAL), "is prose": F.col("n_chars") >= 20}
+    return checks.faults(table(spark, d, "documents"), "doc_id", rules)
+
+
 @query("""
 WITH t AS (SELECT doc_id, sha256(text) AS h, 'en:' || lang AS english FROM documents WHERE lang <> 'en' AND doc_id % 3 > 0)
 SELECT d.doc_id, coalesce(t.english, d.lang) AS shown FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id AND t.h = CASE WHEN d.doc_id % 7 = 0 THEN 'changed' ELSE sha256(d.text) END
