@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, fits, small_batches, stored, text_of
+from bidstream.llm.common import NOT_SPACE, documents, fits, small_batches, stored, text_of
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -368,14 +368,43 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group; one row of each doc_id, and all rows of none."""
+    """`docs` with one document of each group; one row of each doc_id, the one with most words, and all rows of none."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    one = W.partitionBy("id").orderBy("key")
+    one = W.partitionBy("id").orderBy(F.desc("words"), "key")
     # the row is kept whole beside the names that are used here, which it may have as well
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), whole)
+    words = F.regexp_count(text_of(), F.lit(NOT_SPACE)).alias("words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), words, whole)
     return rows.join(gone, "id", "left_anti").withColumn("nth", F.row_number().over(one)).where("nth = 1 or id is null").select("row.*")
 
 
+def deduplicated_rows(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with one row of each group of rows whose texts are linked: of the least doc_id, and there with most shingles.
+
+    A row goes only for a linked text or as a copy of its id and text; other texts of its id stay. Texts without
+    shingles are linked with nothing; they go if their id has a text with some, and else one of them stays. All rows of no
+    doc_id stay.
+    """
+    long_id = F.col("doc_id").cast("long")
+    node = F.when(long_id.isNotNull(), F.xxhash64(long_id, text_of()))
+    found = near_duplicates(docs.select(node.alias("doc_id"), "text"), **options).where("doc_id is not null")
+    found = found.groupBy(F.col("doc_id").alias("node")).agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    ids = docs.where(long_id.isNotNull()).select(long_id.alias("id"), node.alias("node")).distinct()
+    nodes = stored(ids.join(found, "node"), "near-nodes")
+    order = F.struct("id", (-F.col("n")).alias("less"), "node")
+    best = nodes.where("n > 0").groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("m")).where("m > 1")
+    copies = nodes.where("n > 0").join(best, "c").where("node != best.node").select("node")
+    blank = nodes.where("n = 0")
+    full = nodes.where("n > 0").select("id").distinct().withColumn("full", F.lit(True))
+    first = blank.groupBy("id").agg(F.min("node").alias("first"))
+    blanks = blank.join(first, "id").join(full, "id", "left").where("full or node != first").select("node")
+    one = W.partitionBy("part").orderBy("part")
+    # the row is kept whole beside the names that are used here, which it may have as well
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(node.alias("node"), F.coalesce(node, F.xxhash64(text_of())).alias("part"), whole)
+    rows = rows.join(copies.union(blanks), "node", "left_anti").withColumn("nth", F.row_number().over(one))
+    return rows.where("nth = 1 or node is null").select("row.*")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
