@@ -32,6 +32,18 @@ def overlapping(left: DataFrame, right: DataFrame, ids: str, key: str, fallback:
     return found.union(by_name).distinct()
 
 
+def overlap_classes(queries: DataFrame, rows: DataFrame, ids: str, key: str) -> DataFrame:
+    """(id_, key, asked, asking, members): for each identifier that a query row has, the rows that have it.
+
+    asked: the row is a query; asking and members count the class's queries and rows. A query overlaps all rows of its
+    classes, which stand here once each and not once for each query.
+    """
+    side = lambda df: df.select(F.col(key), F.explode(F.array_distinct(ids)).alias("id_")).distinct()
+    rows = side(rows).join(side(queries).withColumn("asked", F.lit(True)), [key, "id_"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    sizes = rows.groupBy("id_").agg(F.count_if("asked").alias("asking"), F.count("*").alias("members")).where("asking > 0")
+    return rows.join(sizes, "id_").select("id_", key, "asked", "asking", "members")
+
+
 def control_numbers(text: Column, pattern: str = r"(?<!\d)(\d{1,8})[-/](\d{4})(?!\d)") -> Column:
     """Notice numbers in a text, with leading zeros and either dash alike: number-year."""
     n, year = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))

@@ -110,6 +110,18 @@ def predecessor_walk(spark, d):
     return feeds.predecessors(links, table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).where("id % 100 = 7"))
 
 
+@query("""
+WITH RECURSIVE w AS (SELECT o_orderkey AS start, o_orderkey AS id, 0 AS depth FROM orders
+  UNION ALL SELECT start, id // 3, depth + 1 FROM w WHERE id > 2 AND depth < 5)
+SELECT start, id, depth FROM w WHERE id IN (SELECT o_orderkey FROM orders)
+""")
+def predecessor_walk_whole(spark, d):
+    """As predecessor_walk, from every order."""
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    links = ids.where("id > 2").withColumn("predecessor", F.floor(F.col("id") / 3))
+    return feeds.predecessors(links, ids)
+
+
 @query("SELECT substr(sha256(o_orderkey::VARCHAR), 1, 2) AS bucket, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1")
 def hash_buckets(spark, d):
     keyed = table(spark, d, "orders").select("o_orderkey", sinks.bucket_of("o_orderkey").alias("bucket"))

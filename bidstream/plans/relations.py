@@ -45,6 +45,30 @@ def supplier_overlap(spark, d):
     return tiers.overlapping(held.where("id % 500 = 1"), held, "ids", "id")
 
 
+@query(f"""
+WITH {NOTICES_SQL}, q AS (SELECT * FROM notices WHERE id % 20 = 0)
+SELECT query, id, min(tier)::INTEGER AS tier FROM (
+  SELECT q.id AS query, n.id, 0 AS tier FROM q JOIN notices n USING (buyer_id) WHERE q.id <> n.id
+  UNION ALL SELECT q.id, n.id, 1 FROM q JOIN notices n USING (nation, segment, day) WHERE q.id <> n.id
+  UNION ALL SELECT q.id, n.id, 2 FROM q JOIN notices n USING (region, priority, status, day) WHERE q.id <> n.id) GROUP BY ALL
+""")
+def related_tiers_whole(spark, d):
+    """As related_tiers, for every twentieth notice."""
+    rows = notices(spark, d)
+    return tiers.tiered(rows.where("id % 20 = 0"), rows, "id", [["buyer_id"], ["nation", "segment", "day"], ["region", "priority", "status", "day"]])
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey AS supplier, l_orderkey AS id, l_orderkey % 20 = 0 AS asked FROM lineitem)
+SELECT supplier, id, asked, count(*) FILTER (asked) OVER w AS asking, count(*) OVER w AS members FROM s
+WINDOW w AS (PARTITION BY supplier) QUALIFY asking > 0
+""")
+def supplier_overlap_classes(spark, d):
+    """Every twentieth order asks: the suppliers of these, with all orders that share them, and how many ask and are there."""
+    held = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("ids"))
+    return tiers.overlap_classes(held.where("id % 20 = 0"), held, "ids", "id").withColumnRenamed("id_", "supplier")
+
+
 @query("""
 SELECT event_id, ts > TIMESTAMP '2024-01-20 09:30:00' - INTERVAL 1 DAY AND ts <= TIMESTAMP '2024-01-20 09:30:00' AS new,
   ts::DATE = DATE '2024-01-20' AND ts <= TIMESTAMP '2024-01-20 09:30:00' AS added_today FROM events
@@ -69,6 +93,19 @@ def label_sequence(spark, d):
     return ranked(rows, [F.col("label_key"), F.col("user_id")], 50).select("user_id", "rank")
 
 
+@query("""
+SELECT user_id, row_number() OVER (ORDER BY labels, user_id) AS rank FROM (
+  SELECT user_id, string_agg(DISTINCT event_type, chr(0) ORDER BY event_type) AS labels FROM events GROUP BY user_id) QUALIFY rank <= 50
+""")
+def label_sequence_whole(spark, d):
+    """As label_sequence, of all events."""
+    from bidstream.operators.search import ranked
+
+    held = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("labels"))
+    rows = held.select("user_id", tiers.label_order(F.col("labels")).alias("label_key"))
+    return ranked(rows, [F.col("label_key"), F.col("user_id")], 50).select("user_id", "rank")
+
+
 @query("""
 SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 2 = 0 AND (o_orderkey % 5 > 0 OR o_orderdate < o_orderdate) AND o_orderkey % 3 > 0)
 """)
