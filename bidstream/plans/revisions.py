@@ -202,6 +202,13 @@ def identity_components(spark, d):
     return identity.key_components(keyed, "id", "key")
 
 
+@query()
+def identity_components_whole(spark, d):
+    """As identity_components, over all line items."""
+    keyed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key")).distinct()
+    return identity.key_components(keyed, "id", "key")
+
+
 RECORD = "id string, source string, ocid string, lot string, title string, amount double, currency string, first_seen long, last_seen long, versions long, changes long"
 
 

@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from bidstream.plans import catalog
+from tests.test_identity import union_find
 
 LINES = [(20, 1), (3, 1), (3, 1), (40, 1), (40, 2), (7, 2), (9, 3)]
 
@@ -42,3 +43,9 @@ def test_all_events_and_starts(spark, tables):
 
 def test_every_twentieth_notice_asks(spark, tables):
     assert rows_of(spark, "related_tiers_whole", tables, "query", "id", "tier") == [(20, 2, 2), (20, 6, 0)]
+
+
+def test_components_of_all_line_items(spark, tables):
+    first = {}
+    want = union_find([(first.setdefault(s, o), o) for o, s in LINES])
+    assert rows_of(spark, "identity_components_whole", tables, "id", "component") == sorted(want.items())
