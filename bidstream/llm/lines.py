@@ -1,9 +1,15 @@
-"""Line dedup by prefix doubling over sequences of line ids.
-
-A line's id is a hash of it. Prefix doubling names the run of 2k lines at a place by the names of the runs of k lines
-there and k lines on. Names are hashes of pairs, not ranks: equal runs have equal names, so the places of one name
-are an interval of the suffix array whose common prefix is that long, and no round needs a sort of the whole corpus.
-Only places whose run is repeated go on to the next round. The first copy of a run, by document and line, stays.
+"""Line dedup by a suffix array over sequences of line ids.
+
+Prefix doubling ranks the runs of 1, 2, 4 ... lines that start at each place: a run of 2k lines is the pair of the ranks
+of the runs of k lines there and k lines on, and its rank is its number in a range-partitioned sort of the pairs. So
+ranks follow the order of the suffixes, line by line, lines being ordered by their ids (a hash). The array is sparse: a place
+whose run stands nowhere else has no common prefix that long with any other, and goes to no further round. The places of
+one rank are an interval of the suffix array with a common prefix of that many lines.
+
+The intervals between the powers of two are found from the longest down: the places of an interval are split by the rank
+of what follows the common prefix, in ever shorter steps. An interval's first place, by document and line, keeps its
+copy. So each place gets the longest prefix of its suffix that an earlier place has too. Those that are not part of one
+that starts further left are the maximal repeated runs, and go if they are not too short.
 """
 
 from __future__ import annotations
@@ -14,10 +20,11 @@ from pyspark.sql import functions as F
 
 from bidstream.llm.common import documents, stored, text_of
 
-#: A repeated run counts if it has at least so many lines, a power of two, or a line of so many characters.
-MIN_LINES, MIN_CHARS = 2, 40
+#: A maximal repeated run goes if its lines have so many characters in all, white space not counted.
+MIN_CHARS = 40
 LAST = (1 << 63) - 1
-NAME = ["n1", "n2"]
+PLACE = ["ord_", "th_", "pos"]
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,116 +33,155 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord_"), F.xxhash64(text_of()).alias("th_"), "text", whole)
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Places whose name is not theirs alone, and whether an earlier place has it.
+def line_ids(docs: DataFrame) -> DataFrame:
+    """(ord_, th_, pos, n1, n2): the id of each line, 128 bits. Rows of one id and text count once."""
+    rows = _keyed(docs).select("ord_", "th_", F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    return rows.select(*PLACE, F.xxhash64("line").alias("n1"), F.xxhash64(F.lit(1), "line").alias("n2")).dropDuplicates(PLACE)
+
+
+def ranked(named: DataFrame, name: list[str]) -> DataFrame:
+    """(ord_, th_, pos, rank, first) of places whose name another place has too; rank follows the order of the names.
 
-    A hot name is counted map-side; its group is read from a table, so that Spark can split the join's hot side.
+    A name is counted map-side, and the names' table is sorted by ranges, so a hot name is one row of it. The table is
+    read from the shared folder, so that Spark can split the join's hot side. first: the name's first place.
     """
-    groups = named.groupBy(*NAME).agg(F.count("*").alias("copies"), F.min(F.struct("ord_", "th_", "pos")).alias("first")).where("copies > 1")
-    groups = stored(groups, "line-groups")
-    later = F.struct("ord_", "th_", "pos") != F.col("first")
-    return named.join(groups, NAME).withColumn("later", later).drop("first", "copies")
+    groups = named.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
+    groups = groups.drop("n").orderBy(*name).withColumn("rank", F.monotonically_increasing_id())
+    return stored(named.join(stored(groups, "line-ranks"), name).select(*PLACE, "rank", "first"), "line-places")
 
 
-def repeated_runs(docs: DataFrame, most_lines: int | None = None) -> DataFrame:
-    """(ord_, th_, pos, chars, run, later): where runs of 1, 2, 4 ... lines start that occur more than once.
+def doubled(level: DataFrame, lines: int) -> DataFrame:
+    """Of places ranked by runs of `lines` lines, those whose run of twice as many is repeated, ranked by that."""
+    after = level.select("ord_", "th_", (F.col("pos") - lines).alias("pos"), F.col("rank").alias("then"))
+    return ranked(level.select(*PLACE, "rank").join(after, PLACE).withColumnRenamed("rank", "now"), ["now", "then"])
 
-    Rows of one id and text count once. later: an earlier place has the run too. most_lines: no longer runs are sought.
-    """
-    lines = F.split(text_of(), "\n")
-    rows = _keyed(docs).select("ord_", "th_", lines.alias("lines")).select("ord_", "th_", F.posexplode("lines").alias("pos", "line"))
-    named = rows.select(
-        "ord_", "th_", "pos", F.length("line").alias("chars"), F.xxhash64("line").alias("n1"), F.xxhash64(F.lit(1), "line").alias("n2")
-    ).dropDuplicates(["ord_", "th_", "pos"])
-    run = 1
-    active = stored(_repeated(stored(named, "line-names")), "line-runs")
-    out = active.withColumn("run", F.lit(run))
-    while (most_lines is None or run < most_lines) and active.limit(1).count():
-        after = active.select("ord_", "th_", (F.col("pos") - run).alias("pos"), F.col("n1").alias("m1"), F.col("n2").alias("m2"))
-        pairs = active.join(after, ["ord_", "th_", "pos"]).select(
-            "ord_", "th_", "pos", "chars", F.xxhash64("n1", "m1").alias("n1"), F.xxhash64(F.lit(1), "n2", "m2").alias("n2")
-        )
-        run *= 2
-        active = stored(_repeated(pairs), "line-runs")
-        out = out.union(active.withColumn("run", F.lit(run)))
-    return out.drop(*NAME)
-
-
-def dedup_lines(docs: DataFrame, deep: bool = True) -> DataFrame:
-    """`docs` with its text less later copies of lines, and lines_n, lines_gone (their numbers, sorted), lines_repeat.
-
-    Lines end at line feeds; a null text is one empty line, and stays null. A repeated run goes, but for its first copy,
-    if it has MIN_LINES lines, or a line in it has MIN_CHARS characters and is repeated itself. Rows of one id and text
-    are copies of one another, and the first of them stays. Null ids come after all others. An empty table gives no
-    rows. lines_repeat: the largest power of two of lines that a later copy in the text has; at most MIN_LINES if not
-    deep, which saves the rounds beyond.
+
+def suffix_levels(docs: DataFrame) -> list[DataFrame]:
+    """Places ranked by runs of 1, 2, 4 ... lines, as long as any run is repeated; the last is empty."""
+    levels, lines = [ranked(stored(line_ids(docs), "line-ids"), ["n1", "n2"])], 1
+    while levels[-1].limit(1).count():
+        levels.append(doubled(levels[-1], lines))
+        lines *= 2
+    return levels
+
+
+def repeated_suffixes(levels: list[DataFrame]) -> DataFrame:
+    """(ord_, th_, pos, lines): how many lines from a place on stand at an earlier place too, the most; only where any do.
+
+    A row of `state` is a place in an interval, that is named by its first place and the length of its prefix. A place
+    that shares more with others goes on to their interval; its first place is there too, and stays where it was.
     """
-    found = repeated_runs(docs, None if deep else MIN_LINES).where("later")
-    counts = (F.col("run") == MIN_LINES) | ((F.col("run") == 1) & (F.col("chars") >= MIN_CHARS))
-    span = F.when(counts, F.sequence("pos", F.col("pos") + F.col("run") - 1)).otherwise(F.array().cast("array<int>"))
-    gone = found.groupBy("ord_", "th_").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(span)))).alias("gone_"), F.max("run").alias("run_")
+    here, later = F.struct(*PLACE), F.struct(*PLACE) != F.col("first")
+    state, out = None, None
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        if state is not None:
+            then = levels[k].select("ord_", "th_", F.col("pos").alias("at"), F.col("rank").alias("then"))
+            parted = state.withColumn("at", F.col("pos") + F.col("lines")).join(then, ["ord_", "th_", "at"], "left").drop("at")
+            inner = (
+                parted.where("then is not null").groupBy("first", "lines", "then")
+                .agg(F.min(here).alias("inner"), F.count("*").alias("n")).where("n > 1").drop("n")
+            )
+            stays = F.struct("first", "lines")
+            goes = F.struct(F.col("inner").alias("first"), (F.col("lines") + step).cast("int").alias("lines"))
+            both = F.when(F.col("inner").isNull(), F.array(stays)).when(here == F.col("inner"), F.array(stays, goes)).otherwise(F.array(goes))
+            state = parted.join(inner, ["first", "lines", "then"], "left").select(*PLACE, F.explode(both).alias("in")).select(*PLACE, "in.*")
+        # places that share this many lines with an earlier one, but not twice as many, and their intervals' first places
+        new = levels[k].where(later)
+        if k + 1 < len(levels):
+            new = new.join(levels[k + 1].where(later).select(*PLACE), PLACE, "left_anti")
+        new = new.select(*PLACE, "first", F.lit(step).alias("lines"))
+        if k == 0:
+            ones = new.select(*PLACE, "lines")
+            return ones if state is None else ones.unionByName(state.where(later).select(*PLACE, "lines"))
+        new = new.unionByName(new.select("first.*", "first", "lines").distinct())
+        state = stored(new if state is None else state.unionByName(new), "line-intervals")
+    return out
+
+
+def maximal_runs(suffixes: DataFrame) -> DataFrame:
+    """(ord_, th_, runs): a text's repeated runs (start, stop) that are part of none that starts further left, in order."""
+    stops = suffixes.groupBy("ord_", "th_", (F.col("pos") + F.col("lines")).alias("stop")).agg(F.min("pos").alias("start"))
+    return stops.groupBy("ord_", "th_").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+
+
+def _gaps(runs: str, n: Column) -> Column:
+    """(start, length) of what lies between runs, whose starts and stops rise, and after the last of `n` lines."""
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(n))
+    gap = lambda end, i: F.struct(
+        F.coalesce(F.get(runs, i - 1)["stop"], F.lit(0)).alias("start"),
+        F.greatest(F.lit(0), end - F.coalesce(F.get(runs, i - 1)["stop"], F.lit(0))).alias("length"),
     )
+    return F.transform(ends, gap)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """`docs` with its text less later copies of lines, and lines_n, lines_removed, lines_runs and lines_longest.
+
+    Lines end at line feeds; a null text is one empty line, and stays null. A maximal repeated run goes, but for the first copy
+    of each of its parts, if it has `min_chars` characters besides white space. The order of copies is that of ids, null ids
+    last, then of a hash of the text, so texts of one id come in an order of no meaning, then of lines. Rows of one id
+    and text are copies of one another, and one of them stays. An empty table gives no rows. lines_runs: the runs
+    (start, stop) that went, which may overlap; lines_longest: how many lines the longest repeated run has that an
+    earlier place has too, gone or not.
+    """
+    found = maximal_runs(repeated_suffixes(suffix_levels(docs)))
     nth = F.row_number().over(W.partitionBy("ord_", "th_").orderBy("ord_"))
-    rows = _keyed(docs).join(gone, ["ord_", "th_"], "left").withColumn("nth_", nth).withColumn("lines_", F.split(text_of(), "\n"))
+    runs_type = "array<struct<start: int, stop: int>>"
+    rows = _keyed(docs).join(found, ["ord_", "th_"], "left").withColumn("nth_", nth).withColumn("lines_", F.split(text_of(), "\n"))
     n = F.size("lines_")
-    whole = F.sequence(F.lit(0), n - 1)
-    repeated = (F.col("nth_") > 1) & ((n >= MIN_LINES) | (F.length(text_of()) >= MIN_CHARS))
-    picked = F.when(repeated, whole).otherwise(F.coalesce("gone_", F.array().cast("array<int>")))
-    depth = F.when(F.col("nth_") > 1, F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")).otherwise(F.coalesce("run_", F.lit(0)))
-    rows = rows.withColumn("gone_", picked).withColumn("run_", depth if deep else F.least(depth, F.lit(MIN_LINES)))
-    kept = F.array_join(F.filter("lines_", lambda line, i: ~F.array_contains("gone_", i)), "\n")
-    text = F.when(F.col("text").isNull() | (F.size("gone_") == 0), F.col("text")).otherwise(kept)
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"))).cast(runs_type)
+    rows = rows.withColumn("all_", F.when(F.col("nth_") > 1, whole).otherwise(F.coalesce(F.col("runs").cast(runs_type), F.array().cast(runs_type))))
+    text_in = lambda r: F.array_join(F.slice("lines_", r["start"] + 1, r["stop"] - r["start"]), "")
+    rows = rows.withColumn("runs_", F.filter("all_", lambda r: F.length(F.translate(text_in(r), BLANK, "")) >= min_chars))
+    rows = rows.withColumn("gaps_", _gaps("runs_", n))
+    left = F.aggregate("gaps_", F.lit(0), lambda s, g: s + g["length"])
+    kept = F.array_join(F.flatten(F.transform("gaps_", lambda g: F.slice("lines_", g["start"] + 1, g["length"]))), "\n")
+    text = F.when(F.col("text").isNull() | (F.size("runs_") == 0), F.col("text")).otherwise(kept)
+    longest = F.coalesce(F.array_max(F.transform("all_", lambda r: r["stop"] - r["start"])), F.lit(0))
     return rows.select(
         *[text.alias(c) if c == "text" else F.col(f"row_.{c}") for c in docs.columns], n.cast("long").alias("lines_n"),
-        F.col("gone_").alias("lines_gone"), F.col("run_").cast("long").alias("lines_repeat"),
-    )
-
-
-def longest_run(numbers: str) -> Column:
-    """Of sorted distinct numbers, how many follow one another at most."""
-    step = lambda a, x: F.struct(
-        x.alias("last"), F.when(x == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1)).alias("run"),
-        F.greatest(a["best"], F.when(x == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1))).alias("best"),
+        (n - left).cast("long").alias("lines_removed"), F.col("runs_").alias("lines_runs"), longest.cast("long").alias("lines_longest"),
     )
-    return F.aggregate(numbers, F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"])
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.size(F.filter("lines_gone", lambda x, i: (i == 0) | (F.get("lines_gone", i - 1) != x - 1)))
     return dedup_lines(documents(spark, sf_dir)).select(
-        "doc_id", F.col("lines_n").alias("n_lines"), F.size("lines_gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"),
-        longest_run("lines_gone").cast("long").alias("longest_run"), F.col("lines_repeat").alias("repeat_lines"),
-        F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", F.col("lines_n").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.size("lines_runs").cast("long").alias("n_runs"),
+        F.col("lines_longest").alias("longest_run"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-OP2_SQL = """
+OP2_SQL = r"""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), places AS (
-  SELECT doc_id, l, len(l) AS n, unnest(range(len(l))) AS pos FROM lines
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM lines
+), pairs AS (
+  SELECT a.doc_id, a.pos, b.doc_id AS of_doc, a.pos - b.pos AS shift
+  FROM places a JOIN places b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos))
+), islands AS (
+  SELECT doc_id, pos, of_doc, shift, pos - row_number() OVER (PARTITION BY doc_id, of_doc, shift ORDER BY pos) AS island FROM pairs
+), ends AS (
+  SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id, of_doc, shift, island) + 1 AS stop FROM islands
+), reach AS (
+  SELECT doc_id, pos, max(stop) AS stop FROM ends GROUP BY doc_id, pos
 ), runs AS (
-  SELECT doc_id, pos, k, array_to_string(l[pos + 1 : pos + k], chr(10)) AS run
-  FROM places, (SELECT (1 << unnest(range(20)))::BIGINT AS k) WHERE pos + k <= n
-), later AS (
-  SELECT doc_id, pos, k, length(run) AS chars FROM runs
-  QUALIFY row_number() OVER (PARTITION BY k, run ORDER BY doc_id, pos) > 1
+  SELECT doc_id, min(pos) AS start, stop FROM reach GROUP BY doc_id, stop
+), sized AS (
+  SELECT doc_id, start, stop, length(regexp_replace(array_to_string(l[start + 1 : stop], ''), '[\x09-\x0D\x20]', '', 'g')) AS chars
+  FROM runs JOIN lines USING (doc_id)
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + unnest(range(k)) AS pos FROM later WHERE k = 2 OR (k = 1 AND chars >= 40)
-), islands AS (
-  SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone
-), sizes AS (
-  SELECT doc_id, island, count(*) AS size FROM islands GROUP BY ALL
+  SELECT DISTINCT doc_id, unnest(range(start, stop)) AS pos FROM sized WHERE chars >= 40
 ), per_doc AS (
-  SELECT doc_id, sum(size)::BIGINT AS n_removed, count(*) AS n_runs, max(size) AS longest_run FROM sizes GROUP BY doc_id
-), depth AS (
-  SELECT doc_id, max(k)::BIGINT AS repeat_lines FROM later GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+), per_run AS (
+  SELECT doc_id, count(*) FILTER (chars >= 40) AS n_runs, max(stop - start) AS longest_run FROM sized GROUP BY doc_id
 ), kept AS (
-  SELECT p.doc_id, string_agg(p.l[p.pos + 1], chr(10) ORDER BY p.pos) AS text
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.pos) AS text
   FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos WHERE g.pos IS NULL GROUP BY p.doc_id
 )
 SELECT d.doc_id, len(d.l)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
-  coalesce(longest_run, 0) AS longest_run, coalesce(repeat_lines, 0) AS repeat_lines, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM lines d LEFT JOIN per_doc USING (doc_id) LEFT JOIN depth USING (doc_id) LEFT JOIN kept USING (doc_id)
+  coalesce(longest_run, 0) AS longest_run, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM lines d LEFT JOIN per_doc USING (doc_id) LEFT JOIN per_run USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
