@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines go from the texts; the documents stay, an emptied one too."""
-    rest = lines.dedup_lines(docs, deep=False).select(*docs.columns)
+    rest = lines.dedup_lines(docs).select(*docs.columns)
     return rest.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
