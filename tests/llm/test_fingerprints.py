@@ -1,5 +1,6 @@
 import hashlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from bidstream.llm import fingerprints as fp
@@ -8,7 +9,8 @@ from tests.llm.conftest import SCHEMA, collected
 
 def edited_texts(rows):
     """(doc_id, chars, digest of the edited text) for each row, by the definition."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    signed = lambda t: (xxhash.xxh64(t, seed=42).intdigest() + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed((r[1] or "").encode()) if r[0] is None else 0, (r[1] or "").encode()))
     out = []
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
@@ -23,7 +25,8 @@ def test_edited_texts(docs, rows):
 
 
 def test_blocks_do_not_show(spark, rows, monkeypatch):
-    few = [r for r in rows if r[0] is not None] * 1
+    # outlying and clustered ids, and many rows of none
+    few = rows + [(i, f"text {i} of more words\n{i}", *rows[0][2:]) for i in (-(1 << 63), (1 << 63) - 1, 1 << 60)] + [(None, f"none {i}", *rows[0][2:]) for i in range(40)]
     df = spark.createDataFrame(few, SCHEMA)
     one = collected(fp.fingerprints(df), "doc_id", "edited_sha256", "fingerprint", "near_next")
     whole = fp.with_neighbours
@@ -42,6 +45,10 @@ def test_sums_do_not_depend_on_order_and_can_be_updated(spark):
         head, rest = fp.EQUAL_LANES * fp.EQUAL_BITS // 4, fp.LIKE_BITS // 4
         return [(int(x[i:i + 8], 16), 1 << 32) for i in range(0, head, 8)] + [(int(x[i:i + rest], 16), 1 << fp.LIKE_BITS) for i in range(head, len(x), rest)]
 
+    v = {r["doc_id"]: r["v"] for r in fp.text_vectors(df.select("doc_id", F.col("text").alias("t")), ["doc_id"]).collect()}
+    pair = spark.createDataFrame([(v[0], v[2], v[3])], "a struct<equal: array<bigint>, like: array<bigint>>, b struct<equal: array<bigint>, like: array<bigint>>, c struct<equal: array<bigint>, like: array<bigint>>")
+    got = pair.select(fp.added(F.col("a"), F.col("c")).alias("more"), fp.removed(F.col("b"), F.col("c")).alias("less")).first()
+    assert got["more"] == v[2] and got["less"] == v[0] == v[1]
     assert [(p + q) % m for (p, m), (q, _) in zip(lanes(prints[0]), lanes(prints[3]))] == [v for v, _ in lanes(prints[2])]
 
 
