@@ -27,7 +27,8 @@ WINDOW = LENGTH - ANCHOR + 1
 PLACE_BITS = 10
 #: Bytes that are hashed at once.
 SEGMENT = 1 << 19
-#: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group.
+#: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group; the rows that come
+#: out are the same, as tests hold with either way for all keys.
 MOST_CONTEXTS = 4096
 
 _BYTE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -222,12 +223,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, ctx, runs) for contexts that share some of their strings with another context of their key.
 
-    groups: a row for each key and ctx, with the place of one such context and variants, the contexts of the key.
+    groups: a row for each key and ctx of keys with several, with the place of one such context and variants, the
+    contexts of the key.
     runs: where these strings start, counted from the anchor, from low to high.
     """
     place = F.col("rep.place")
     one = F.struct("key", "ctx", _at(place).alias("at"), _low(place).alias("low"), _high(place).alias("high"))
-    wanted = groups.where("variants > 1").groupBy("rep.doc_id", "rep.th").agg(F.collect_list(one).alias("wanted"))
+    wanted = groups.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(one).alias("wanted"))
     places = wanted.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     held = texts.join(places, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
     contexts = held.mapInArrow(_cut, _CONTEXT_SQL)
@@ -245,7 +247,7 @@ def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.string())])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -269,16 +271,17 @@ def _remove(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Reco
                 kept.append(text[at:a])
                 at = b
             rest = b"".join([*kept, text[at:]])
-            rows.append((doc_id, len(text), len(text) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest().encode() if digest else rest))
+            kept_ = hashlib.sha256(rest).hexdigest().encode() if digest else rest
+            rows.append((doc_id, len(text), len(text) - len(rest), len(cuts), kept_, ",".join(f"{a}:{b}" for a, b in cuts.tolist())))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESULT)], schema=_RESULT)
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> DataFrame:
-    """A row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept.
+    """A row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept, spans.
 
     Texts are UTF-8 bytes, null ones empty. A byte goes if a string of LENGTH bytes around it also starts at another
     place of the text, or anywhere in another row's text; repeated rows are texts of their own, so they go whole. kept
-    has the bytes that stay, or their SHA-256 digest. Null and repeated ids and other columns do no harm, and an empty
+    has the bytes that stay, or their SHA-256 digest; spans has the removed runs of bytes as start:end, by commas. Null and repeated ids and other columns do no harm, and an empty
     table gives no rows. batches: the documents are added to the index family in so many parts.
     """
     entries = stored(suffix_entries(docs, batches), "suffix-entries", "batch")
@@ -290,22 +293,26 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     keys = stored(keys.distinct(), "suffix-keys")
     matched = stored(entries.drop("batch").join(keys, "key", "left_semi"), "suffix-matched")
     groups = matched.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("rep"))
-    groups = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("variants")), "key"), "suffix-groups")
+    groups = stored(groups, "suffix-groups")
+    # counted map-side; a key with a single context needs no row
+    variants = stored(groups.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1"), "suffix-variants")
+    shared = groups.join(variants, "key")
     texts = _texts(docs)
     # all strings of a context that occurs twice are repeated; of others, those that another context shares
     own = F.array(F.struct(_low(F.col("place")).alias("low"), _high(F.col("place")).alias("high")))
     whole = matched.join(groups.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("doc_id", "th", "place", own.alias("runs"))
-    single = groups.where("n = 1 and variants > 1").select("key", "ctx", "rep.*")
-    partly = single.join(repeated_strings(groups, texts), ["key", "ctx"]).select("doc_id", "th", "place", "runs")
+    single = shared.where("n = 1").select("key", "ctx", "rep.*")
+    partly = single.join(repeated_strings(shared, texts), ["key", "ctx"]).select("doc_id", "th", "place", "runs")
     spans = whole.union(partly).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
     span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
     by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
     by_row = by_row.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     joined = texts.join(by_row, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(lambda x: _remove(x, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(lambda x: _remove(x, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans string")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digest=True).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"), "spans",
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
     )

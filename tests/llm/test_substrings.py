@@ -22,7 +22,9 @@ def by_force(rows, length=substrings.LENGTH):
         mask = np.cumsum(gone)[:-1] > 0
         kept = bytes(np.frombuffer(t, dtype=np.uint8)[~mask])
         runs = int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum())
-        out.append((doc_id, len(t), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0])))).reshape(-1, 2)
+        spans = ",".join(f"{a}:{b}" for a, b in edges)
+        out.append((doc_id, len(t), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest(), spans, len(kept)))
     return sorted(out, key=repr)
 
 
@@ -43,13 +45,13 @@ def test_against_all_strings(spark, tmp_path, monkeypatch, most_contexts):
     rows = planted()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     out = substrings.op4_substrings(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_kept"]
     assert sorted(map(tuple, out.collect()), key=repr) == by_force(rows)
 
 
 def test_without_broadcast_and_repeated_rows(spark, docs, rows):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(docs, batches=3).collect()]
+    out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest(), r["spans"], len(r["kept"])) for r in substrings.remove_repeats(docs, batches=3).collect()]
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(out, key=repr) == by_force(rows)
 
