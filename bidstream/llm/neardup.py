@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import NOT_SPACE, documents, fits, small_batches, stored, text_of
+from bidstream.llm.common import documents, fits, small_batches, stored, text_of
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -348,12 +348,18 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     joined = components(links)
 
     grouped = members.select("key", "v", "m").join(joined, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed = grouped.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
-    parts = F.ceil(F.col("m") / CHUNK).cast("int")
+    # rows of a bucket's largest component meet the bucket's other rows only, so a bucket costs its size times what is not joined yet
+    counts = grouped.groupBy("key", "c").agg(F.count("*").alias("n_c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n_c", "c")).alias("top"), F.sum("n_c").alias("all_c"), F.count("*").alias("cs")).where("cs > 1")
+    mixed = mixed.select("key", F.col("top.c").alias("top_c"), *[
+        F.ceil(n / CHUNK).cast("int").alias(name) for n, name in ((F.col("top.n_c"), "tops"), (F.col("all_c") - F.col("top.n_c"), "rests"))
+    ])
+    is_top, deal = F.col("c") == F.col("top_c"), lambda parts: F.pmod(F.xxhash64("v"), parts).cast("int")
+    rest_parts, top_parts = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.col("rests"), F.col("rests") + F.col("tops") - 1)
     blocks = (
-        grouped.join(mixed, "key").join(reps.select("v", "n", "h1", "sig"), "v")
-        .withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        grouped.join(stored(mixed, "near-mixed"), "key").join(reps.select("v", "n", "h1", "sig"), "v")
+        .withColumn("part", F.when(is_top, F.col("rests") + deal(F.col("tops"))).otherwise(deal(F.col("rests"))))
+        .withColumn("other", F.explode(F.when(is_top, rest_parts).otherwise(F.concat(rest_parts, top_parts))))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "c", "n", "h1", "sig")
     )
     joined = components(links.union(links_across(blocks, docs, miss)))
@@ -367,17 +373,6 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group; one row of each doc_id, the one with most words, and all rows of none."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    one = W.partitionBy("id").orderBy(F.desc("words"), "key")
-    # the row is kept whole beside the names that are used here, which it may have as well
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    words = F.regexp_count(text_of(), F.lit(NOT_SPACE)).alias("words")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), words, whole)
-    return rows.join(gone, "id", "left_anti").withColumn("nth", F.row_number().over(one)).where("nth = 1 or id is null").select("row.*")
-
-
 def deduplicated_rows(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one row of each group of rows whose texts are linked: of the least doc_id, and there with most shingles.
 

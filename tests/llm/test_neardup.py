@@ -91,9 +91,23 @@ def test_posterior_bounds():
 
 
 def test_deduplicated_and_empty(docs, no_docs):
-    out = neardup.deduplicated(docs)
+    out = neardup.deduplicated_rows(docs)
     assert out.columns == docs.columns
-    kept = [r["doc_id"] for r in neardup.near_duplicates(docs).where("kept").select("doc_id").distinct().collect()]
-    assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted(kept, key=repr)
+    kept = {r["doc_id"] for r in neardup.near_duplicates(docs).where("kept").select("doc_id").collect()}
+    assert {r["doc_id"] for r in out.collect()} == kept
     assert {(r["size"], r["nth"], r["key"]) for r in out.collect()} <= {("s", "b", "k"), (None, None, None)}
-    assert neardup.near_duplicates(no_docs).count() == 0
+    assert neardup.near_duplicates(no_docs).count() == 0 and neardup.deduplicated_rows(no_docs).count() == 0
+
+
+def test_a_bucket_with_a_large_component_and_a_rest(spark, monkeypatch):
+    """Rows of the largest component are compared with the rest in blocks, not with one another."""
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 5, 6, 7, 8])):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((i, " ".join(words), "en", "a", 0, None, None, None))
+    compare(spark.createDataFrame(rows, SCHEMA), rows)

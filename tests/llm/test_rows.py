@@ -22,7 +22,7 @@ def test_texts_of_one_id(spark):
 
 def test_the_longer_of_two_texts_of_an_id_stays(spark):
     rows = [(i, t) for i in range(20) for t in ("", f"some words of {i} that nothing else has {i}{i}")]
-    assert all(r["text"] for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(r["text"] for r in neardup.deduplicated_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_kept_texts_with_repeated_rows_and_ids(spark, docs, rows):
