@@ -65,20 +65,22 @@ def places(text: Column, pattern: str, order: int, kind: str, group: int = 0, le
 
 
 def labelled_samples(docs: DataFrame, most: int) -> DataFrame:
-    """Tokens (token, secret): random strings made by rule, and identifiers of ORDINARY and of about `most` documents' words."""
+    """Tokens (token, secret): random strings made by rule, and identifiers of ORDINARY and of all words of `most` documents.
+
+    These documents are those whose ids and texts hash lowest, so the sample is the same whatever the partitions are.
+    """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = spark.range(0, 4000, 1, 4).select(F.explode(F.array(
         digest, F.substring(F.upper(F.translate(F.base64(F.unhex(digest)), "+/=", "")), 1, 40),
         F.translate(F.base64(F.unhex(digest)), "=", ""), F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", "_-"), 1, 32),
     )).alias("token"), F.lit(1).alias("secret"))
-    step = max(1, docs.count() // most)
     shuffled = F.transform(F.sequence(F.lit(0), F.lit(len(ORDINARY) - 1)), lambda i: F.struct(F.xxhash64(i, F.col("id")).alias("h"), i.alias("i")))
     listed = spark.range(0, 20, 1, 1).select(F.transform(F.sort_array(shuffled), lambda x: F.get(F.array(*map(F.lit, ORDINARY)), x["i"])).alias("w"))
-    words = F.filter(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 200), lambda w: ~w.rlike("[a-z][A-Z]"))
+    words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: ~w.rlike("[a-z][A-Z]"))
     names = F.array("a", "b", F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("-", F.lower("a"), F.col("n").cast("string")), F.upper(F.concat_ws("_", "a", "b")))
     ordinary = (
-        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).limit(2 * most)
+        docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(most)
         .select(words.alias("w")).unionByName(listed)
         .select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("a"), F.coalesce(F.get("w", i + 1), w).alias("b"), i.alias("n")))).alias("p"))
         .select("p.*").select(F.explode(names).alias("token"), F.lit(0).alias("secret"))
@@ -118,8 +120,8 @@ def find_secrets(docs: DataFrame, sample_docs: int = 2000, margin: float = 8.0)
 
     base holds the patterns' spans (assign, access, hex); spans holds these and the models' (markov), which overlap
     no base span. Null and empty texts have none. Repeated rows and ids, null ids and other columns are passed
-    over as they are; an empty table gives no rows. sample_docs: about so many documents give the ordinary words that
-    the model is trained from, twice as many at most. margin: the least log-likelihood ratio of a secret.
+    over as they are; an empty table gives no rows. sample_docs: at most so many documents give the ordinary words that
+    the model is trained from, whole texts of each. margin: the least log-likelihood ratio of a secret.
     """
     ratios = train(labelled_samples(docs, sample_docs))
     text = text_of()
