@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over a document's passages.
 
-A document is a bag of passages of PASSAGE words. Each passage becomes a vector of plain statistics, is encoded by a
-small layer, and gets a gated attention weight; the weighted sum of the encodings is scored. Only documents have
+A document is a bag of passages of PASSAGE words. Each passage becomes a vector of plain statistics and of hashed words
+and pairs of words, is encoded by a small layer, and gets a gated attention weight; the weighted sum of the encodings is scored. Only documents have
 labels; the weights of passages are learned from these. The model is trained in numpy on a bounded sample, and its
 few weights go to the executors with the scoring function.
 """
@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidstream.llm.common import documents, labels, small_batches, text_of
+from bidstream.llm.neardup import _mix, _powers
 
 PASSAGE, THRESHOLD = 64, 0.3
 #: small letters, capitals, digits, stops, marks, symbols, other ASCII, letters beyond ASCII, the rest
 CLASSES, SPACE = 9, 9
-FEATURES = CLASSES + 7
+#: Buckets of hashed words and of hashed pairs of words.
+WORDS, PAIRS = 64, 32
+FEATURES = CLASSES + 7 + WORDS + PAIRS
 
 
 def _class(c: str) -> int:
@@ -34,6 +37,13 @@ def _class(c: str) -> int:
 _CLASS_OF = np.array([_class(chr(i)) for i in range(0x2000)], dtype=np.int64)
 
 
+def _hashed(h: np.ndarray, at: np.ndarray, bags: int, buckets: int) -> np.ndarray:
+    """Signed counts of hashes in buckets, for each passage, of length 1 or less."""
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    counts = np.bincount(at * buckets + (h % np.uint64(buckets)).astype(np.int64), weights=sign, minlength=bags * buckets).reshape(bags, buckets)
+    return counts / np.maximum(1, np.sqrt((counts**2).sum(axis=1)))[:, None]
+
+
 def passages(text: str | None) -> np.ndarray:
     """A row of FEATURES numbers for each passage of the whole text; an empty text is one passage of zeros."""
     words = (text or "").split()
@@ -47,10 +57,17 @@ def passages(text: str | None) -> np.ndarray:
     counts = np.bincount(at * (CLASSES + 1) + kinds, minlength=bags * (CLASSES + 1)).reshape(bags, CLASSES + 1)[:, :CLASSES]
     starts = np.arange(0, n, PASSAGE)
     size = np.diff(np.append(starts, n))
-    hashes = np.fromiter(map(hash, words), dtype=np.int64, count=n)  # only told apart, so the seed plays no part
+    stops = np.append(np.flatnonzero(kinds == SPACE), len(chars))
+    begins = np.append(0, stops[:-1] + 1)
+    up, down = _powers(1 << max(16, len(chars).bit_length()))
+    sums = np.zeros(len(chars) + 1, dtype=np.uint64)
+    np.cumsum(_mix(chars.astype(np.uint64)) * up[: len(chars)], out=sums[1:])
+    hashes = _mix((sums[stops] - sums[begins]) * down[begins])
     again = np.append(hashes[1:] == hashes[:-1], False)
-    lengths = np.fromiter(map(len, words), dtype=np.float64, count=n)
-    ordered = np.lexsort((hashes, np.arange(n) // PASSAGE))
+    lengths = (stops - begins).astype(np.float64)
+    place = np.arange(n) // PASSAGE
+    pairs = _mix(hashes + np.append(hashes[1:], np.uint64(0)) * np.uint64(3))
+    ordered = np.lexsort((hashes, place))
     new = np.ones(n, dtype=np.int64)
     new[1:] = (hashes[ordered][1:] != hashes[ordered][:-1]) | (np.arange(1, n) % PASSAGE == 0)
     per = lambda x: np.add.reduceat(x, starts) / size
@@ -59,6 +76,7 @@ def passages(text: str | None) -> np.ndarray:
     return np.column_stack([
         counts / total[:, None], per(new), per(again.astype(np.float64)), mean / 10,
         np.sqrt(np.maximum(per(lengths**2) - mean**2, 0)) / 10, np.log1p(size) / 5, np.full(bags, np.log1p(n) / 10), np.ones(bags),
+        _hashed(hashes, place, bags, WORDS), _hashed(pairs, place, bags, PAIRS),
     ]).astype(np.float32)
 
 
@@ -118,7 +136,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, marks: DataFrame, most_docs: int = 6000, most_passages: int = 128) -> dict:
     """The model from at most `most_docs` labelled documents that are not held out, those whose ids hash lowest.
 
-    Of a document with more than `most_passages` passages, so many at even steps are used for training; scoring uses
+    Rows of one id give its least text. Of a document with more than `most_passages` passages, so many at even steps are used for training; scoring uses
     all. Both bounds are of the training sample alone. Ids with more than one label get the more frequent one, 1 at a tie;
     labels that are null or of no document are left out. Without any label every score is about one half.
     """
@@ -135,8 +153,9 @@ def train(docs: DataFrame, marks: DataFrame, most_docs: int = 6000, most_passage
             found = [x[np.linspace(0, len(x) - 1, most_passages).astype(int)] if len(x) > most_passages else x for x in found]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [x.tobytes() for x in found]})
 
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").mapInPandas(bags, "doc_id long, y double, x binary")
-    rows = sorted(sample.limit(2 * most_docs).collect(), key=lambda r: (r["doc_id"], r["x"]))
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # at most most_docs rows
+    rows = sorted(sample.mapInPandas(bags, "doc_id long, y double, x binary").collect(), key=lambda r: r["doc_id"])
     model = fit([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["y"] for r in rows]))
     if not rows:
         model["c"] = 0 * model["c"]
