@@ -119,14 +119,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
     edges = F.percentile_approx("distance", [i / annuli for i in range(1, annuli)] or [1.0], 1000)
     # one row for each pivot
     rings = {r["pivot"]: r["edges"] for r in keys.groupBy("pivot").agg(edges.alias("edges")).collect()}
-    ring_of = F.element_at(F.create_map(*[c for p, e in rings.items() for c in (F.lit(p), F.array(*map(F.lit, e)))]), F.col("pivot"))
-    ringed = keys.withColumn("ring", F.size(F.filter(ring_of, lambda e: e < F.col("distance"))))
+    ring_rows = spark.createDataFrame([(p, [float(e) for e in edges]) for p, edges in sorted(rings.items())], "pivot int, edges array<double>")
+    ringed = keys.join(F.broadcast(ring_rows), "pivot").withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("distance")))).drop("edges")
     # at most `annuli` rows for each pivot, and one more at its very edge
     cells = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).toPandas()
     cells = cells.sort_values(["pivot", "ring"], ignore_index=True)
     cells["blocks"] = -(-cells["n"] // BLOCK)
-    blocks = F.element_at(F.create_map(*[F.lit(int(v)) for r in cells.itertuples() for v in (r.pivot * (annuli + 1) + r.ring, r.blocks)]), F.col("cell"))
-    placed = ringed.withColumn("cell", F.col("pivot") * (annuli + 1) + F.col("ring")).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    cell_rows = spark.createDataFrame([(int(r.pivot * (annuli + 1) + r.ring), int(r.blocks)) for r in cells.itertuples()], "cell int, blocks int")
+    placed = (
+        ringed.withColumn("cell", F.col("pivot") * (annuli + 1) + F.col("ring")).join(F.broadcast(cell_rows), "cell")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    )
     placed = stored(placed.select("vec_id", "x", "cell", "block"), "topk-index")
     asked = placed.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
     asked = stored(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", "block"), "topk-queries")
@@ -138,9 +141,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
             return _best(np.array([]), np.array([]), np.zeros((0, 0)), k)
         return _best(v["vec_id"].to_numpy(), q["query_id"].to_numpy(), products(_matrix(q["q"], dims), _matrix(v["x"], dims)), k)
 
-    spread = placed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))))
     place = ["cell", "block", "group"]
-    home = stored(asked.groupBy(*place).cogroup(spread.groupBy(*place)).applyInPandas(search, _HITS), "topk-home")
+
+    def met(asking: DataFrame) -> DataFrame:
+        """Hits of queries in the blocks that they ask for; a block is copied for those groups only that ask for it."""
+        places = asking.select(F.col("cell").alias("cell_"), F.col("block").alias("block_"), F.col("group").alias("group_")).distinct()
+        spread = placed.join(places, (F.col("cell") == F.col("cell_")) & (F.col("block") == F.col("block_")))
+        spread = spread.select("vec_id", "x", "cell", "block", F.col("group_").alias("group"))
+        return asking.groupBy(*place).cogroup(spread.groupBy(*place)).applyInPandas(search, _HITS)
+
+    home = stored(met(asked), "topk-home")
     floor = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,13 +166,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
             at = np.repeat(np.arange(len(i)), count[j])
             block = np.arange(len(at)) - np.repeat(np.cumsum(count[j]) - count[j], count[j])
             out = pd.DataFrame({
-                "query_id": b["query_id"].to_numpy()[i[at]], "q": b["q"].to_numpy()[i[at]], "cell": cell[j[at]].astype(np.int32), "block": block.astype(np.int32),
+                "query_id": b["query_id"].to_numpy()[i[at]], "cell": cell[j[at]].astype(np.int32), "block": block.astype(np.int32),
                 "group": b["group"].to_numpy()[i[at]],
             })
             yield out[(out["cell"] != b["cell"].to_numpy()[i[at]]) | (out["block"] != b["block"].to_numpy()[i[at]])]
 
-    wanted = asked.join(floor, "query_id", "left").mapInPandas(visits, "query_id long, q array<bigint>, cell int, block int, group int")
-    away = wanted.groupBy(*place).cogroup(spread.groupBy(*place)).applyInPandas(search, _HITS)
+    wanted = asked.join(floor, "query_id", "left").mapInPandas(visits, "query_id long, cell int, block int, group int")
+    away = met(stored(wanted, "topk-visits").join(asked.select("query_id", "q"), "query_id"))
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return home.union(away).withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
