@@ -115,28 +115,3 @@ def classified_once(df: DataFrame, inputs: list[str], classify) -> DataFrame:
     same = [F.col(f"i.{c}").eqNullSafe(F.col(f"o.{c}")) for c in inputs]
     added = [F.col(f"o.{c}") for c in once.columns if c not in inputs]
     return df.alias("i").join(once.alias("o"), same, "left").select("i.*", *added)
-
-
-def lifecycle(status: Column, kind: Column, title: Column, notice_type: Column, deadline: Column, published: Column, now: Column) -> Column:
-    """The state of a notice at `now`; the first rule that holds decides."""
-    s = F.replace(F.lower(status), F.lit("-"), F.lit("_"))
-    head, t = F.trim(title), F.lower(F.coalesce(notice_type, F.lit("")))
-    recent = F.timestamp_diff("DAY", published, now) <= 90
-    return (
-        F.when(head.rlike(r"^(?:CANCELLED|CANCELED|AVLYST|KESKEYTETTY|PERUTTU)\b"), "CLOSED")
-        .when(head.rlike(r"(?i)^Bekanntmachung\s+Vergebener\s+Auftrag\b"), "AWARDED")
-        .when(head.rlike(r"(?i)^Transparenzbekanntmachung\b") & head.rlike(r"(?i)135.*(?:Abs\.?\s*3|absatz\s*3)"), "CLOSED")
-        .when(t.isin("veat", "dir-awa-pre"), "CLOSED")
-        .when(s.isin("cancelled", "canceled", "unsuccessful"), "CANCELLED")
-        .when(s == "withdrawn", "WITHDRAWN")
-        .when(s.isin("not_listed", "restricted"), "CLOSED")
-        .when((kind == "AWARD") | (s == "awarded"), "AWARDED")
-        .when(s.isin("closed", "complete", "completed", "terminated"), "CLOSED")
-        .when(s == "postponed", "UNKNOWN")
-        .when((s == "expired") | (deadline <= now), "EXPIRED")
-        .when(kind == "RENEWAL_SIGNAL", "FUTURE")
-        .when(kind.isin("EARLY_MARKET_ENGAGEMENT", "RFI"), F.when(deadline.isNotNull() | (s == "active") | recent, "EARLY_ENGAGEMENT").otherwise("UNKNOWN"))
-        .when(kind.isin("PIPELINE", "FUTURE_OPPORTUNITY", "STRATEGIC_INTENT"), "FUTURE")
-        .when(s.isin("active", "open") | deadline.isNotNull(), "OPEN")
-        .otherwise("UNKNOWN")
-    )

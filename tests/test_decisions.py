@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidstream.functions import translation as tr
-from bidstream.operators import classify, related, reviews, search
+from bidstream.operators import classify, related, reviews, search, states
 
 
 def one(spark, column, *values):
@@ -73,8 +73,22 @@ def test_rules_and_scores(spark):
 def test_lifecycle(spark, row, want):
     ts = lambda i: F.col(f"v{i}").cast("timestamp")
     df = spark.createDataFrame([row], "v0 string, v1 string, v2 string, v3 string, v4 string, v5 string")
-    state = classify.lifecycle(F.col("v0"), F.col("v1"), F.col("v2"), F.col("v3"), ts(4), ts(5), F.lit("2026-06-01 00:00:00").cast("timestamp"))
-    assert df.select(state).first()[0] == want
+    state = states.state_of(F.col("v0"), F.col("v1"), F.col("v2"), F.col("v3"), ts(4), ts(5), F.lit("2026-06-01 00:00:00").cast("timestamp"))
+    got = df.select(state.alias("s")).first()["s"]
+    assert got["state"] == want and got["reason"]
+
+
+def test_states_of_publishers_and_audiences(spark):
+    tables = states.StateTables(statuses={"zuschlag": states.Says(1, "AWARDED", "as the publisher has it")})
+    df = spark.sql("select 'Zuschlag' as s, 'TENDER' as k, 'x' as t, cast(null as string) as n, cast(null as timestamp) as d, current_timestamp() as now")
+    c = F.col
+    state = states.state_of(c("s"), c("k"), c("t"), c("n"), c("d"), c("d"), c("now"), tables=tables)
+    assert df.select(state.alias("s")).first()["s"]["state"] == "AWARDED"
+    rows = [("OPEN", "TENDER", "active", False, [], "x", None), ("OPEN", "TENDER", "postponed", False, [], "x", None), ("AWARDED", "AWARD", "", False, ["active"], "x", None),
+            ("AWARDED", "AWARD", "", False, ["cancelled"], "x", None), ("AWARDED", "AWARD", "", False, None, "uk5", None), ("OPEN", "TENDER", None, True, [], None, None)]
+    df = spark.createDataFrame(rows, "state string, kind string, status string, excluded boolean, a array<string>, n string, r string")
+    got = [tuple(r[0]) for r in df.select(states.audiences(c("state"), c("kind"), c("status"), c("excluded"), c("a"), c("n"), c("r"))).collect()]
+    assert got == [(True, False), (False, False), (False, True), (False, False), (False, False), (False, False)]
 
 
 def test_reviews(spark):
