@@ -1,10 +1,7 @@
-"""Identity of notices: exact keys, families, and the fold of revisions into records."""
+"""Identity of notices: exact keys, families, and what revisions leave of each fact."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,49 +65,3 @@ def merged_revisions(df: DataFrame, key: list[str], order: list[str], columns: l
         some = F.coalesce(*[F.when(has_fact(F.col(c)), F.lit(True)) for c in unit])
         pick += [F.max_by(c, F.when(some, at)).alias(c) for c in unit]
     return df.groupBy(*key).agg(*pick, F.count("*").alias("revisions"))
-
-
-def folded(df: DataFrame, component: str, schema: str, fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Each component's rows through a sequential fold; for sources whose rules depend on what was merged before.
-
-    Rows affect one another through shared keys only, so components fold apart. A component is what one legal
-    identity published, and is small; merged_revisions is for rules that need no order but time.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(rows.astype(object).where(rows.notna(), None).to_dict("records")), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return df.groupBy(component).applyInPandas(run, schema)
-
-
-def reconciled(rows: list[dict]) -> list[dict]:
-    """Records of one component: revisions in order of their time, each merged into the first record that a key finds.
-
-    A row has id, at, source, ocid, lot, keys (strongest first), title, amount, currency. An older revision adds keys
-    and widens the times it was seen at, but changes no fact; empty fields change none; amount and currency go together.
-    """
-    records: dict[str, dict] = {}
-    index: dict[str, str] = {}
-    for row in sorted(rows, key=lambda r: (r["at"], r["id"])):
-        match = next((index[k] for k in row["keys"] if k in index and _compatible(records[index[k]], row)), None)
-        if match is None:
-            match = row["id"] if row["id"] not in records else f"{row['id']}#{len(records)}"
-            records[match] = {**row, "id": match, "keys": list(row["keys"]), "first_seen": row["at"], "last_seen": row["at"], "versions": 1, "changes": 0}
-        else:
-            old = records[match]
-            old["versions"] += 1
-            old["keys"] += [k for k in row["keys"] if k not in old["keys"]]
-            if row["at"] >= old["at"]:
-                new = {"title": row["title"]} if row["title"] not in (None, *EMPTY) else {}
-                if row["amount"] is not None:
-                    new |= {"amount": row["amount"], "currency": row["currency"]}
-                old["changes"] += any(old[k] != v for k, v in new.items())
-                old |= new | {"at": row["at"]}
-            old["first_seen"], old["last_seen"] = min(old["first_seen"], row["at"]), max(old["last_seen"], row["at"])
-        for k in records[match]["keys"]:
-            index[k] = match
-    return list(records.values())
-
-
-def _compatible(a: dict, b: dict) -> bool:
-    return a["lot"] == b["lot"] and not (a["source"] == b["source"] and a["ocid"] and b["ocid"] and a["ocid"] != b["ocid"])

@@ -3,9 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from bidstream.operators import identity
-from bidstream.plans.revisions import RECORD
-
-KEYED = "id string, at long, source string, ocid string, lot string, keys array<string>, title string, amount double, currency string"
 
 
 def union_find(pairs):
@@ -37,46 +34,6 @@ def test_components_of_a_long_path(spark):
     assert got.where("component != 0").count() == 0 and got.count() == 301
 
 
-def revisions(rng, n):
-    rows = []
-    for i in range(n):
-        sparse = rng.random() < 0.3
-        keys = [f"{rng.choice('ru')}:{rng.randrange(n)}|lot:" for _ in range(rng.randint(1, 3))]
-        ocid = rng.choice(["", f"p{rng.randrange(6)}"])
-        rows.append({"id": f"n{i}", "at": rng.randrange(40), "source": rng.choice("ab"), "ocid": ocid, "lot": rng.choice(["", "", "1"]), "keys": ([f"ocid:{ocid}|lot:"] if ocid else []) + keys,
-                     "title": "" if sparse else rng.choice(["x", "y"]), "amount": None if sparse else float(rng.randrange(5)), "currency": "EUR"})
-    return rows
-
-
-def test_fold_by_component_is_the_fold_of_all(spark):
-    """Components never meet through a key, so one fold over everything gives what folds of components give."""
-    rng = random.Random(2)
-    for _ in range(3):
-        rows = revisions(rng, 60)
-        df = spark.createDataFrame([tuple(r[c.split()[0]] for c in KEYED.split(", ")) for r in rows], KEYED)
-        linked = identity.key_components(df.select("id", F.explode("keys").alias("key")), "id", "key")
-        strip = lambda out: [{k: v for k, v in x.items() if k not in ("keys", "at", "component")} for x in out]
-        out = identity.folded(df.join(linked, "id"), "component", RECORD, lambda r: strip(identity.reconciled(r)))
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        got = sorted((tuple(r[c] for c in names) for r in out.collect()), key=repr)
-        want = sorted((tuple(r[c] for c in names) for r in strip(identity.reconciled(rows))), key=repr)
-        assert got == want
-
-
-def test_an_older_revision_changes_no_fact():
-    base = {"source": "a", "ocid": "p", "lot": "", "keys": ["k"], "currency": "EUR"}
-    rows = [base | {"id": "1", "at": 5, "title": "new", "amount": 7.0}, base | {"id": "2", "at": 9, "title": "", "amount": None}]
-    record, = identity.reconciled(rows)
-    assert (record["title"], record["amount"], record["versions"], record["last_seen"]) == ("new", 7.0, 2, 9)
-
-
-def test_sources_with_other_procedures_stay_apart():
-    a = {"id": "1", "at": 1, "source": "s", "ocid": "p", "lot": "", "keys": ["k"], "title": "x", "amount": None, "currency": None}
-    assert len(identity.reconciled([a, a | {"id": "2", "ocid": "q"}])) == 2
-    assert len(identity.reconciled([a, a | {"id": "2", "ocid": "q", "source": "t"}])) == 1
-    assert len(identity.reconciled([a, a | {"id": "2", "lot": "L"}])) == 2
-
-
 def test_exact_keys(spark):
     df = spark.sql("select 'p' as o, array('r1', 'r1', 'r2') as refs, cast(null as array<string>) as urls, 'L' as lot union all select '', array(), array('u'), null")
     got = [r[0] for r in df.select(identity.exact_keys(F.col("o"), F.col("refs"), F.col("urls"), F.col("lot"))).collect()]
