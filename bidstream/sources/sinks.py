@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidstream.operators import history, ordered
+from bidstream.sources.shared import stored
 
 
 def bucket_of(key: str, digits: int = 2) -> Column:
@@ -33,7 +36,11 @@ def verified(spark: SparkSession, path: str, listed: DataFrame, partition: str,
 
 
 def archive_months(df: DataFrame, path: str, at: str, key: str, order: list[str]) -> None:
-    """Adds rows to an archive by month; of a key in a month the last stays, and months without new rows are not touched."""
+    """Adds rows to an archive by month; of a key in a month the last stays, and months without new rows are not touched.
+
+    The months that change are written to the shared folder first and read from there, so what is overwritten is read by
+    nothing that may have to run again.
+    """
     spark = df.sparkSession
     new = df.withColumn("month", F.date_format(at, "yyyy-MM"))
     months = [r[0] for r in new.select("month").distinct().collect()]  # calendar months
@@ -44,8 +51,38 @@ def archive_months(df: DataFrame, path: str, at: str, key: str, order: list[str]
             raise
         old = new.limit(0)
     merged = ordered.latest(old.select(*new.columns).unionByName(new), [key, "month"], order)
-    staged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    stored(merged, "archive").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def from_archive(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Archived rows with the keys of `wanted` (key, month): only the months that are asked for are read."""
+    months = [r[0] for r in wanted.select("month").distinct().collect()]  # calendar months
+    rows = spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
+    return rows.join(wanted.select(key, "month"), [key, "month"], "left_semi")
+
+
+def compacted(df: DataFrame, key: str, order: list[str], apply: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """One row (rows, keys, dropped, lost): what it comes to if of each key only the last row stays.
+
+    A dry run without `apply`. With it the compacted rows, from the shared folder, are handed to it, but only if no key is lost.
+    """
+    small = stored(ordered.latest(df, [key], order), "compacted")
+    before = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
+    after = small.agg(F.count("*").alias("kept"), F.count_distinct(key).alias("kept_keys"))
+    report = before.crossJoin(after).select("rows", "keys", (F.col("rows") - F.col("kept")).alias("dropped"), (F.col("keys") - F.col("kept_keys")).alias("lost"))  # one row each
+    if apply is not None:
+        if report.first()["lost"]:
+            raise ValueError("keys would be lost")
+        apply(small)
+    return report
+
+
+def write_if_changed(df: DataFrame, path: str, listed: DataFrame | None, partition: str, key: str) -> tuple[DataFrame, bool]:
+    """Writes `df` unless its manifest is the one that is listed already; the manifest, and whether anything was written."""
+    now = history.manifest(df, partition, key)
+    if listed is not None and not history.manifest_faults(df, listed, partition, key).limit(1).count():
+        return now, False
+    return write_shards(df, path, partition, key), True
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
