@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidstream.sources.shared import stored
+
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the last by `order`. Aggregated before the shuffle, so a key with many versions is no burden."""
@@ -31,9 +33,18 @@ def last_n(df: DataFrame, key: list[str], item: list[str], n: int, into: str) ->
 
 
 def round_robin(df: DataFrame, stratum: str, order: list[str], most: int | None = None) -> DataFrame:
-    """The turn of each row when strata take turns, in order; with `most`, only the first turns."""
-    turn = F.row_number().over(W.partitionBy(stratum).orderBy(*order)).cast("long")
-    out = df.withColumn("turn", turn)
+    """The turn of each row when strata take turns, in order; with `most`, only the first turns.
+
+    Rows are sorted by ranges and numbered in each; a range's turns go on from where the stratum's earlier ranges ended. So a
+    stratum with most of the rows is no single task's work. Only a count for each range and stratum is looked at as a whole.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stored(df.orderBy(stratum, *order).withColumn("at_", at), "turns").withColumn("range_", F.shiftright("at_", 33))
+    parts = rows.groupBy(stratum, "range_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))
+    earlier = W.partitionBy(stratum).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.withColumn("start_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))).select(F.col(stratum).alias("of_"), F.col("range_").alias("in_"), "first_", "start_")
+    on = F.col(stratum).eqNullSafe(F.col("of_")) & (F.col("range_") == F.col("in_"))
+    out = rows.join(starts, on).withColumn("turn", F.col("start_") + F.col("at_") - F.col("first_") + 1).select(*df.columns, "turn")
     return out if most is None else out.where(F.col("turn") <= most)
 
 
@@ -46,10 +57,23 @@ def rotation(df: DataFrame, kind: str, at: str, tie: str, now: Column) -> DataFr
     return marked.withColumns({"daily": kept[0], "weekly": kept[1]}).where("daily or weekly").drop("day_", "week_")
 
 
-def sliding(df: DataFrame, key: list[str], seconds: Column, width: int, amount: str) -> DataFrame:
-    """Count and sum of each key's rows in the last `width` seconds, the row itself among them."""
-    frame = W.partitionBy(*key).orderBy("second_").rangeBetween(-width, 0)
-    return df.withColumn("second_", seconds).withColumns({"in_window": F.count("*").over(frame), "sum_window": F.sum(amount).over(frame)}).drop("second_")
+def sliding(df: DataFrame, key: list[str], seconds: Column, width: int, amount: str, span: int = 64) -> DataFrame:
+    """Count and sum of each key's rows in the last `width` seconds, the row itself among them.
+
+    Rows are added up by second first. A key's seconds are cut into stretches of `span` widths, and each stretch has the seconds
+    before it that its rows look back on, so a key with most of the rows is spread over its time.
+    """
+    rows = df.withColumn("second_", seconds)
+    by_second = rows.groupBy(*key, "second_").agg(F.count("*").alias("n_"), F.sum(amount).alias("s_"))
+    own, also = F.floor(F.col("second_") / (width * span)), F.floor((F.col("second_") + width) / (width * span))
+    spread = by_second.withColumn("stretch_", F.explode(F.array_distinct(F.array(own, also)))).withColumn("own_", own)
+    frame = W.partitionBy(*key, "stretch_").orderBy("second_").rangeBetween(-width, 0)
+    sums = spread.withColumns({"in_window": F.sum("n_").over(frame), "sum_window": F.sum("s_").over(frame)}).where("stretch_ = own_")
+    sums = sums.select(*[F.col(c).alias(f"{c}_k") for c in key], F.col("second_").alias("second_k"), "in_window", "sum_window")
+    same = F.col("second_") == F.col("second_k")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
+    return rows.join(sums, same).select(*df.columns, "in_window", "sum_window")
 
 
 def once_a_day(df: DataFrame, key: list[str], at: str, order: list[str]) -> DataFrame:

@@ -39,8 +39,10 @@ def stable_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str) -> D
 def split(df: DataFrame, group: str, contaminated: Column, seed: str, test_share: int = 20) -> DataFrame:
     """part: train or test by the group's hash; a group with a contaminated row is train as a whole."""
     bucket = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")), 256), 1, 8), 16, 10).cast("long") % 100
-    tainted = F.max(contaminated).over(W.partitionBy(group))
-    return df.withColumn("part", F.when(tainted | (bucket >= test_share), "train").otherwise("test"))
+    tainted = df.where(contaminated).select(F.col(group).alias("tainted_")).distinct()
+    rows = df.join(tainted, F.col(group).eqNullSafe(F.col("tainted_")), "left")
+    part = F.when(F.col("tainted_").isNotNull() | (bucket >= test_share), "train").otherwise("test")
+    return rows.withColumn("part", part).drop("tainted_")
 
 
 def storage_health(df: DataFrame, part: str, size: Column, warn: int, stop: int) -> DataFrame:

@@ -36,36 +36,59 @@ def norms(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.sqrt(F.sum(F.pow(F.col("idf") * F.col("weight"), 2))).alias("norm"))
 
 
-def related(queries: DataFrame, index: DataFrame, key: str, least_text: float = 0.035, least_shared: int = 2, k: int = 10) -> DataFrame:
+def related(queries: DataFrame, index: DataFrame, key: str, least_text: float = 0.035, least_shared: int = 2, k: int = 10, first: int = 4096) -> DataFrame:
     """(query, key, shared, text, rank): for each query (query, term, weight) of the index the `k` most alike others.
 
-    text is the cosine; common terms are left out of the product but not of the norms. Terms that are left out are
-    those that would pair most documents, so a term's list is what bounds the join. It is meant for a query set.
+    text is the cosine; common terms are left out of the product but not of the norms. A query's terms are taken from the
+    rarest on. Those with `first` postings in all find some others, whose exact scores bound the k-th best from below. A document
+    that has none of the terms up to some point scores no more than the share of the query's norm that lies beyond it, so
+    terms beyond the point where that falls under the bound only complete the scores of what was found before.
     """
-    sized = norms(index, key)
-    usable = index.where((F.col("n") < 10) | (F.col("df") / F.col("n") <= COMMON))
-    wanted = queries.select("query", "term", F.col("weight").alias("wq"))
-    pairs = (
-        wanted.join(usable, "term").where(F.col("query") != F.col(key))
-        .groupBy("query", key).agg(F.sum(F.col("idf") * F.col("idf") * F.col("wq") * F.col("weight")).alias("dot"), F.count("*").alias("shared"))
-        .where(F.col("shared") >= least_shared)
-    )
-    scored = (
-        pairs.join(sized, key).join(sized.select(F.col(key).alias("query"), F.col("norm").alias("norm_q")), "query")
-        .withColumn("text", F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6)).where(F.col("text") >= least_text)
-    )
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("text"), F.col(key)))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "shared", "text", "rank")
-
-
-def blocked_pairs(df: DataFrame, block: list[str], key: str, near: Column) -> DataFrame:
-    """Pairs (a, b) of one block for which `near` holds, a predicate over columns a.* and b.*.
-
-    A block is a legal buyer or the like, of bounded size; a theta join without one would compare everything.
-    """
-    a, b = df.alias("a"), df.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block]
-    return a.join(b, [*same, F.col(f"a.{key}") < F.col(f"b.{key}"), near]).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    sized = stored(norms(index, key), "norms")
+    usable = index.where((F.col("n") < 10) | (F.col("df") / F.col("n") <= COMMON)).select(key, "term", "weight", "df", "idf")
+    terms = usable.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))  # one value each
+    of_query = sized.select(F.col(key).alias("query"), F.col("norm").alias("norm_q"))
+    rarest = W.partitionBy("query").orderBy("df", "term")
+    on = rarest.rowsBetween(0, W.unboundedFollowing)
+    wanted = queries.select("query", "term", F.col("weight").alias("wq")).join(terms, "term").join(of_query, "query")
+    own = F.col("idf") * F.col("wq")
+    # beyond: the share of the norm that lies in a term and those after it; after: in those after it alone
+    wanted = wanted.withColumns({
+        "beyond": F.sqrt(F.sum(own * own).over(on)) / F.col("norm_q"), "read": F.sum("df").over(rarest.rowsBetween(W.unboundedPreceding, -1)),
+        "after": F.sqrt(F.coalesce(F.sum(own * own).over(rarest.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))) / F.col("norm_q"),
+    })
+    wanted = stored(wanted.withColumn("early", F.coalesce("read", F.lit(0)) < first), "related-terms")
+    slim = usable.select(key, "term", "weight")
+    product = F.col("idf") * F.col("idf") * F.col("wq") * F.col("weight")
+
+    def found(some: DataFrame) -> DataFrame:
+        """(query, key, dot, shared) of documents that share some of the terms."""
+        hits = some.join(slim, "term").where(F.col("query") != F.col(key))
+        return hits.groupBy("query", key).agg(F.sum(product).alias("dot"), F.count("*").alias("shared"))
+
+    def completed(pairs: DataFrame, rest: DataFrame) -> DataFrame:
+        """Pairs with what the rest of their query's terms adds, scored."""
+        more = pairs.select("query", key).join(rest, "query").join(slim, [key, "term"]).groupBy("query", key).agg(F.sum(product).alias("dot_"), F.count("*").alias("shared_"))
+        whole = pairs.join(more, ["query", key], "left").select(
+            "query", key, (F.col("dot") + F.coalesce("dot_", F.lit(0.0))).alias("dot"), (F.col("shared") + F.coalesce("shared_", F.lit(0))).alias("shared")
+        )
+        text = F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6)
+        return whole.where(F.col("shared") >= least_shared).join(sized, key).join(of_query, "query").withColumn("text", text).where(F.col("text") >= least_text)
+
+    best = W.partitionBy("query").orderBy(F.desc("text"), F.col(key))
+    early = found(wanted.where("early")).join(sized, key)
+    likely = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("dot") / F.col("norm")), F.col(key)))
+    early = early.withColumn("nth", likely).where(F.col("nth") <= 2 * k).select("query", key, "dot", "shared")
+    kth = completed(early, wanted.where("not early")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k)
+    bounds = stored(kth.select("query", F.col("text").alias("bound")), "related-bounds")
+    # what is rounded to six places may have been less by half a unit
+    bounded = wanted.join(bounds, "query", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(least_text)), F.lit(least_text)) - 2e-6)
+    leading, trailing = bounded.where("beyond >= bound"), bounded.where("beyond < bound")
+    left = leading.groupBy("query").agg(F.min("after").alias("left"), F.first("bound").alias("bound"), F.first("norm_q").alias("norm_q"))
+    maybe = found(leading).join(left, "query").join(sized, key).where(F.col("dot") / (F.col("norm") * F.col("norm_q")) + F.col("left") >= F.col("bound"))
+    maybe = stored(maybe.select("query", key, "dot", "shared"), "related-pairs")
+    scored = completed(maybe, trailing)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", key, "shared", "text", "rank")
 
 
 @F.pandas_udf(T.DoubleType())
