@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from zoneinfo import available_timezones
 
@@ -40,12 +41,17 @@ def zoned_instant(local: Column, zone: Column) -> Column:
     Spark resolves both silently; so instants around its answer are tried, and must show `local` and be alone in it.
     `zone` has to be known: an unknown name is an error in Spark.
     """
-    # the local time taken as UTC, and zones' offsets from it in steps of 15 minutes near Spark's own answer
-    guess = F.to_utc_timestamp(local, zone)
+    # answers near Spark's own, in steps of half an hour
+    guess = F.convert_timezone(zone, F.lit("UTC"), local)
     steps = F.array(*[F.lit(m) for m in (-120, -60, -30, 0, 30, 60, 120)])
     tried = F.transform(steps, lambda m: F.timestamp_add("MINUTE", m, guess))
-    real = F.array_distinct(F.filter(tried, lambda t: F.from_utc_timestamp(t, zone) == local.cast("timestamp")))
-    return F.when(F.size(real) == 1, F.get(real, 0))
+    real = F.array_distinct(F.filter(tried, lambda t: F.convert_timezone(F.lit("UTC"), zone, t) == local))
+    return F.when(F.size(real) == 1, _as_utc(F.get(real, 0)))
+
+
+def _as_utc(local: Column) -> Column:
+    """The instant of a time without a zone that is in UTC, whatever the session's zone is."""
+    return F.timestamp_micros(micros(local))
 
 
 def end_of_day(date: Column, zone: Column) -> Column:
@@ -53,7 +59,7 @@ def end_of_day(date: Column, zone: Column) -> Column:
     last = F.concat(date, F.lit(" 23:59:59")).try_cast("timestamp_ntz")
     known = zone.isin(*known_zones())
     there = F.when(known, zoned_instant(last, F.when(known, zone).otherwise(F.lit("UTC"))))
-    anywhere = F.timestamp_add("HOUR", F.lit(12), last.cast("timestamp"))
+    anywhere = _as_utc(F.timestamp_add("HOUR", F.lit(12), last))
     return F.coalesce(there, anywhere) + F.expr("INTERVAL 0.999999 SECOND")
 
 
@@ -76,3 +82,71 @@ def response_deadline(deadlines: Column) -> Column:
 def shown_deadline(instants: Column, now: Column) -> Column:
     """The earliest that is still open, else the latest that has passed."""
     return F.coalesce(F.array_min(F.filter(instants, lambda t: t > now)), F.array_max(instants))
+
+
+def xml_deadline(day: Column, clock: Column) -> Column:
+    """ISO text of a day and a clock that may each carry an offset; the clock's counts. A clock without any offset is left out.
+
+    Null for a day that is none, and for a clock that is none.
+    """
+    offset = r"(Z|[+-]\d{2}:\d{2})$"
+    good_day, good_clock = day.rlike(r"^\d{4}-\d{2}-\d{2}(Z|[+-]\d{2}:\d{2})?$"), clock.rlike(r"^\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$")
+    bare, none = F.substring(day, 1, 10), F.coalesce(clock, F.lit("")) == ""
+    zone = F.coalesce(F.nullif(F.regexp_extract(clock, offset, 1), F.lit("")), F.nullif(F.regexp_extract(day, offset, 1), F.lit("")))
+    timed = F.when(zone.isNull(), bare).otherwise(F.concat(bare, F.lit("T"), F.regexp_replace(clock, offset, ""), zone))
+    return F.when(good_day & none, bare).when(good_day & good_clock, timed)
+
+
+MONTHS = "january february march april may june july august september october november december".split()
+_DAY = r"(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day,?\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + r")\.?,?\s+(\d{4})"
+_CLOCK = r"(\d{1,2})(?:[:.](\d{2}))?\s*(am|pm|noon|hrs|hours)?"
+
+
+def prose_deadlines(text: Column, labels: tuple[str, ...], stops: tuple[str, ...] = (), reach: int = 95) -> Column:
+    """Days (yyyy-MM-dd, with T and the time if one is given) that stand after a label, no more than `reach` characters on.
+
+    labels: words that name the response deadline; stops: words at which a label's reach ends, such as the next row of a timeline. A
+    sentence's end is one too. Of entries for one day the timed one counts; days come in order.
+    """
+    low = F.lower(text)
+    named = "|".join(re.escape(x.lower()) for x in sorted(labels, key=len, reverse=True))
+    tails = F.regexp_extract_all(low, F.lit(rf"(?:{named})((?:(?!{named}).){{0,{reach}}})"), F.lit(1))
+    ended = F.transform(tails, lambda t: F.get(F.split(t, "[!?]" + "".join(rf"|(?<!\w){re.escape(x.lower())}(?!\w)" for x in stops), 2), 0))
+    part = lambda t, i: F.regexp_extract(t, _DAY, i)
+    after = lambda t: F.regexp_extract(t, _DAY + r"(?:\s*(?:,|at|by|-|–)?\s*(?:at\s+|by\s+)?" + _CLOCK + r")?", 0)
+    before = lambda t: F.regexp_extract(t, _CLOCK + r"\s*(?:on|,)\s+(?:the\s+)?" + _DAY, 0)
+
+    def one(t: Column) -> Column:
+        day = F.concat_ws("-", part(t, 3), F.lpad(_month(part(t, 2)).cast("string"), 2, "0"), F.lpad(part(t, 1), 2, "0"))
+        clock = F.when(before(t) != "", F.regexp_extract(before(t), "^" + _CLOCK, 0)).otherwise(
+            F.regexp_extract(after(t), _DAY + r"\s*(?:,|at|by|-|–)?\s*(?:at\s+|by\s+)?(" + _CLOCK + ")$", 4)
+        )
+        return F.when(day.try_cast("date").isNotNull() & (part(t, 3) != ""), F.concat(day, F.coalesce(F.concat(F.lit("T"), _clock(clock)), F.lit(""))))
+
+    found = F.array_sort(F.array_compact(F.transform(ended, one)))
+    return timed_first(found)
+
+
+def _month(name: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(name, 1, 3)).cast("int")
+
+
+def _clock(text: Column) -> Column:
+    """HH:mm of a clock such as 5pm, 17:00 or 12 noon; null for a bare number without minutes or half of the day."""
+    pick = lambda i: F.regexp_extract(text, "^" + _CLOCK + "$", i)
+    half, minute, hour = pick(3), F.coalesce(F.nullif(pick(2), F.lit("")), F.lit("00")), pick(1).try_cast("int")
+    shifted = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).when(half == "noon", F.lit(12)).otherwise(hour)
+    good = (shifted < 24) & (minute.try_cast("int") < 60) & ((half != "") | (pick(2) != ""))
+    return F.when(good, F.concat(F.lpad(shifted.cast("string"), 2, "0"), F.lit(":"), minute))
+
+
+def timed_first(values: Column) -> Column:
+    """Of ISO texts of one day the longest, so a time is not lost to a bare date; days in order."""
+    days = F.array_distinct(F.transform(values, lambda v: F.substring(v, 1, 10)))
+    longest = lambda d: F.array_max(F.transform(F.filter(values, lambda v: v.startswith(d)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
+    return F.array_sort(F.transform(days, longest))
+
+
+def engagement_deadline(text: Column, labels: tuple[str, ...] = ("responses by", "respond by", "register interest by", "expressions of interest by", "closing date")) -> Column:
+    """The first day by which a notice of early engagement asks for answers in its prose; null if it names none."""
+    return F.get(prose_deadlines(text, labels, ("contract start", "award")), 0)

@@ -38,8 +38,8 @@ class _Visible(HTMLParser):
             self.parts.append(data)
 
 
-def clean_text(value: str | None, limit: int = 24000) -> str:
-    """Visible text, NFKC, white space collapsed, cut at `limit` characters."""
+def clean_text(value: str | None, limit: int | None = None) -> str:
+    """Visible text, NFKC, white space collapsed; whole, or cut at `limit` characters."""
     text = value or ""
     if "<" in text and ">" in text:
         parser = _Visible()
@@ -71,8 +71,31 @@ def _vectorised(function):
 
 
 clean = _vectorised(clean_text)
-search_text = _vectorised(fold_for_index)
-folded = _vectorised(fold_for_query)
+_fold_for_index, _fold_for_query = _vectorised(fold_for_index), _vectorised(fold_for_query)
+
+
+def _plain(text: Column, lower: Column, other: Column) -> Column:
+    """The quick form of ASCII text, which needs no Unicode rules; other text takes the long way."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^[\x00-\x7f]*$"), lower).otherwise(other)
+
+
+def search_text(text: Column) -> Column:
+    """fold_for_index() of a column; ASCII text stays in the JVM."""
+    t = F.coalesce(text, F.lit(""))
+    return _plain(text, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"\W+", " ")), F.lit(" ")), _fold_for_index(_unless_ascii(t)))
+
+
+def folded(text: Column) -> Column:
+    """fold_for_query() of a column; ASCII text stays in the JVM."""
+    t = F.coalesce(text, F.lit(""))
+    return _plain(text, F.trim(F.regexp_replace(F.lower(t), r"[\W_]+", " ")), _fold_for_query(_unless_ascii(t)))
+
+
+def _unless_ascii(text: Column) -> Column:
+    """Empty for ASCII text, so that little of it goes to Python."""
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lit("")).otherwise(text)
+
+
 normal_text = _vectorised(lambda v: re.sub(r"[^\w]+", " ", clean_text(v).casefold()).strip())
 unescaped = _vectorised(lambda v: html.unescape(v or ""))
 
@@ -153,3 +176,56 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, n = hits / n, n.cast("double")
     centre, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
+
+
+def prefix(text: Column, most: int, mark: str = "…") -> Column:
+    """At most `most` code points of a text; one that is cut ends at a word, where there is one, and with a mark."""
+    cut = F.substring(text, 1, most - len(mark))
+    at_word = F.when(cut.rlike(r"\s\S*$"), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(at_word, F.lit(mark)))
+
+
+def in_language(values: Column, preferred: tuple[str, ...] = ("en",)) -> Column:
+    """Of a map from language to text the first preferred one that is not blank, else that of the least language code."""
+    good = F.map_filter(values, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    first = F.get(F.array_sort(F.map_keys(good)), 0)
+    return F.coalesce(*[F.try_element_at(good, F.lit(p)) for p in preferred], F.try_element_at(good, first))
+
+
+def under_key(document: Column, key: str) -> Column:
+    """Text values under a key anywhere in a JSON document, in document order; numbers and booleans as text.
+
+    The document is read as a whole for its syntax; the values are found by their key's pattern, which stands at any depth.
+    """
+    ok = F.try_parse_json(document).isNotNull()
+    pattern = rf'"{re.escape(key)}"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false)'
+    raw = F.regexp_extract_all(document, F.lit(pattern), F.lit(1))
+    text = F.transform(raw, lambda v: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v))
+    return F.when(ok, text).otherwise(F.array().cast("array<string>"))
+
+
+def joined(*columns: Column) -> Column:
+    """What a search over a record reads: its texts and lists, one after the other, blanks left out."""
+    return F.trim(F.regexp_replace(F.concat_ws(" ", *columns), r"\s+", " "))
+
+
+def money_shown(low: Column, high: Column, currency: Column) -> Column:
+    """An amount or a range with thousands, and its currency; empty without an amount."""
+    n = lambda v: F.format_number(v, 0)
+    span = F.when(low.isNotNull() & high.isNotNull() & (low != high), F.concat(n(low), F.lit(" to "), n(high))).otherwise(n(F.coalesce(high, low)))
+    return F.when(F.coalesce(high, low).isNull(), F.lit("")).otherwise(F.concat_ws(" ", span, currency))
+
+
+#: Labels that publishers put before a lot's own title.
+LOT_LABEL = r"(?i)^\s*(?:lot|los|lote|lotto|parcela)\s*(?:n[o°.]*\s*)?[0-9]+[a-z]?\s*[:.\-–—)]*\s*"
+
+
+def lot_title(title: Column, procedure: Column) -> Column:
+    """A lot's title without its label, null if it says nothing that the procedure's title does not."""
+    bare = F.nullif(F.trim(F.regexp_replace(title, LOT_LABEL, "")), F.lit(""))
+    return F.when(~F.lower(bare).eqNullSafe(F.lower(F.trim(procedure))), bare)
+
+
+def brief(title: Column, buyer: Column, deadline: Column, description: Column, most: int = 280) -> Column:
+    """A notice in a few lines: what is not known is left out."""
+    return F.concat_ws("\n", title, buyer, F.when(deadline.isNotNull(), F.concat(F.lit("Due "), deadline)), prefix(description, most))

@@ -43,7 +43,7 @@ def restored(text: Column, literals: Column) -> Column:
 
 def pieces(text: Column, most: int) -> Column:
     """The text cut after sentences or spaces into pieces of at most `most` characters; joined, they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{most}}}(?<=[.!?]\s)|.{{1,{most}}}(?<=\s)|.{{1,{most}}})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{most}}}\z|.{{1,{most}}}(?<=[.!?]\s)|.{{1,{most}}}(?<=\s)|.{{1,{most}}})"), F.lit(1))
 
 
 #: Frequent words by language; fixed.
