@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidstream.plans import ingest, relations, revisions, searching, texts
+from bidstream.plans import cases, ingest, records, relations, revisions, searching, texts
 
-_MODULES = (searching, revisions, texts, relations, ingest)
+_MODULES = (searching, revisions, texts, relations, ingest, records, cases)
 
 
 def queries() -> dict:

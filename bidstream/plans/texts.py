@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidstream.functions import dates, text as tx
-from bidstream.operators import checks, classify, history, identity, quality, related
+from bidstream.operators import checks, classify, history, identity, quality, related, states
 from bidstream.operators.capabilities import prefiltered
 from bidstream.plans.notices import NOTICES_SQL, notices, now
 from bidstream.sources import config
@@ -189,17 +189,6 @@ def exact_dupes(spark, d):
     return docs.join(groups, "digest").select("doc_id", "first_id", "copies")
 
 
-@query()
-def fuzzy_dupes(spark, d):
-    """Pairs of suppliers of one nation with names that are nearly the same and balances within 30 %."""
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    near = F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) <= 0.3 * F.abs(F.col("a.s_acctbal"))
-    pairs = related.blocked_pairs(rows, ["s_nationkey"], "s_suppkey", near)
-    name = rows.select("s_suppkey", "s_name")
-    named = pairs.join(name.toDF("a", "name_a"), "a").join(name.toDF("b", "name_b"), "b")
-    return named.withColumn("ratio", F.round(related.indel_ratio("name_a", "name_b"), 3)).where("ratio >= 94").select("a", "b", "ratio")
-
-
 @query("""
 WITH w AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT s_suppkey, n_name, count(l_orderkey) AS awards FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN w ON l_suppkey = s_suppkey GROUP BY ALL
@@ -254,19 +243,26 @@ def deadline_instants(spark, d):
     return cases.select("case_id", F.unix_micros(dates.response_deadline(F.col("deadlines"))).alias("ends_us"))
 
 
-_STATE_SQL = """CASE WHEN status = 'P' AND priority = '1-URGENT' THEN 'CANCELLED' WHEN status = 'F' THEN 'AWARDED'
-  WHEN day + 300 <= DATE '2001-06-01' THEN 'EXPIRED' WHEN status = 'P' THEN 'FUTURE' ELSE 'OPEN' END"""
+_STATE_SQL = """
+SELECT id, CASE rule WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'AWARDED' WHEN 3 THEN 'EXPIRED' WHEN 4 THEN 'FUTURE' ELSE 'OPEN' END AS state,
+  CASE rule WHEN 1 THEN 'the source reports a cancellation' WHEN 2 THEN 'an award notice, not a competition' WHEN 3 THEN 'the response window is over'
+    WHEN 4 THEN 'an intention is published, and no competition yet' ELSE 'the source reports an active procedure' END AS reason,
+  rule > 3 AND id % 11 > 0 AS opportunity, rule = 2 AND id % 11 > 0 AS award
+FROM (SELECT id, CASE WHEN status = 'P' AND priority = '1-URGENT' THEN 1 WHEN status = 'F' THEN 2 WHEN day + 300 <= DATE '2001-06-01' THEN 3 WHEN status = 'P' THEN 4 ELSE 5 END AS rule FROM notices)
+"""
 
 
-@query(f"WITH {NOTICES_SQL} SELECT id, {_STATE_SQL} AS state FROM notices")
+@query(f"WITH {NOTICES_SQL} {_STATE_SQL}")
 def lifecycle_state(spark, d):
-    """Pending urgent notices as cancelled, finished ones as awards, and a response window of 300 days."""
+    """Pending urgent notices as cancelled, finished ones as awards, a response window of 300 days; every eleventh is excluded."""
     rows = notices(spark, d)
     status = F.when((F.col("status") == "P") & (F.col("priority") == "1-URGENT"), "cancelled").when(F.col("status") == "O", "active").otherwise("")
     kind = F.when(F.col("status") == "F", "AWARD").when(F.col("status") == "P", "PIPELINE").otherwise("TENDER")
-    due = F.date_add("day", 300).cast("timestamp_ntz")
-    state = classify.lifecycle(status, kind, F.lit("notice"), F.lit(None).cast("string"), due, F.col("day").cast("timestamp_ntz"), now("2001-06-01 00:00:00"))
-    return rows.select("id", state.alias("state"))
+    due, none = F.date_add("day", 300).cast("timestamp_ntz"), F.lit(None).cast("string")
+    state = states.state_of(status, kind, F.lit("notice"), none, due, F.col("day").cast("timestamp_ntz"), now("2001-06-01 00:00:00"))
+    rows = rows.select("id", state.alias("s"), kind.alias("kind"), status.alias("named"))
+    shown = states.audiences(F.col("s.state"), F.col("kind"), F.col("named"), F.col("id") % 11 == 0, F.array().cast("array<string>"), none, none)
+    return rows.select("id", "s.state", "s.reason", shown.alias("a")).select("id", "state", "reason", "a.opportunity", "a.award")
 
 
 @query("SELECT text_id, rows, contents FROM (SELECT doc_id % 100 AS text_id, count(*) AS rows, count(DISTINCT text) AS contents FROM documents GROUP BY 1) WHERE contents > 1")
