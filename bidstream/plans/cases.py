@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bidstream.functions import dates, text as tx, translation as tr
 from bidstream.operators import classify, normalise, related, reviews, scope, tiers
+from bidstream.operators.capabilities import Capability, prefiltered
 from bidstream.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -279,3 +280,36 @@ def disposable_records(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     old = [F.col("o_orderdate") < F.lit("1999-01-01").cast("date"), F.col("o_totalprice") < 200000]
     return reviews.disposable(orders, old, orders.where("o_orderpriority = '1-URGENT'"), "o_custkey").select("o_orderkey")
+
+
+_VOCABULARY = [
+    Capability("crm", "platform", explicit=("crm",), needs=("case handling",)), Capability("bot", "ai", contextual=("assistant",), context=("ai",)),
+    Capability("link", "external_integration", needs=("interface",)),
+]
+_SCORED = [
+    ("New CRM", "An AI assistant answers. Case handling too.", ["48000000"], 76, True, "platform", "bot,crm", 3), ("Roads", "No CRM is wanted.", [], 0, False, "other", "", 0),
+    ("Assistant", "x", ["48000000"], 12, True, "other", "", 0), ("Case handling", None, None, 44, True, "platform", "crm", 1), ("AI assistant", "", [], 16, True, "other", "bot", 1),
+    ("An interface", "", [], 10, False, "other", "link", 1), ("An interface", "", ["48100000"], 56, True, "other", "link", 1),
+]
+
+
+@_query("SELECT o_orderkey AS id, v.* EXCLUDE (case_) FROM orders JOIN (VALUES " + ", ".join(
+    f"({i}, {r[3]}, {str(r[4]).lower()}, '{r[5]}', '{r[6]}', {r[7]})" for i, r in enumerate(_SCORED)
+) + f") AS v(case_, score, candidate, priority, capabilities, quotes) ON o_orderkey % {len(_SCORED)} = case_")
+def capability_cases(spark, d):
+    """Scores of notices by evidence: in the title, by needs, in context, by code, negated, and of weak families alone."""
+    listed_ = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_SCORED)], "case_ int, title string, description string, codes array<string>")
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(len(_SCORED))).cast("int").alias("case_"))
+    out = prefiltered(ids.join(F.broadcast(listed_), "case_"), _VOCABULARY, ("48",))
+    return out.select("id", "score", "candidate", "priority", F.array_join("capabilities", ",").alias("capabilities"), F.size("evidence").alias("quotes"))
+
+
+@_query("SELECT page_id, CASE WHEN contains(html, '<article>') THEN 1 ELSE 0 END::BIGINT AS articles, 0::BIGINT AS tags, 0::BIGINT AS scripts FROM pages")
+def pages_cleaned(spark, d):
+    """Whole pages as visible text: no tags of the pages' own kinds and no scripts are left, and the article's are counted."""
+    pages = table(spark, d, "pages")
+    text = tx.clean(c("html"))
+    return pages.select("page_id", "html", text.alias("text")).select(
+        "page_id", F.when(c("html").contains("<article>"), 1).otherwise(0).cast("long").alias("articles"),
+        F.regexp_count("text", F.lit("</?(?:p|b|div|li|ul|article|h1|nav)>")).cast("long").alias("tags"), F.regexp_count("text", F.lit(r"track\(0\);|margin:0")).cast("long").alias("scripts"),
+    )
