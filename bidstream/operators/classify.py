@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidstream.functions.text import phrase_hits
+from bidstream.operators import scope
 
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 
@@ -45,10 +45,8 @@ def scope_text(text: Column) -> Column:
 
 
 def affirmed(text: Column, phrase: str) -> Column:
-    """Whether a phrase stands in a clause that does not negate it before it; a later clause may."""
-    clauses = F.split(F.lower(text), r"[;:.!?]|,? but |,? however ")
-    negated = rf"(?U)\b(?:no|not|without|excluding|except|neither|never)\b[^,]*(?<!\w){re.escape(phrase.lower())}(?!\w)"
-    return F.exists(clauses, lambda c: c.rlike(rf"(?U)(?<!\w){re.escape(phrase.lower())}(?!\w)") & ~c.rlike(negated))
+    """Whether a phrase stands in a clause that negates it neither before nor after it; a later clause may."""
+    return F.exists(scope.clauses(text), lambda c: scope.says(c, scope.words((phrase,))))
 
 
 def requirements(text: Column, most: int = 5) -> Column:

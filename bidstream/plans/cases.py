@@ -193,15 +193,19 @@ def _releases() -> list[tuple[str, ...]]:
 _RELEASES = _releases()
 
 
+#: Kinds whose payloads are JSON texts.
+TEXT_KINDS = ("ocds", "gazette")
+
+
 def _normalised(name: str, kind: str, columns: dict[str, str], rows: list[tuple], made: list[str], doc: str) -> None:
     """Registers a query that normalises one raw row for each order; a row's URL or number tells which case it is."""
 
     def run(spark, d):
         n = len(rows)
-        raw = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_ int, payload " + ("string" if kind == "ocds" else "map<string,string>"))
+        raw = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_ int, payload " + ("string" if kind in TEXT_KINDS else "map<string,string>"))
         ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(n)).cast("int").alias("case_"))
         feed = ids.join(F.broadcast(raw), "case_").select(F.col("id").cast("string").alias("source"), F.lit("2026-01-03").alias("retrieved_at"), F.lit(kind).alias("kind"), "payload")
-        out = normalise.ocds(feed) if kind == "ocds" else normalise.normalised(feed, {kind: normalise.NORMALISERS[kind]})
+        out = normalise.NORMALISERS[kind](feed) if kind in TEXT_KINDS else normalise.normalised(feed, {kind: normalise.NORMALISERS[kind]})
         return out.select(F.col("source").cast("long").alias("id"), *[F.expr(e).alias(a) for e, a in zip(made, columns, strict=True)])
 
     run.__doc__ = doc
@@ -221,6 +225,17 @@ _normalised("normal_federal", "federal_opportunities", {**_KIND, "most": "DOUBLE
     ({"NoticeId": "d", "Title": "U", "Type": "Modification/Amendment/Cancel", "BaseType": "Sources Sought", "ResponseDeadLine": "2026-05-01", "Active": "No"}, "RFI", "planning", "closed", None, "2026-05-01"),
 ], [*_KIND_MADE, "value_max", "get(deadlines, 0).value"], "Federal opportunities.")
 
+_GAZETTE = {"publication-number": "123-2026", "title-proc": {"fra": "Pont", "eng": ["Bridge", "two"]}, "description-proc": "Text", "buyer-name": {"fra": ["Ville"]}, "publication-date": "2026-01-02+01:00",
+            "classification-cpv": ["45000000", "45233000"], "identifier-lot": ["LOT-1", "LOT-1"], "estimated-value-proc": "12.5", "estimated-value-cur-proc": ["EUR", "EUR"]}
+_normalised("normal_gazette", "gazette", {**_KIND, "title": "VARCHAR", "due": "VARCHAR", "most": "DOUBLE", "currency": "VARCHAR", "codes": "VARCHAR"}, [
+    (json.dumps(_GAZETTE | {"form-type": "competition", "deadline-receipt-tender-date-lot": ["2026-05-01+02:00"], "deadline-receipt-tender-time-lot": ["12:00:00+02:00"]}),
+     "LIVE_TENDER", "tender", "active", "Bridge; two", "tender 2026-05-01T12:00:00+02:00", 12.5, "EUR", "45000000|45233000"),
+    (json.dumps(_GAZETTE | {"form-type": "competition", "framework-agreement-lot": ["fa-mix"], "deadline-receipt-request-date-lot": ["2026-04-01", "2026-04-02"], "deadline-receipt-request-time-lot": ["10:00"], "deadline-receipt-tender-date-lot": "2026-05-01"}),
+     "FRAMEWORK", "tender", "active", "Bridge; two", "application 2026-04-01|application 2026-04-02|invited_submission 2026-05-01", 12.5, "EUR", "45000000|45233000"),
+    (json.dumps(_GAZETTE | {"form-type": "result", "notice-type": "veat", "total-value": 7, "total-value-cur": ["EUR", "USD"]}), "AWARD", "award", "closed", "Bridge; two", "", 7.0, None, "45000000|45233000"),
+    (json.dumps(_GAZETTE | {"title-proc": {"deu": "Brücke"}, "form-type": "other", "competition-termination-proc": True}), "STRATEGIC_INTENT", "unknown", "cancelled", "Brücke", "", 12.5, "EUR", "45000000|45233000"),
+], [*_KIND_MADE, "title", "array_join(transform(deadlines, d -> concat_ws(' ', d.kind, d.value)), '|')", "value_max", "currency", "array_join(codes, '|')"], "Notices of the European gazette, in several languages.")
+
 _CITY = lambda notice, method="", title="t": {"request_id": "1", "section_name": "Procurement", "type_of_notice_description": notice, "selection_method_description": method, "short_title": title}
 _normalised("normal_city_record", "city_record", _KIND, [
     (_CITY("Solicitation", "Request for Proposals"), "RFP", "tender", "active"), (_CITY("Award"), "AWARD", "award", "awarded"), (_CITY("Solicitation", title="Withdrawn: x"), "LIVE_TENDER", "tender", "cancelled"),
