@@ -82,5 +82,26 @@ def test_rapid_tokenizer_gives_the_same_ids(rows):
         assert encode(text).tolist() == full.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_whole_table_and_of_random_text():
+    """Both tokenizers give the same ids for all documents of a table and for text of any characters."""
+    import os
+    import random
+
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rng = random.Random(3)
+    pools = [range(32, 127), range(0xA0, 0x250), range(0x370, 0x530), range(0x4E00, 0x4F00), range(0x1F300, 0x1F600), [9, 10, 13, 0x85, 0xA0, 0x200D, 0x2028, 0x301, 0xFEFF]]
+    texts = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    if os.path.exists(path):
+        texts += [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, _ = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for e, t in zip(full.encode_batch(texts, add_special_tokens=False), texts, strict=True):
+        assert e.ids == encode(t).tolist()
+
+
 def test_empty_table(no_docs):
     assert packing.pack(no_docs).count() == 0

@@ -45,3 +45,26 @@ def test_long_text_and_repeats(spark):
     rows = [(1, long, "en", "a", 1, None, None, None)] * 2
     found = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [[s["start"] for s in r["base"]] for r in found] == [[150000, 300021, 450042]] * 2
+
+
+def test_added_spans_on_held_out_strings(spark, docs):
+    """Random strings and names that the models were not trained on: most of the former are found, few of the latter."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    secret = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(20, 40))) for _ in range(300)]
+    words = "billing shipment vendor tender bridge harbour schedule employee department tracking warehouse rental catalogue weather forecast station".split()
+    plain = [f"{a}{b.title()}{c.title()}" if i % 2 else f"{a}_{b}_{c}_{rng.randrange(100)}" for i in range(300) for a, b, c in [rng.sample(words, 3)]]
+    rows = [(i, f"use {t} here", "en", "a", 0, None, None, None) for i, t in enumerate(secret + plain)]
+    more = docs.unionByName(spark.createDataFrame([(10_000 + r[0], *r[1:]) for r in rows], SCHEMA))
+    found = {r["doc_id"] for r in secrets.find_secrets(more).collect() if any(s["kind"] == "markov" for s in r["spans"])}
+    hits, wrong = sum(10_000 + i in found for i in range(300)), sum(10_300 + i in found for i in range(300))
+    assert hits / 300 > 0.9 and wrong / 300 < 0.02, (hits, wrong)
+
+
+def test_words_after_the_two_hundredth_train_too(spark):
+    """The sample takes whole texts."""
+    text = " ".join(["aaa"] * 400 + ["zebra", "quagga"])
+    docs = spark.createDataFrame([(1, text, "en", "a", 0, None, None, None)], SCHEMA)
+    assert {r["token"] for r in secrets.labelled_samples(docs, 10).where("secret = 0 and token like '%quagga%'").collect()}
