@@ -194,7 +194,7 @@ _RELEASES = _releases()
 
 
 #: Kinds whose payloads are JSON texts.
-TEXT_KINDS = ("ocds", "gazette")
+TEXT_KINDS = ("ocds", "ocds_with_gazette_ids", "gazette")
 
 
 def _normalised(name: str, kind: str, columns: dict[str, str], rows: list[tuple], made: list[str], doc: str) -> None:
@@ -225,6 +225,12 @@ _normalised("normal_federal", "federal_opportunities", {**_KIND, "most": "DOUBLE
     ({"NoticeId": "d", "Title": "U", "Type": "Modification/Amendment/Cancel", "BaseType": "Sources Sought", "ResponseDeadLine": "2026-05-01", "Active": "No"}, "RFI", "planning", "closed", None, "2026-05-01"),
 ], [*_KIND_MADE, "value_max", "get(deadlines, 0).value"], "Federal opportunities.")
 
+_U = "01234567-89ab-cdef-0123-456789abcde"
+_EXPORT = json.loads(_RELEASES[0][0])
+_normalised("normal_german_export", "ocds_with_gazette_ids", {"ids": "VARCHAR", "kind": "VARCHAR"}, [
+    (json.dumps(_EXPORT | {"notice_id": f"{_U}f", "previous_notice_ids": [f"{_U}0", "x"]}), f"gazette-notice:{_U}f|gazette-notice:{_U}0", "RFI"), (json.dumps(_EXPORT | {"notice_id": "none"}), "", "RFI"),
+], ["array_join(slice(external_ids, 2, 9), '|')", "signal_type"], "Releases of an exporter that names notices of the gazette.")
+
 _GAZETTE = {"publication-number": "123-2026", "title-proc": {"fra": "Pont", "eng": ["Bridge", "two"]}, "description-proc": "Text", "buyer-name": {"fra": ["Ville"]}, "publication-date": "2026-01-02+01:00",
             "classification-cpv": ["45000000", "45233000"], "identifier-lot": ["LOT-1", "LOT-1"], "estimated-value-proc": "12.5", "estimated-value-cur-proc": ["EUR", "EUR"]}
 _normalised("normal_gazette", "gazette", {**_KIND, "title": "VARCHAR", "due": "VARCHAR", "most": "DOUBLE", "currency": "VARCHAR", "codes": "VARCHAR"}, [
