@@ -29,7 +29,7 @@ PLACE_BITS = 10
 SEGMENT = 1 << 19
 #: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group; the rows that come
 #: out are the same, as tests hold with either way for all keys.
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 512
 
 _BYTE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
 
