@@ -46,6 +46,7 @@ def related(queries: DataFrame, index: DataFrame, key: str, least_text: float =
     """
     sized = stored(norms(index, key), "norms")
     usable = index.where((F.col("n") < 10) | (F.col("df") / F.col("n") <= COMMON)).select(key, "term", "weight", "df", "idf")
+    usable = stored(usable, "related-index")  # read several times below
     terms = usable.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))  # one value each
     of_query = sized.select(F.col(key).alias("query"), F.col("norm").alias("norm_q"))
     rarest = W.partitionBy("query").orderBy("df", "term")
@@ -77,8 +78,9 @@ def related(queries: DataFrame, index: DataFrame, key: str, least_text: float =
 
     best = W.partitionBy("query").orderBy(F.desc("text"), F.col(key))
     early = found(wanted.where("early")).join(sized, key)
+    # few more than k, so that most of them are among the best by their exact scores too
     likely = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("dot") / F.col("norm")), F.col(key)))
-    early = early.withColumn("nth", likely).where(F.col("nth") <= 2 * k).select("query", key, "dot", "shared")
+    early = early.withColumn("nth", likely).where(F.col("nth") <= k + 2).select("query", key, "dot", "shared")
     kth = completed(early, wanted.where("not early")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k)
     bounds = stored(kth.select("query", F.col("text").alias("bound")), "related-bounds")
     # what is rounded to six places may have been less by half a unit
