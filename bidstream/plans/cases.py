@@ -193,19 +193,15 @@ def _releases() -> list[tuple[str, ...]]:
 _RELEASES = _releases()
 
 
-#: Kinds whose payloads are JSON texts.
-TEXT_KINDS = ("ocds", "ocds_with_gazette_ids", "gazette")
-
-
 def _normalised(name: str, kind: str, columns: dict[str, str], rows: list[tuple], made: list[str], doc: str) -> None:
     """Registers a query that normalises one raw row for each order; a row's URL or number tells which case it is."""
 
     def run(spark, d):
         n = len(rows)
-        raw = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_ int, payload " + ("string" if kind in TEXT_KINDS else "map<string,string>"))
+        raw = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_ int, payload " + ("string" if kind in normalise.TEXT_KINDS else "map<string,string>"))
         ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(n)).cast("int").alias("case_"))
         feed = ids.join(F.broadcast(raw), "case_").select(F.col("id").cast("string").alias("source"), F.lit("2026-01-03").alias("retrieved_at"), F.lit(kind).alias("kind"), "payload")
-        out = normalise.NORMALISERS[kind](feed) if kind in TEXT_KINDS else normalise.normalised(feed, {kind: normalise.NORMALISERS[kind]})
+        out = normalise.NORMALISERS[kind](feed) if kind in normalise.TEXT_KINDS else normalise.normalised(feed, {kind: normalise.NORMALISERS[kind]})
         return out.select(F.col("source").cast("long").alias("id"), *[F.expr(e).alias(a) for e, a in zip(made, columns, strict=True)])
 
     run.__doc__ = doc
