@@ -9,6 +9,7 @@ from bidstream.sources.shared import stored
 
 
 def record_id(procedure: Column, url: Column, lot: Column) -> Column:
+    """A record's id; the prefix and the form are fixed values, for ids that are exchanged with others."""
     return F.concat(F.lit("sig_"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(procedure, url), F.coalesce(lot, F.lit(""))), 256), 1, 20))
 
 
