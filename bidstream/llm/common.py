@@ -33,9 +33,10 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what an Arrow batch of whole texts holds; a run-time setting that only Python stages read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, however long their texts; the same for all operators, as the session reads it when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def fits(df: DataFrame, rows: int) -> bool:

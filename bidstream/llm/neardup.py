@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, fits, small_batches, stored, text_of
+from bidstream.llm.common import bounded_batches, documents, fits, stored, text_of
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -119,7 +119,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the shingle set), h1 and h2 (hash of the set), sig (null for an empty set)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), text_of().cast("binary").alias("text")).mapInArrow(
         _profiles, "doc_id long, n long, h1 long, h2 long, sig binary"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from bidstream.llm.common import documents, small_batches, text_of
+from bidstream.llm.common import bounded_batches, documents, text_of
 
 #: In tokens of padding: the price of a cut after a sentence, of one elsewhere in a document, of a sequence.
 SENTENCE, INSIDE, SEQUENCE = 24, 200, 16
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, json_path: str =
     """
     import public_tokenizers
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return docs.select(docs["doc_id"].cast("long"), text_of().alias("text")).mapInArrow(

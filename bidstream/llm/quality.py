@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, labels, small_batches, text_of
+from bidstream.llm.common import bounded_batches, documents, labels, text_of
 from bidstream.llm.neardup import _mix, _powers
 
 PASSAGE, THRESHOLD = 64, 0.3
@@ -140,7 +140,7 @@ def train(docs: DataFrame, marks: DataFrame, most_docs: int = 6000, most_passage
     all. Both bounds are of the training sample alone. Ids with more than one label get the more frequent one, 1 at a tie;
     labels that are null or of no document are left out. Without any label every score is about one half.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     known = (
         marks.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, small_batches, stored, text_of
+from bidstream.llm.common import bounded_batches, documents, stored, text_of
 from bidstream.llm.neardup import _buffers, _mix, _powers
 
 LENGTH, ANCHOR = 400, 80
@@ -112,7 +112,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def suffix_entries(docs: DataFrame, batches: int) -> DataFrame:
     """The sparse suffixes of all texts: doc_id, th, key, ctx, place, and the batch that the document is in."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return _texts(docs).mapInArrow(_entries, _ENTRY_SQL).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
 
 

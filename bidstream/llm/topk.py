@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import small_batches, stored
+from bidstream.llm.common import bounded_batches, stored
 
 SCALE = 256
 #: Vectors in a block, on average; queries that meet a block at once; pivots and annuli of a pivot, at most.
@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
     a block), and the vectors that they are fitted on; neither changes the result.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     x = stored(whole_vectors(vectors), "topk-vectors")
     square = F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     n, dims, longest = x.agg(F.count("*"), F.max(F.size("x")), F.max(square)).first()
