@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     partly = single.join(repeated_strings(shared, texts), ["key", "ctx"]).select("doc_id", "th", "place", "runs")
     spans = whole.union(partly).select("doc_id", "th", _at(F.col("place")).alias("at"), F.explode("runs").alias("r"))
     span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
-    by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))  # repeated rows give the same spans
     by_row = by_row.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     joined = texts.join(by_row, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda x: _remove(x, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans string")

@@ -87,3 +87,19 @@ def test_levels_merge_like_a_counter(spark, docs):
 
 def test_empty_table(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows of one id and text take no longer than rows with ids of their own."""
+    import time
+
+    text = prose(random.Random(11), 1200)
+    seconds = []
+    for own in (True, False):
+        rows = [(i if own else 5, text, "en", "a", 0, "s", "b", "k") for i in range(2000)]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+        began = time.perf_counter()
+        out = substrings.remove_repeats(df, digest=True).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+        seconds.append(time.perf_counter() - began)
+        assert [tuple(r) for r in out] == [(len(text.encode()), len(text.encode()), 1, 2000)]
+    assert seconds[1] < 2 * seconds[0] + 5
