@@ -39,6 +39,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def lowest_hashes(df: DataFrame, h: Column, rows: int, n: int) -> DataFrame:
+    """Of `df`, which has `n` rows, one row of each of the `rows` lowest hashes `h`: a bounded sample, alike on every run.
+
+    The cut is found among hashes alone, and of these only among those that are low enough to be expected twice over;
+    so neither whole rows nor a hash of each row go to one task, and the sample stays where its rows are.
+    """
+    low = df.select(h.alias("h"))
+    if n > 2 * rows:
+        low = low.where(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / n)))
+    cut = low.distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.withColumn("hash_", h).where(F.lit(False) if cut is None else F.col("hash_") <= cut).dropDuplicates(["hash_"]).drop("hash_")
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows, counted no further than that."""
     return df.limit(rows + 1).count() <= rows

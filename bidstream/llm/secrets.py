@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import documents, text_of
+from bidstream.llm.common import documents, lowest_hashes, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short fails wherever in it a match begins, so the least length can stand in the pattern.
@@ -67,7 +67,8 @@ def places(text: Column, pattern: str, order: int, kind: str, group: int = 0, le
 def labelled_samples(docs: DataFrame, most: int) -> DataFrame:
     """Tokens (token, secret): random strings made by rule, and identifiers of ORDINARY and of all words of `most` documents.
 
-    These documents are those whose ids and texts hash lowest, so the sample is the same whatever the partitions are.
+    These documents are those whose ids and texts hash lowest, rows that repeat counted once, so the sample is the same whatever
+    the partitions are.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -80,7 +81,7 @@ def labelled_samples(docs: DataFrame, most: int) -> DataFrame:
     words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: ~w.rlike("[a-z][A-Z]"))
     names = F.array("a", "b", F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("-", F.lower("a"), F.col("n").cast("string")), F.upper(F.concat_ws("_", "a", "b")))
     ordinary = (
-        docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(most)
+        lowest_hashes(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"), most, docs.count())
         .select(words.alias("w")).unionByName(listed)
         .select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("a"), F.coalesce(F.get("w", i + 1), w).alias("b"), i.alias("n")))).alias("p"))
         .select("p.*").select(F.explode(names).alias("token"), F.lit(0).alias("secret"))
@@ -119,7 +120,7 @@ def find_secrets(docs: DataFrame, sample_docs: int = 2000, margin: float = 8.0)
     """A row for each row of `docs`: doc_id, base and spans, arrays of (start, ord, end, kind, token) by start, then kind.
 
     base holds the patterns' spans (assign, access, hex); spans holds these and the models' (markov), which overlap
-    no base span. Null and empty texts have none. Repeated rows and ids, null ids and other columns are passed
+    no base span. Null and empty texts have none, and very long ones are searched whole. Spans that tie in start come by kind, as listed. Repeated rows and ids, null ids and other columns are passed
     over as they are; an empty table gives no rows. sample_docs: at most so many documents give the ordinary words that
     the model is trained from, whole texts of each. margin: the least log-likelihood ratio of a secret.
     """

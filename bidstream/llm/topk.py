@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidstream.llm.common import bounded_batches, stored
+from bidstream.llm.common import bounded_batches, lowest_hashes, stored
 
 SCALE = 256
 #: Vectors in a block, on average; queries that meet a block at once; pivots and annuli of a pivot, at most.
@@ -50,9 +50,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 2**53 else a @ b.T
 
 
-def choose_pivots(vectors: DataFrame, count: int, most: int, dims: int, longest: float, seed: int = 7) -> np.ndarray:
-    """Means of `count` clusters of at most `most` vectors, those whose ids hash lowest, with the further component."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("x").toPandas()
+def choose_pivots(vectors: DataFrame, n: int, count: int, most: int, dims: int, longest: float, seed: int = 7) -> np.ndarray:
+    """Means of `count` clusters of at most `most` of the `n` vectors, those that hash lowest, with the further component."""
+    rows = lowest_hashes(vectors, F.xxhash64("vec_id", "x"), most, n).orderBy("vec_id", "x").toPandas()
     x = _lengthened(_matrix(rows["x"], dims), longest)
     rng = np.random.default_rng(seed)
     pivots = x[rng.choice(len(x), min(count, len(x)), replace=False)]
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
 
     Both have vec_id and embedding; queries are among the vectors. Vectors that are null, or have a null, NaN or
     infinite component, and those with a null id take no part; of rows with one id each is a candidate, and none is one
-    of its own id's. Vectors of fewer components count as filled up with zeros. Products are exact up to 2 ** 63.
+    of its own id's. Equal scores go to the smaller vec_id. Vectors of fewer components count as filled up with zeros. Products are exact up to 2 ** 63.
     An empty table gives no rows. pivots and sample: clusters (by default as many as give annuli of about half
     a block), and the vectors that they are fitted on; neither changes the result.
     """
@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
     size = max(1, 2 * n // BLOCK)
     pivots = pivots or min(PIVOTS, max(1, round(2 * size**0.5)))
     annuli = min(ANNULI, -(-size // pivots))
-    centres = choose_pivots(x, pivots, sample, dims, longest)
+    centres = choose_pivots(x, n, pivots, sample, dims, longest)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
