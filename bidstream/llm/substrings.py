@@ -231,7 +231,8 @@ def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
     one = F.struct("key", "ctx", _at(place).alias("at"), _low(place).alias("low"), _high(place).alias("high"))
     wanted = groups.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(one).alias("wanted"))
     places = wanted.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
-    held = texts.join(places, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
+    # by merging at any size: what a small table would save by a broadcast is lost where it grows
+    held = texts.join(places.hint("merge"), texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
     contexts = held.mapInArrow(_cut, _CONTEXT_SQL)
     hot = groups.where(f"variants > {MOST_CONTEXTS}").select("key").distinct()
     few, runs = contexts, "array<struct<low: bigint, high: bigint>>"
@@ -307,7 +308,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, digest: bool = False) -> D
     span = F.struct((F.col("at") + F.col("r.low")).alias("a"), (F.col("at") + F.col("r.high") + LENGTH).alias("b"))
     by_row = spans.select("doc_id", "th", span.alias("span")).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))  # repeated rows give the same spans
     by_row = by_row.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
-    joined = texts.join(by_row, texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_")), "left").select("doc_id", "text", "spans")
+    joined = texts.join(by_row.hint("merge"), texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda x: _remove(x, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans string")
 
 
