@@ -84,17 +84,19 @@ def shown_deadline(instants: Column, now: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(instants, lambda t: t > now)), F.array_max(instants))
 
 
+#: A day with or without an offset, then a clock with or without one, or nothing.
+_WALL = r"^(\d{4}-\d{2}-\d{2})(Z|[+-]\d{2}:\d{2})?\|(?:(\d{2}:\d{2}:\d{2}(?:\.\d+)?)(Z|[+-]\d{2}:\d{2})?)?$"
+
+
 def xml_deadline(day: Column, clock: Column) -> Column:
     """ISO text of a day and a clock that may each carry an offset; the clock's counts. A clock without any offset is left out.
 
     Null for a day that is none, and for a clock that is none.
     """
-    offset = r"(Z|[+-]\d{2}:\d{2})$"
-    good_day, good_clock = day.rlike(r"^\d{4}-\d{2}-\d{2}(Z|[+-]\d{2}:\d{2})?$"), clock.rlike(r"^\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$")
-    bare, none = F.substring(day, 1, 10), F.coalesce(clock, F.lit("")) == ""
-    zone = F.coalesce(F.nullif(F.regexp_extract(clock, offset, 1), F.lit("")), F.nullif(F.regexp_extract(day, offset, 1), F.lit("")))
-    timed = F.when(zone.isNull(), bare).otherwise(F.concat(bare, F.lit("T"), F.regexp_replace(clock, offset, ""), zone))
-    return F.when(good_day & none, bare).when(good_day & good_clock, timed)
+    both = F.concat_ws("|", day, F.coalesce(clock, F.lit("")))
+    date, day_zone, time, clock_zone = (F.nullif(F.regexp_extract(both, _WALL, i), F.lit("")) for i in range(1, 5))
+    # null in any part leaves the day alone
+    return F.coalesce(F.concat(date, F.lit("T"), time, F.coalesce(clock_zone, day_zone)), date)
 
 
 MONTHS = "january february march april may june july august september october november december".split()
@@ -102,7 +104,7 @@ _DAY = r"(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day,?\s+)?(\d{1,2})(?:st|nd|r
 _CLOCK = r"(\d{1,2})(?:[:.](\d{2}))?\s*(am|pm|noon|hrs|hours)?"
 
 
-def prose_deadlines(text: Column, labels: tuple[str, ...], stops: tuple[str, ...] = (), reach: int = 95) -> Column:
+def prose_deadlines(text: Column, labels: tuple[str, ...], stops: tuple[str, ...] = (), reach: int = 120) -> Column:
     """Days (yyyy-MM-dd, with T and the time if one is given) that stand after a label, no more than `reach` characters on.
 
     labels: words that name the response deadline; stops: words at which a label's reach ends, such as the next row of a timeline. A

@@ -31,8 +31,11 @@ def phrase_evidence(parts: DataFrame, phrases: dict[str, list[str]]) -> DataFram
     return parts.withColumn("hit", F.explode(hits)).select("*", "hit.capability", "hit.phrases").drop("hit")
 
 
+#: A mailbox as mail's own rules have it: atoms joined by dots, and a domain of labels that begin and end with a letter or a digit.
+_ATOM, _LABEL = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+", r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+MAILBOX = rf"{_ATOM}(?:\.{_ATOM})*@{_LABEL}(?:\.{_LABEL})+"
 #: Text that says nothing of a scope: links, mailboxes, standards, clauses.
-NOISE = (r"https?://\S+", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"\b(?:ISO|IEC|EN|DIN|BS)[ /-]?\d+(?:[-:]\d+)*", r"(?i)\b(?:clause|article|section|§)\s*\d+(?:\.\d+)*")
+NOISE = (r"https?://\S+", MAILBOX, r"\b(?:ISO|IEC|EN|DIN|BS)[ /-]?\d+(?:[-:]\d+)*", r"(?i)\b(?:clause|article|section|§)\s*\d+(?:\.\d+)*")
 #: Sentences of how to bid, not of what is bought.
 BIDDING = r"(?i)\b(?:submit|upload|register|log ?in|portal|e-?tender\w*|bidders? (?:must|shall|should))\b"
 

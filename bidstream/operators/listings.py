@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Views that readers may ask for, and names that older links have; fixed.
-VIEWS = ("all", "live", "early", "closing", "today", "saved", "awards")
-OLD_VIEWS = {"top": "all", "renewals": "all", "sources": "all", "funding": "all", "pipeline": "early", "updates": "today", "frameworks": "all"}
-SORTS = ("relevance", "recent", "updated", "deadline", "value", "value-low", "capability")
-#: Choices that one view has and the others have not.
-ONLY_AWARDS, NOT_AWARDS = ("supplier", "award_from", "award_to"), ("type", "deadline", "change")
+#: The choices with a list of their own, and what counts where a link has none of the list; fixed, as links are shared.
+LISTS = {
+    "view": (("all", "live", "early", "closing", "today", "saved", "awards"), "all"),
+    "sort": (("relevance", "recent", "updated", "deadline", "value", "value-low", "capability"), "relevance"),
+}
+#: Names of older links: what each sets, whatever else is chosen, and what it sets where nothing is.
+ALIASES = (
+    ("sort", "awarded", {"view": "awards", "sort": "recent", "type": "", "deadline": "", "change": ""}, {}),
+    ("view", "frameworks", {"view": "all"}, {"type": "FRAMEWORK"}),
+    ("view", "pipeline", {"view": "early"}, {}), ("view", "updates", {"view": "today"}, {}),
+)
+#: The choices that not all views know, and the views that do.
+VIEWS_THAT_KNOW = {c: ("awards",) for c in ("supplier", "award_from", "award_to")} | {c: tuple(v for v in LISTS["view"][0] if v != "awards") for c in ("type", "deadline", "change")}
 
 
 def valid_choices(chosen: dict[str, str]) -> dict[str, str]:
-    """Choices with known views and orders; what is unknown takes the default. An old view's name may choose a type as well."""
+    """Choices with known views and orders; what is unknown takes the default. An old name may choose a type as well."""
     out = {k: v for k, v in chosen.items() if isinstance(v, str)}
-    if out.get("sort") == "awarded":
-        out |= {"view": "awards", "sort": "recent", "type": "", "deadline": "", "change": ""}
-    if out.get("view") == "frameworks" and not out.get("type"):
-        out["type"] = "FRAMEWORK"
-    view = OLD_VIEWS.get(out.get("view", ""), out.get("view", ""))
-    out["view"] = view if view in VIEWS else "all"
-    out["sort"] = out["sort"] if out.get("sort") in SORTS else "relevance"
-    return out
+    for choice, name, always, otherwise in ALIASES:
+        if out.get(choice) == name:
+            out |= always | {k: v for k, v in otherwise.items() if not out.get(k)}
+    return out | {choice: out[choice] if out.get(choice) in known else default for choice, (known, default) in LISTS.items()}
 
 
 def applicable(chosen: dict[str, str]) -> dict[str, str]:
     """The choices that count in the chosen view; the others stay known, and are empty here."""
-    dropped = NOT_AWARDS if chosen.get("view") == "awards" else ONLY_AWARDS
-    return {k: "" if k in dropped else v for k, v in chosen.items()}
+    view = chosen.get("view", LISTS["view"][1])
+    return {k: v if view in VIEWS_THAT_KNOW.get(k, (view,)) else "" for k, v in chosen.items()}
 
 
 TIERS = {"platform": 0, "ai": 1, "other": 2}

@@ -14,21 +14,35 @@ from bidstream.sources.shared import stored
 COMMON = 0.45
 
 
+#: Distinct terms whose frequencies may be broadcast, counted first: some 64 MB. Beyond that they are joined by a shuffle.
+MOST_TERMS = 1_000_000
+#: So many queries at most read the postings of all their terms at once; with more, bounds decide which.
+FEW = 64
+
+
 def postings(docs: DataFrame, key: str, words: Column, title_words: Column | None = None) -> DataFrame:
-    """(key, term, weight): 1 + ln(tf), tf at most 3, and 2 more if the term is in the title."""
-    counted = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    weight = 1 + F.log(F.least(F.col("tf"), F.lit(3)).cast("double"))
-    if title_words is None:
-        return counted.select(key, "term", weight.alias("weight"))
-    titled = docs.select(key, F.explode(F.array_distinct(title_words)).alias("term")).withColumn("in_title", F.lit(2.0))
-    return counted.join(titled, [key, "term"], "left").select(key, "term", (weight + F.coalesce("in_title", F.lit(0.0))).alias("weight"))
+    """(key, term, weight, titled): 1 + ln(tf), tf at most 3, and 2 more if the term is in the title. `docs` has a row for each key.
+
+    Words are counted in the row, where equal ones stand together once sorted, so nothing is shuffled.
+    """
+    titles = F.array().cast("array<string>") if title_words is None else title_words
+    rows = docs.select(key, F.array_sort(words).alias("words_"), titles.alias("titles_"))
+    equal = lambda i, by: F.coalesce(F.get("words_", i + by) == F.get("words_", i), F.lit(False))
+    tf = lambda i: 1 + equal(i, 1).cast("int") + (equal(i, 1) & equal(i, 2)).cast("int")
+    each = F.transform("words_", lambda w, i: F.struct(w.alias("term"), tf(i).alias("tf"), (~equal(i, -1)).alias("first")))
+    terms = rows.select(key, "titles_", F.explode(F.filter(each, lambda x: x["first"])).alias("t"))
+    titled = F.array_contains("titles_", F.col("t.term")) if title_words is not None else F.lit(False)
+    weight = 1 + F.log(F.col("t.tf").cast("double")) + F.when(titled, 2.0).otherwise(0.0)
+    return terms.select(key, F.col("t.term").alias("term"), weight.alias("weight"), titled.alias("titled"))
 
 
 def indexed(docs: DataFrame, key: str, words: Column, title_words: Column | None = None) -> DataFrame:
-    """(key, term, weight, df, idf): postings with idf = ln(1 + n / (1 + df)); df counts all documents."""
-    n = docs.count()
+    """(key, term, weight, titled, df, idf, n): postings with idf = ln(1 + n / (1 + df)); df counts all documents."""
     post = stored(postings(docs, key, words, title_words), "postings")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = stored(post.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    n = docs.count()
+    if df.count() <= MOST_TERMS:
+        df = F.broadcast(df)
     return post.join(df, "term").withColumn("idf", F.log(1 + F.lit(float(n)) / (1 + F.col("df")))).withColumn("n", F.lit(n))
 
 
@@ -36,16 +50,105 @@ def norms(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.sqrt(F.sum(F.pow(F.col("idf") * F.col("weight"), 2))).alias("norm"))
 
 
+def _usable() -> Column:
+    return (F.col("n") < 10) | (F.col("df") / F.col("n") <= COMMON)
+
+
+def cosines(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(query, key, text, shared, connected, terms): the cosine of each query (query, term, weight, titled) and each other that shares a usable term.
+
+    shared: how many they share; connected: one of these is in either's title; terms: the three rarest of these. All pairs are formed,
+    so this is for few queries, or for groups that are small.
+    """
+    sized = norms(index, key)
+    of_query = sized.select(F.col(key).alias("query"), F.col("norm").alias("norm_q"))
+    asked = queries.select("query", "term", F.col("weight").alias("wq"), F.col("titled").alias("titled_q"))
+    hits = index.where(_usable()).join(asked, "term").where(F.col("query") != F.col(key))
+    pairs = hits.groupBy("query", key).agg(
+        F.sum(F.col("idf") * F.col("idf") * F.col("wq") * F.col("weight")).alias("dot"), F.count("*").alias("shared"), F.max(F.col("titled") | F.col("titled_q")).alias("connected"),
+        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"),  # a query's terms at most
+    )
+    text = F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6)
+    return pairs.join(sized, key).join(of_query, "query").select(
+        "query", key, text.alias("text"), "shared", "connected", F.transform(F.slice("terms", 1, 3), lambda t: t["term"]).alias("terms")
+    )
+
+
+#: What each tie between two records is worth; fixed.
+PROCEDURE, BUYER, CAPABILITY, MOST_CAPABILITIES, TEXT, COUNTRY = 8.0, 4.0, 0.5, 2.0, 3.0, 0.1
+#: Texts are related with two terms in common and this cosine, if one of the terms is in a title, and else with the higher one; fixed.
+TITLED_TEXT, UNTITLED_TEXT = 0.035, 0.12
+
+
+def related_records(records: DataFrame, queries: DataFrame, index: DataFrame, key: str, k: int = 12) -> DataFrame:
+    """(query, key, relationship, score, text, capabilities, terms, rank): the `k` records most related to each of `queries` (key).
+
+    records: key, procedure, buyer, name (the buyer's, folded), source, countries, capabilities, date. Equal procedures tie records the most, then equal
+    buyers (by identifier if both have one, and else by name, source and a country), then a country and a capability, then texts; a record
+    without any such tie is not related. Ties in score go to the later date, a null one last, then to the smaller key.
+
+    Records without a term in common are ranked by their class alone (procedure, buyer, countries, capabilities), so each class offers its latest
+    k + 1 and no group is paired whole.
+    """
+    classed = records.select(
+        key, *[F.col(c) for c in ("procedure", "buyer", "name", "source", "date")], F.array_sort(F.array_distinct(F.coalesce("countries", F.array()))).alias("countries"),
+        F.array_sort(F.array_distinct(F.coalesce("capabilities", F.array()))).alias("capabilities"),
+    )
+    classed = stored(classed.withColumn("class", F.xxhash64("procedure", "buyer", "name", "source", "countries", "capabilities")), "related-classes")
+    latest = W.partitionBy("class").orderBy(F.desc_nulls_last("date"), key)
+    tops = classed.withColumn("nth_", F.row_number().over(latest)).where(F.col("nth_") <= k + 1).select(key, "class")
+    facts = classed.groupBy("class").agg(*[F.first(c).alias(c) for c in ("procedure", "buyer", "name", "source", "countries", "capabilities")])
+    facts = stored(facts, "related-facts")
+    mine = queries.select(key).distinct().join(classed, key).withColumnsRenamed({key: "query", "class": "class_q"}).drop("date")
+    asking = stored(mine.select("class_q", *facts.columns[1:]).distinct(), "related-asking")
+
+    # classes that are tied otherwise than by text: joins by equal keys, a row for each pair of classes
+    def tied(*by: str, also: str | None = None) -> DataFrame:
+        a, b = (df.select(c, *by, *([F.explode(also).alias("in_")] if also else [])) for df, c in ((asking, "class_q"), (facts, "class")))
+        return a.join(b, [*by, *(["in_"] if also else [])]).select("class_q", "class")
+
+    pairs = tied("procedure").union(tied("buyer")).union(tied("name", "source", also="countries"))
+    places = lambda df, c: df.select(c, F.explode("countries").alias("country_"), "capabilities").select(c, "country_", F.explode("capabilities").alias("cap_"))
+    pairs = pairs.union(places(asking, "class_q").join(places(facts, "class"), ["country_", "cap_"]).select("class_q", "class")).distinct()
+    offered = mine.select("query", "class_q").join(pairs, "class_q").join(tops, "class").select("query", key)
+
+    terms = index.join(queries.select(F.col(key).alias("query")).distinct(), F.col("query") == F.col(key)).select("query", "term", "weight", "titled")
+    alike = stored(cosines(terms, index, key), "related-texts")
+    candidates = alike.select("query", key).union(offered).where(F.col("query") != F.col(key)).distinct().join(alike, ["query", key], "left")
+    theirs = classed.select(key, "date", *[F.col(c).alias(f"{c}_") for c in facts.columns[1:]])
+    both = candidates.join(mine.drop("class_q"), "query").join(theirs, key)
+    procedure = F.coalesce(F.col("procedure") == F.col("procedure_"), F.lit(False))
+    country = F.arrays_overlap("countries", "countries_")
+    named = F.coalesce((F.col("name") == F.col("name_")) & (F.col("name") != "") & (F.col("source") == F.col("source_")) & country, F.lit(False))
+    buyer = F.coalesce(F.col("buyer") == F.col("buyer_"), named)  # by name unless both have an identifier
+    shared = F.array_intersect("capabilities", "capabilities_")
+    text, common = F.coalesce("text", F.lit(0.0)), F.coalesce("shared", F.lit(0))
+    meant = (common >= 2) & (text >= F.when(F.coalesce("connected", F.lit(False)), TITLED_TEXT).otherwise(UNTITLED_TEXT))
+    relation = F.when(procedure, "same_procedure").when(buyer, "same_buyer").when(country & (F.size(shared) > 0), "shared_capability").when(meant, "similar_text")
+    score = F.when(procedure, PROCEDURE).when(buyer, BUYER).otherwise(0.0) + F.least(F.lit(MOST_CAPABILITIES), F.size(shared) * CAPABILITY) + text * TEXT + F.when(country, COUNTRY).otherwise(0.0)
+    scored = both.select(
+        "query", key, relation.alias("relationship"), F.round(score, 6).alias("score"), text.alias("text"), shared.alias("capabilities"),
+        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "date",
+    ).where("relationship is not null")
+    order = W.partitionBy("query").orderBy(F.desc("score"), F.desc_nulls_last("date"), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("date")
+
+
 def related(queries: DataFrame, index: DataFrame, key: str, least_text: float = 0.035, least_shared: int = 2, k: int = 10, first: int = 4096) -> DataFrame:
     """(query, key, shared, text, rank): for each query (query, term, weight) of the index the `k` most alike others.
 
     text is the cosine; common terms are left out of the product but not of the norms. A query's terms are taken from the
     rarest on. Those with `first` postings in all find some others, whose exact scores bound the k-th best from below. A document
     that has none of the terms up to some point scores no more than the share of the query's norm that lies beyond it, so
-    terms beyond the point where that falls under the bound only complete the scores of what was found before.
+    terms beyond the point where that falls under the bound only complete the scores of what was found before. For up to FEW queries
+    all their terms are read at once, which gives the same rows.
     """
+    best = W.partitionBy("query").orderBy(F.desc("text"), F.col(key))
+    if queries.select("query").distinct().limit(FEW + 1).count() <= FEW:
+        found_ = cosines(queries.withColumn("titled", F.lit(False)), index, key).where((F.col("shared") >= least_shared) & (F.col("text") >= least_text))
+        return found_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", key, "shared", "text", "rank")
     sized = stored(norms(index, key), "norms")
-    usable = index.where((F.col("n") < 10) | (F.col("df") / F.col("n") <= COMMON)).select(key, "term", "weight", "df", "idf")
+    usable = index.where(_usable()).select(key, "term", "weight", "df", "idf")
     usable = stored(usable, "related-index")  # read several times below
     terms = usable.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))  # one value each
     of_query = sized.select(F.col(key).alias("query"), F.col("norm").alias("norm_q"))
@@ -76,7 +179,6 @@ def related(queries: DataFrame, index: DataFrame, key: str, least_text: float =
         text = F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6)
         return whole.where(F.col("shared") >= least_shared).join(sized, key).join(of_query, "query").withColumn("text", text).where(F.col("text") >= least_text)
 
-    best = W.partitionBy("query").orderBy(F.desc("text"), F.col(key))
     early = found(wanted.where("early")).join(sized, key)
     # few more than k, so that most of them are among the best by their exact scores too
     likely = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("dot") / F.col("norm")), F.col(key)))
@@ -93,15 +195,21 @@ def related(queries: DataFrame, index: DataFrame, key: str, least_text: float =
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", key, "shared", "text", "rank")
 
 
+def _common_length(x: str, y: str) -> int:
+    """The longest common subsequence, a column of the table in each step: a bit of a whole number for each character of x."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity 100 * 2 * (longest common subsequence) / (both lengths), for short names and titles."""
-    def ratio(x: str, y: str) -> float:
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                row[j], last = (last + 1 if c == d else max(row[j], row[j - 1])), row[j]
-        return 200.0 * row[-1] / (len(x) + len(y)) if x or y else 100.0
-
+    ratio = lambda x, y: 200.0 * _common_length(x, y) / (len(x) + len(y)) if x or y else 100.0
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidstream.plans import cases, ingest, lexicons, records, relations, revisions, searching, texts
+from bidstream.plans import cases, ingest, lexicons, markup, records, relations, revisions, searching, texts
 
-_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, cases)
+_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, markup, cases)
 
 
 def queries() -> dict:

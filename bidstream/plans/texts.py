@@ -60,6 +60,51 @@ def related_topk(spark, d):
     return related.related(asked, index, "doc_id")
 
 
+#: Documents as records: some have a procedure or a buyer, the language is the country, and capabilities go by the id.
+_RECORDS_SQL = """
+rec AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'p' || doc_id // 15 END AS procedure, CASE WHEN doc_id % 4 < 2 THEN 'b' || doc_id % 61 END AS buyer,
+  'n' || doc_id % 17 AS name, CASE WHEN doc_id % 3 = 0 THEN source END AS source, [lang] AS countries, list_filter(['a', 'b', 'c', 'd', 'e'], lambda c: (doc_id * 7 + ord(c)) % 11 < 3) AS capabilities,
+  CASE WHEN doc_id % 9 > 0 THEN DATE '2024-01-01' + (doc_id * 37 % 400)::INTEGER END AS date FROM documents)"""
+_TITLE_WORDS_SQL = _WORDS_SQL.replace("lower(text)", "lower(split_part(text, chr(10), 1))")
+
+
+@query(f"""
+WITH tok AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents), titles AS (SELECT DISTINCT doc_id, unnest({_TITLE_WORDS_SQL}) AS term FROM documents),
+tf AS (SELECT doc_id, term, 1 + ln(least(count(*), 3)::DOUBLE) + CASE WHEN t.term IS NULL THEN 0 ELSE 2 END AS weight, t.term IS NOT NULL AS titled FROM tok LEFT JOIN titles t USING (doc_id, term) GROUP BY doc_id, term, t.term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idx AS (SELECT doc_id, term, weight, titled, df, ln(1 + (SELECT count(*) FROM documents)::DOUBLE / (1 + df)) AS idf FROM tf JOIN df USING (term)),
+norms AS (SELECT doc_id, sqrt(sum(pow(idf * weight, 2))) AS norm FROM idx GROUP BY doc_id),
+pairs AS (SELECT q.doc_id AS query, x.doc_id, sum(q.idf * q.idf * q.weight * x.weight) AS dot, count(*) AS shared, bool_or(q.titled OR x.titled) AS connected, list(q.term ORDER BY q.df, q.term)[1:3] AS terms
+  FROM idx q JOIN idx x ON q.term = x.term AND q.doc_id <> x.doc_id WHERE q.doc_id % 20 = 0 AND q.df::DOUBLE / (SELECT count(*) FROM documents) <= 0.45 GROUP BY ALL),
+texts AS (SELECT query, p.doc_id, shared, connected, terms, round(dot / (n.norm * m.norm), 6) AS text FROM pairs p JOIN norms n ON n.doc_id = p.doc_id JOIN norms m ON m.doc_id = p.query),
+{_RECORDS_SQL},
+ties AS (SELECT q.doc_id AS query, r.doc_id, r.date, coalesce(q.procedure = r.procedure, false) AS procedure, list_has_any(q.countries, r.countries) AS country,
+  coalesce(q.buyer = r.buyer, coalesce(q.name = r.name AND q.source = r.source AND list_has_any(q.countries, r.countries), false)) AS buyer,
+  list_filter(q.capabilities, lambda c: list_contains(r.capabilities, c)) AS caps, coalesce(text, 0.0) AS text, coalesce(shared, 0) AS shared, coalesce(connected, false) AS connected, terms
+  FROM rec q JOIN rec r ON q.doc_id <> r.doc_id LEFT JOIN texts t ON t.query = q.doc_id AND t.doc_id = r.doc_id WHERE q.doc_id % 20 = 0),
+scored AS (SELECT query, doc_id, date, text, array_to_string(caps, ',') AS capabilities, array_to_string(coalesce(terms, []), ',') AS terms,
+  CASE WHEN procedure THEN 'same_procedure' WHEN buyer THEN 'same_buyer' WHEN country AND len(caps) > 0 THEN 'shared_capability'
+    WHEN shared >= 2 AND text >= CASE WHEN connected THEN 0.035 ELSE 0.12 END THEN 'similar_text' END AS relationship,
+  round(CASE WHEN procedure THEN 8 WHEN buyer THEN 4 ELSE 0 END + least(2, len(caps) * 0.5) + text * 3 + CASE WHEN country THEN 0.1 ELSE 0 END, 6)::DOUBLE AS score FROM ties)
+SELECT query, doc_id, relationship, score, text, capabilities, terms, row_number() OVER (PARTITION BY query ORDER BY score DESC, date DESC NULLS LAST, doc_id)::INTEGER AS rank
+FROM scored WHERE relationship IS NOT NULL QUALIFY rank <= 12
+""")
+def related_whole(spark, d):
+    """The twelve records most related to each whose id is a multiple of 20, by procedure, buyer, capability and country, and text."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
+    records = docs.select(
+        "doc_id", F.when(i % 5 == 0, F.concat(F.lit("p"), F.floor(i / 15))).alias("procedure"), F.when(i % 4 < 2, F.concat(F.lit("b"), i % 61)).alias("buyer"),
+        F.concat(F.lit("n"), i % 17).alias("name"), F.when(i % 3 == 0, F.col("source")).alias("source"), F.array("lang").alias("countries"),
+        F.filter(F.array(*map(F.lit, "abcde")), lambda c: (i * 7 + F.ascii(c)) % 11 < 3).alias("capabilities"),
+        F.when(i % 9 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (i * 37 % 400).cast("int"))).alias("date"),
+    )
+    title = tx.tokens(F.split_part("text", F.lit("\n"), F.lit(1)), STOP)
+    index = related.indexed(docs, "doc_id", tx.tokens(F.col("text"), STOP), title)
+    out = related.related_records(records, docs.where("doc_id % 20 = 0"), index, "doc_id")
+    return out.withColumn("capabilities", F.array_join("capabilities", ",")).withColumn("terms", F.array_join("terms", ","))
+
+
 PHRASES = {"licensing": ["apache license", "gnu general public license", "cc by"], "credentials": ["password", "token"]}
 _SENTENCES_SQL = "unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s)), lambda s: s <> ''))"
 
