@@ -27,8 +27,8 @@ WINDOW = LENGTH - ANCHOR + 1
 PLACE_BITS = 10
 #: Bytes that are hashed at once.
 SEGMENT = 1 << 19
-#: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group; the rows that come
-#: out are the same, as tests hold with either way for all keys.
+#: Keys with more contexts than this are compared by a shuffle of their strings' hashes, not in one group, whatever the input's size; the
+#: rows that come out are the same, as tests hold with either way for all keys.
 MOST_CONTEXTS = 512
 
 _BYTE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -233,19 +233,15 @@ def repeated_strings(groups: DataFrame, texts: DataFrame) -> DataFrame:
     places = wanted.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_")
     # by merging at any size: what a small table would save by a broadcast is lost where it grows
     held = texts.join(places.hint("merge"), texts["doc_id"].eqNullSafe(F.col("id_")) & (texts["th"] == F.col("th_"))).select("text", "wanted")
-    contexts = held.mapInArrow(_cut, _CONTEXT_SQL)
-    hot = groups.where(f"variants > {MOST_CONTEXTS}").select("key").distinct()
-    few, runs = contexts, "array<struct<low: bigint, high: bigint>>"
-    if hot.limit(1).count():
-        contexts = stored(contexts, "suffix-contexts")
-        few = contexts.join(hot, "key", "left_anti")
-    out = few.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, f"key long, ctx long, runs {runs}")
-    if few is not contexts:
-        strings = contexts.join(hot, "key", "left_semi").mapInArrow(_all_strings, "key long, ctx long, start long, h long").distinct()
-        twice = strings.groupBy("key", "start", "h").agg(F.count("*").alias("n")).where("n > 1")
-        run = F.struct(F.col("start").alias("low"), F.col("start").alias("high"))
-        out = out.unionByName(strings.join(twice, ["key", "start", "h"]).groupBy("key", "ctx").agg(F.collect_list(run).cast(runs).alias("runs")))
-    return out
+    # the contexts' bytes are a table at any size, so that texts are read for them once and a key's rows may be split
+    contexts = stored(held.mapInArrow(_cut, _CONTEXT_SQL), "suffix-contexts")
+    hot, runs = groups.where(f"variants > {MOST_CONTEXTS}").select("key").distinct(), "array<struct<low: bigint, high: bigint>>"
+    few = contexts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    out = few.mapInArrow(_repeated, f"key long, ctx long, runs {runs}")
+    strings = contexts.join(hot, "key", "left_semi").mapInArrow(_all_strings, "key long, ctx long, start long, h long").distinct()
+    twice = strings.groupBy("key", "start", "h").agg(F.count("*").alias("n")).where("n > 1")
+    run = F.struct(F.col("start").alias("low"), F.col("start").alias("high"))
+    return out.unionByName(strings.join(twice, ["key", "start", "h"]).groupBy("key", "ctx").agg(F.collect_list(run).cast(runs).alias("runs")))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.string())])
