@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidstream.operators.ordered import running_total
+
 #: The choices with a list of their own, and what counts where a link has none of the list; fixed, as links are shared.
 LISTS = {
     "view": (("all", "live", "early", "closing", "today", "saved", "awards"), "all"),
@@ -88,16 +91,47 @@ def coverage(texts: DataFrame, translations: DataFrame, key: str, digest: str, g
 
 
 def translation_queue(texts: DataFrame, translations: DataFrame, key: str, digest: str, size: str, quota: int, order: list[Column]) -> DataFrame:
-    """Texts without a current translation, in order, as long as their sizes add up to no more than a quota.
+    """Texts without a current translation, in order, as long as their sizes add up to no more than a quota; a text counts at least one."""
+    open_texts = texts.join(translations.select(key, digest), [key, digest], "left_anti")
+    return running_total(open_texts, order, F.greatest(F.col(size), F.lit(1)), "spent").where(F.col("spent") <= quota)
+
+
+def quota_day(at: Column, zone: str = "America/Los_Angeles") -> Column:
+    """The day that a use counts for, where quotas start anew at the provider's midnight; `at` is in UTC."""
+    return F.to_date(F.from_utc_timestamp(at, zone))
 
-    Only the first rows that a quota can hold at all are numbered at once; a row counts at least one.
-    """
-    from pyspark.sql import Window as W
 
-    made = translations.select(key, digest)
-    open_texts = texts.join(made, [key, digest], "left_anti").orderBy(*order).limit(quota)
-    spent = F.sum(F.greatest(F.col(size), F.lit(1))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return open_texts.withColumn("spent", spent).where(F.col("spent") <= quota)
+def remaining(models: DataFrame, uses: DataFrame, day: Column) -> DataFrame:
+    """Models (model, per_day) with used, what the ledger's uses (model, day, calls, returned) of a day took less what they gave back, and left."""
+    taken = uses.where(F.col("day") == day).groupBy("model").agg(F.sum(F.col("calls") - F.coalesce("returned", F.lit(0))).alias("used"))
+    out = models.join(taken, "model", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
+    return out.withColumn("left", F.greatest(F.col("per_day") - F.col("used"), F.lit(0)).cast("long"))
+
+
+def allowances(left: DataFrame, calls: int, least: int = 1) -> DataFrame:
+    """Models (model, left) with limit: how many of a run's calls each gets, as evenly as what they have left allows, earlier names first.
+
+    A model with fewer than `least` calls left takes no part. Worked out by levels, not call by call: with k models at or above a level each
+    further level costs k calls. Models are configuration, so one window holds them.
+    """
+    part = F.col("left") >= least
+    by_left = W.partitionBy(F.lit(0)).orderBy("left_", "model")
+    rows = left.withColumn("left_", F.when(part, F.col("left")).otherwise(0))
+    # what it costs to serve all up to a model's own level: the smaller ones whole, the others as much as this one
+    n = F.count("*").over(W.partitionBy(F.lit(0)))
+    rows = rows.withColumn("nth_", F.row_number().over(by_left)).withColumn("below_", F.sum("left_").over(by_left) - F.col("left_")).withColumn("n_", n)
+    rows = rows.withColumn("cost_", F.col("below_") + F.col("left_") * (F.col("n_") - F.col("nth_") + 1))
+    served = F.when(F.col("cost_") <= calls, F.col("left_"))
+    # the others share what the served ones leave
+    whole = W.partitionBy(F.lit(0))
+    rows = rows.withColumn("served_", served)
+    rest = F.lit(calls) - F.coalesce(F.sum("served_").over(whole), F.lit(0))
+    others = F.count(F.when(F.col("served_").isNull(), 1)).over(whole)
+    rows = rows.withColumn("rest_", rest).withColumn("others_", others)
+    place = F.count(F.when(F.col("served_").isNull(), 1)).over(whole.orderBy("model").rowsBetween(W.unboundedPreceding, 0))
+    each = F.floor(F.col("rest_") / F.greatest(F.col("others_"), F.lit(1)))
+    limit = F.coalesce("served_", each + (place <= F.col("rest_") % F.greatest(F.col("others_"), F.lit(1))).cast("long"))
+    return rows.select(*left.columns, limit.cast("long").alias("limit"))
 
 
 def view_manifest(df: DataFrame, key: str, views: dict[str, Column]) -> DataFrame:

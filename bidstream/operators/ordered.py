@@ -48,6 +48,35 @@ def round_robin(df: DataFrame, stratum: str, order: list[str], most: int | None
     return out if most is None else out.where(F.col("turn") <= most)
 
 
+def running_sums(df: DataFrame, stratum: str, order: list[str], amount: str) -> DataFrame:
+    """Rows with running_, the sum of `amount` over a stratum's rows up to them, in order.
+
+    As in round_robin, ranges of sorted rows are summed apart and go on from where the stratum's earlier ranges ended.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stored(df.orderBy(stratum, *order).withColumn("at_", at), "running").withColumn("range_", F.shiftright("at_", 33))
+    parts = rows.groupBy(stratum, "range_").agg(F.sum(amount).alias("sum_"))
+    earlier = W.partitionBy(stratum).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.withColumn("start_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0))).select(F.col(stratum).alias("of_"), F.col("range_").alias("in_"), "start_")
+    here = F.sum(amount).over(W.partitionBy(stratum, "range_").orderBy("at_").rowsBetween(W.unboundedPreceding, 0))
+    on = F.col(stratum).eqNullSafe(F.col("of_")) & (F.col("range_") == F.col("in_"))
+    return rows.withColumn("here_", here).join(starts, on).withColumn("running_", F.col("start_") + F.col("here_")).select(*df.columns, "running_")
+
+
+def running_total(df: DataFrame, order: list[Column], amount: Column, into: str = "total") -> DataFrame:
+    """Rows with the sum of `amount` over all rows up to them, in order; the order has to be total.
+
+    Rows are sorted by ranges and summed in each; a range goes on from the sum of those before it. Only one sum for each range
+    is looked at as a whole.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stored(df.withColumn("amount_", amount).orderBy(*order).withColumn("at_", at), "running").withColumn("range_", F.shiftright("at_", 33))
+    earlier = W.partitionBy(F.lit(0)).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("range_").agg(F.sum("amount_").alias("sum_")).withColumn("start_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0))).select("range_", "start_")
+    here = F.sum("amount_").over(W.partitionBy("range_").orderBy("at_").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("here_", here).join(F.broadcast(starts), "range_").withColumn(into, F.col("start_") + F.col("here_")).select(*df.columns, into)
+
+
 def rotation(df: DataFrame, kind: str, at: str, tie: str, now: Column) -> DataFrame:
     """Backups to keep: the last of each kind and day within 7 days, and of each kind and ISO week within 28."""
     age = F.timestamp_diff("SECOND", F.col(at), now)

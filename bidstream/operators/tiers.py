@@ -61,6 +61,16 @@ def label_order(labels: Column) -> Column:
     return F.when(F.size(labels) > 0, F.array_join(F.array_sort(F.array_distinct(labels)), "\u0000")).otherwise(F.lit("￿"))
 
 
+def in_language_order(column: Column, collation: str = "UNICODE") -> Column:
+    """A key by which texts sort as readers of a language expect, accents and case after letters; `collation` may name a language, such as sv."""
+    return F.collate(column, collation)
+
+
+def label_order_in(labels: Column, collation: str = "UNICODE") -> Column:
+    """Labels, once each, in a language's order; rows sort by the array as by the labels in turn."""
+    return F.array_sort(F.array_distinct(F.transform(labels, lambda x: F.collate(x, collation))))
+
+
 def freshness(first_seen: Column, updated: Column, now: Column, zone: str = "Europe/London") -> dict[str, Column]:
     """new (seen first within a day), updated (within a day, and not new), added_today (on the zone's calendar day, not later)."""
     age = lambda t: F.timestamp_diff("SECOND", t, now)

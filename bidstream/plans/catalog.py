@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidstream.plans import cases, ingest, lexicons, markup, records, relations, revisions, searching, texts
+from bidstream.plans import cases, ingest, inventories, lexicons, markup, records, relations, revisions, searching, structures, texts
 
-_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, markup, cases)
+_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, markup, structures, inventories, cases)
 
 
 def queries() -> dict:

@@ -51,7 +51,24 @@ def archive_months(df: DataFrame, path: str, at: str, key: str, order: list[str]
             raise
         old = new.limit(0)
     merged = ordered.latest(old.select(*new.columns).unionByName(new), [key, "month"], order)
-    stored(merged, "archive").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    held = stored(merged, "archive")
+    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    # which months a key is in, a file for each month that was written, in order of the key's hash
+    names = held.select(key, "month", bucket_of(key, 4).alias("hash"))
+    names.repartition("month").sortWithinPartitions("month", "hash").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}.index")
+
+
+def months_of(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
+    """(key, month) of the keys that an archive holds, from its index, which has no more than a key and a month for each."""
+    wanted = keys.select(key).distinct().withColumn("hash", bucket_of(key, 4))
+    index = spark.read.parquet(f"{path}.index").withColumn("month", F.col("month").cast("string"))
+    return index.join(wanted, [key, "hash"], "left_semi").select(key, "month")
+
+
+def restored(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
+    """All archived rows with these keys, whatever months they are in: the index says which, and no other month is opened."""
+    hits = stored(months_of(spark, path, keys, key), "archive-hits")
+    return from_archive(spark, path, hits, key)
 
 
 def from_archive(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
@@ -77,6 +94,44 @@ def compacted(df: DataFrame, key: str, order: list[str], apply: Callable[[DataFr
     return report
 
 
+def bounded_leaves(df: DataFrame, key: str, size: Column, most_bytes: int, depth: int | None = None) -> DataFrame:
+    """`df` with leaf: the file that a row goes to, so that no file has more than `most_bytes`, of whatever number of rows.
+
+    Rows lie in cells by the first digits of their key's SHA-256; cells are merged to the shortest prefix that holds no more than the bound, as in
+    a trie that splits until its leaves fit. A cell that is larger by itself, as of one key with many rows, is parted in an order of
+    its rows' hashes; only a row that is larger by itself can exceed the bound then. depth: digits of a cell, by default enough for some hundred cells a file.
+    """
+    rows = df.withColumn("size_", size.cast("long")).withColumn("hash_", F.sha2(F.col(key).cast("string"), 256))
+    if depth is None:
+        total = rows.agg(F.sum("size_")).first()[0] or 0
+        depth = max(2, len(f"{total // most_bytes:x}") + 2)
+    rows = rows.withColumn("cell_", F.substring("hash_", 1, depth))
+    cells = stored(rows.groupBy("cell_").agg(F.sum("size_").alias("bytes_")), "leaf-cells")
+    prefixes = cells.select("cell_", "bytes_", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("digits_")).withColumn("prefix_", F.substr("cell_", F.lit(1), F.col("digits_")))
+    sums = prefixes.groupBy("prefix_").agg(F.sum("bytes_").alias("sum_"))
+    fitting = prefixes.join(sums, "prefix_").groupBy("cell_").agg(F.min(F.when(F.col("sum_") <= most_bytes, F.col("digits_"))).alias("digits_"), F.first("bytes_").alias("bytes_"))
+    whole = fitting.select("cell_", F.when(F.col("digits_").isNotNull(), F.substr("cell_", F.lit(1), F.col("digits_"))).alias("leaf_"))
+    placed = stored(rows.join(whole, "cell_"), "leaf-rows")
+    # what is too large by itself is cut by running sums, half a bound at a time; a row of more than half takes a file of its own
+    large, own = placed.where("leaf_ is null"), placed.where("leaf_ is not null").withColumn("leaf", F.concat(F.lit("p"), "leaf_"))
+    if not large.limit(1).count():
+        return own.select(*df.columns, "leaf")
+    half = max(most_bytes // 2, 1)
+    alone = F.col("size_") > half
+    weighed = large.withColumn("weight_", F.when(alone, 2 * half).otherwise(F.col("size_"))).withColumn("tie_", F.xxhash64(*[F.col(c) for c in df.columns]))
+    summed = ordered.running_sums(weighed, "cell_", ["hash_", "tie_"], "weight_")
+    part = F.floor((F.col("running_") - F.col("weight_")) / half).cast("string")
+    parted = summed.withColumn("leaf", F.concat(F.lit("p"), "cell_", F.lit("-"), part, F.when(alone, "x").otherwise("")))
+    return own.select(*df.columns, "leaf").unionByName(parted.select(*df.columns, "leaf"))
+
+
+def write_bounded(df: DataFrame, path: str, key: str, size: Column, most_bytes: int) -> DataFrame:
+    """Writes a folder with one file for each leaf, and returns the manifest: (leaf, rows, bytes, keys)."""
+    leaves = stored(bounded_leaves(df, key, size, most_bytes), "leaves")
+    leaves.repartition("leaf").write.mode("overwrite").partitionBy("leaf").parquet(path)
+    return leaves.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes"), F.count_distinct(key).alias("keys"))
+
+
 def write_if_changed(df: DataFrame, path: str, listed: DataFrame | None, partition: str, key: str) -> tuple[DataFrame, bool]:
     """Writes `df` unless its manifest is the one that is listed already; the manifest, and whether anything was written."""
     now = history.manifest(df, partition, key)
