@@ -192,21 +192,23 @@ def lot_award_propagation(spark, d):
 
 
 @query("""
-WITH RECURSIVE keyed AS (SELECT DISTINCT l_orderkey AS id, l_partkey || '/' || l_suppkey AS k FROM lineitem WHERE l_quantity >= 45),
-edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b USING (k)),
-reach AS (SELECT DISTINCT a AS id, a AS c FROM edges UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id)
-SELECT id, min(c) AS component FROM reach GROUP BY id
+WITH RECURSIVE keyed AS (SELECT DISTINCT l_orderkey AS id, l_partkey || '/' || l_suppkey AS k FROM lineitem),
+hubs AS (SELECT k, min(id) AS hub FROM keyed GROUP BY k),
+edges AS (SELECT DISTINCT id AS a, hub AS b FROM keyed JOIN hubs USING (k) WHERE id <> hub UNION SELECT DISTINCT hub, id FROM keyed JOIN hubs USING (k) WHERE id <> hub),
+cc(id, c) USING KEY (id) AS (
+  SELECT DISTINCT id, id FROM keyed
+  UNION
+  SELECT e.b, min(r.c) FROM cc r JOIN edges e ON e.a = r.id JOIN recurring.cc old ON old.id = e.b WHERE r.c < old.c GROUP BY e.b)
+SELECT id, c AS component FROM cc
 """)
 def identity_components(spark, d):
-    keyed = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key")).distinct()
+    """Orders that line items of one part and supplier tie together, through any number of others."""
+    keyed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key")).distinct()
     return identity.key_components(keyed, "id", "key")
 
 
-@query()
-def identity_components_whole(spark, d):
-    """As identity_components, over all line items."""
-    keyed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key")).distinct()
-    return identity.key_components(keyed, "id", "key")
+#: The name that the whole query had beside one of a part.
+QUERIES["identity_components_whole"], SQL["identity_components_whole"] = QUERIES["identity_components"], SQL["identity_components"]
 
 
 @query("SELECT user_id, event_id, epoch_us(ts) AS at_us, sha256('[\"k' || event_id % 3 || '\",\"' || value::VARCHAR || '\"],[\"type\",\"' || event_type || '\"]') AS digest, true AS alike FROM events")
