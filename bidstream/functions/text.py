@@ -181,7 +181,7 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def prefix(text: Column, most: int, mark: str = "…") -> Column:
     """At most `most` code points of a text; one that is cut ends at a word, where there is one, and with a mark."""
     cut = F.substring(text, 1, most - len(mark))
-    at_word = F.when(cut.rlike(r"\s\S*$"), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
+    at_word = F.when(cut.rlike(r"\s\S*\z"), F.regexp_replace(cut, r"\s+\S*\z", "")).otherwise(cut)
     return F.when(F.length(text) <= most, text).otherwise(F.concat(at_word, F.lit(mark)))
 
 

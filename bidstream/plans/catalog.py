@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidstream.plans import cases, ingest, inventories, lexicons, markup, records, relations, revisions, searching, structures, texts
+from bidstream.plans import cases, ingest, inventories, lexicons, markup, records, relations, revisions, searching, structures, texts, values
 
-_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, markup, structures, inventories, cases)
+_MODULES = (searching, revisions, texts, relations, ingest, records, lexicons, markup, structures, inventories, values, cases)
 
 
 def queries() -> dict:

@@ -50,14 +50,3 @@ def test_equal_content_is_not_written_again(spark, tmp_path):
     listed, wrote = sinks.write_if_changed(rows, f"{tmp_path}/s", None, "part", "id")
     assert wrote and sinks.write_if_changed(rows, f"{tmp_path}/s", listed, "part", "id")[1] is False
     assert sinks.write_if_changed(rows.union(spark.createDataFrame([(3, "x")], rows.schema)), f"{tmp_path}/s", listed, "part", "id")[1] is True
-
-
-@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu"])
-def test_deadlines_do_not_depend_on_the_session(spark, zone):
-    from bidstream.plans import texts
-
-    want = [r["ends_us"] for r in texts.deadline_instants(spark, "").orderBy("case_id").collect()]
-    spark.conf.set("spark.sql.session.timeZone", zone)
-    got = [r["ends_us"] for r in texts.deadline_instants(spark, "").orderBy("case_id").collect()]
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == want
