@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from bidstream.sources import windowed
 from bidstream.sources.shared import shared_dir
 from bidstream.sources.tables import table
 from bidstream.streaming import inventory
@@ -67,3 +68,30 @@ def pages_confirmed(spark, d):
     """Users as pages, what they do as a page's digest: confirmed by two readings alike in a row, forgotten after ninety minutes."""
     events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("digest"))
     return _streamed(spark, events, inventory.Confirmations(5_400_000), F.col("digest"), F.col("event_id").alias("tie"))
+
+
+#: Orders by status as lanes, windows of so many days, so many a batch; open orders have a reserve.
+LANES = {"O": {"first": "1995-01-01", "last": "2001-12-31", "reserved": 2}, "F": {"first": "1995-01-01", "last": "1999-06-30"}, "P": {"first": "1997-01-01", "last": "1997-12-31"}}
+DAYS, BUDGET = 100, 5
+
+
+@query(f"""
+WITH RECURSIVE lanes AS (SELECT * FROM (VALUES ('O', DATE '1995-01-01', DATE '2001-12-31'), ('F', DATE '1995-01-01', DATE '1999-06-30'), ('P', DATE '1997-01-01', DATE '1997-12-31')) t(lane, first, last)),
+sizes AS (SELECT max(n) FILTER (lane = 'O') AS o, max(n) FILTER (lane = 'F') AS f, max(n) FILTER (lane = 'P') AS p FROM (SELECT lane, ((last - first + 1) + {DAYS - 1}) // {DAYS} AS n FROM lanes)),
+steps(batch, left_, turn, a, b, c) AS (
+  SELECT 0, {BUDGET}, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION ALL SELECT CASE WHEN left_ = 0 THEN batch + 1 ELSE batch END, CASE WHEN left_ = 0 THEN {BUDGET} WHEN turn < 2 THEN left_ - (a < o)::INT ELSE left_ - CASE (turn - 2) % 3 WHEN 0 THEN (a < o)::INT WHEN 1 THEN (b < f)::INT ELSE (c < p)::INT END END,
+    CASE WHEN left_ = 0 THEN 0 ELSE turn + 1 END, a + (left_ > 0 AND a < o AND (turn < 2 OR (turn - 2) % 3 = 0))::INT, b + (left_ > 0 AND turn >= 2 AND (turn - 2) % 3 = 1 AND b < f)::INT, c + (left_ > 0 AND turn >= 2 AND (turn - 2) % 3 = 2 AND c < p)::INT
+  FROM steps, sizes WHERE a < o OR b < f OR c < p),
+ends AS (SELECT batch, max(a) AS a, max(b) AS b, max(c) AS c FROM steps GROUP BY batch),
+r AS (SELECT o_orderkey, o_orderstatus AS lane, (o_orderdate::DATE - first)::BIGINT // {DAYS} AS number FROM orders JOIN lanes ON lane = o_orderstatus AND o_orderdate::DATE BETWEEN first AND last)
+SELECT o_orderkey, lane, number::INTEGER AS number, (SELECT min(batch) FROM ends WHERE CASE lane WHEN 'O' THEN a WHEN 'F' THEN b ELSE c END > number)::INTEGER AS batch FROM r
+""")
+def windows_drained(spark, d):
+    """Orders by windows of a hundred days, five windows a micro-batch, lanes in turns; stopped after two batches and started anew."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("lane"), F.col("o_orderdate").cast("date").alias("day"))
+    top = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    read = lambda w: windowed.read_windows(orders, "lane", "day", w).select("o_orderkey", "lane", "number")
+    for most in (2, None):
+        windowed.drain_windows(windowed.windows_stream(spark, LANES, DAYS, BUDGET), read, f"{top}/out", f"{top}/checkpoint", most)
+    return spark.read.parquet(f"{top}/out").select("o_orderkey", "lane", "number", F.col("batch").cast("int").alias("batch"))
