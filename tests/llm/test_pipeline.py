@@ -81,3 +81,11 @@ def test_run_gives_the_same_rows(spark, stages):
     top, _, pieces = stages
     run = corpus_pipeline.run(spark, top).collect()
     assert sum(r["length"] for r in run) == sum(r["length"] for r in pieces)
+
+
+def test_all_stages_of_an_empty_table(spark, no_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == no_docs.columns
