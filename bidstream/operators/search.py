@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidstream.functions.text import fold_for_query, folded
+from bidstream.operators.tiers import freshness
+
 
 def conjunction(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
@@ -29,6 +32,13 @@ class Filters:
     date_from: str | None = None
     date_to: str | None = None
     due_within_days: int | None = None
+    kind: str | None = None
+    sector: str | None = None
+    amount_kind: str | None = None
+    supplier: str | None = None
+    award_from: str | None = None
+    award_to: str | None = None
+    change: str | None = None  # new or updated
     more: list[Column] = field(default_factory=list)
 
     def predicates(self, now: Column | None = None) -> list[Column]:
@@ -56,6 +66,19 @@ class Filters:
         if self.due_within_days is not None:
             left = F.timestamp_diff("SECOND", now, c("deadline"))
             out.append((left > 0) & (F.ceil(left / 86400) <= self.due_within_days))
+        for column, chosen in (("signal_type", self.kind), ("amount_kind", self.amount_kind)):
+            if chosen:
+                out.append(c(column) == chosen)
+        if self.sector:
+            out.append(F.array_contains("categories", self.sector))
+        if self.supplier:
+            out.append(folded(F.array_join("suppliers", " ")).contains(fold_for_query(self.supplier)))
+        if self.award_from:
+            out.append(c("award_date") >= F.lit(self.award_from).cast("date"))
+        if self.award_to:
+            out.append(c("award_date") <= F.lit(self.award_to).cast("date"))
+        if self.change:
+            out.append(freshness(c("first_seen"), c("updated"), now)[self.change])
         return out
 
 
@@ -106,5 +129,49 @@ def market_members(df: DataFrame, area: str, markets: DataFrame) -> DataFrame:
     return df.join(markets, area).dropDuplicates([*df.columns, "market"])
 
 
+def best_order(points: Column, coded: Column, tier: Column, state: Column, breadth: Column, in_title: Column, deadline: Column, published: Column, key: Column, now: Column) -> list[Column]:
+    """The best matches first, by criteria of which no later one outweighs an earlier: points of evidence, a code, tier, how open a record is, how
+    many capabilities, a phrase in the title, the deadline that is due first and not over, the latest publication, the key."""
+    openness = F.when(state == "OPEN", 3).when(state == "EARLY_ENGAGEMENT", 2).when(state == "FUTURE", 1).otherwise(0)
+    due = F.when(deadline > now, deadline)
+    return [points.desc(), coded.desc(), tier.asc(), openness.desc(), breadth.desc(), in_title.desc(), due.asc_nulls_last(), published.desc_nulls_last(), key.asc()]
+
+
+def tiered_order(tier: Column, by: str, published: Column, updated: Column, deadline: Column, now: Column, key: Column) -> list[Column]:
+    """Tiers first, and in each the latest publication ("recent"), the latest update ("updated") or the deadline that is due first ("deadline"; what is
+    over or unknown last); then the key."""
+    second = {"recent": published.desc_nulls_last(), "updated": F.coalesce(updated, published).desc_nulls_last(), "deadline": F.when(deadline > now, deadline).asc_nulls_last()}
+    return [tier.asc(), second[by], key.asc()]
+
+
+@dataclass
+class RelatedFilters:
+    """What a reader chose among related records; an empty choice filters nothing, an unknown value or day fails every bound.
+
+    text, party (array), day, currency and value are columns of the rows; day and value count only where their mode is on.
+    """
+
+    words: str = ""
+    party: str = ""
+    currency: str = ""
+    day_from: str | None = None
+    day_to: str | None = None
+    least: float | None = None
+    most: float | None = None
+
+    def predicates(self) -> list[Column]:
+        c, out = F.col, []
+        text = folded(c("text"))
+        out += [text.contains(w) for w in fold_for_query(self.words).split()]
+        if self.party:
+            out.append(folded(F.array_join("party", " ")).contains(fold_for_query(self.party)))
+        if self.currency:
+            out.append(c("currency") == self.currency)
+        for column, low, high, kind in (("day", self.day_from, self.day_to, "date"), ("value", self.least, self.most, "double")):
+            out += [c(column) >= F.lit(low).cast(kind)] if low is not None else []
+            out += [c(column) <= F.lit(high).cast(kind)] if high is not None else []
+        return out
+
+
 def related_filter(text: Column, words: str) -> Column:
     return conjunction([F.lower(text).contains(w) for w in words.lower().split()])

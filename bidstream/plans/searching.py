@@ -207,3 +207,77 @@ def country_coverage(spark, d):
     counted = notices(spark, d).groupBy("nation").agg(F.count("*").alias("n_notices"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
     every = table(spark, d, "nation").select(F.col("n_name").alias("nation"))
     return every.join(counted, "nation", "left").select("nation", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"))
+
+
+_FACETS_SQL = """
+f AS (SELECT *, CASE status WHEN 'F' THEN 'AWARD' WHEN 'P' THEN 'PIPELINE' ELSE 'LIVE_TENDER' END AS signal_type, CASE WHEN id % 3 = 0 THEN 'award' ELSE 'estimated_contract' END AS amount_kind,
+  CASE WHEN id % 4 > 0 THEN 'EUR' ELSE 'GBP' END AS currency, CASE WHEN status = 'F' THEN day + 60 END AS award_date, CASE WHEN id % 5 > 0 THEN value END AS value_max, day + (id % 300)::INTEGER AS due FROM notices)"""
+
+
+def _faceted(spark, d):
+    """Notices with all that a reader may filter by."""
+    i, day = F.col("id"), F.col("day")
+    return notices(spark, d).withColumns({
+        "provenance": F.array(F.concat(F.lit("s"), i % 7), F.concat(F.lit("s"), i % 5)), "signal_type": F.when(F.col("status") == "F", "AWARD").when(F.col("status") == "P", "PIPELINE").otherwise("LIVE_TENDER"),
+        "capabilities": F.filter(F.array(F.lit("crm"), F.lit("ai")), lambda c: (i + F.length(c)) % 3 > 0), "categories": F.array("segment"), "regions": F.array("region", "nation"), "codes": F.array("priority"),
+        "amount_kind": F.when(i % 3 == 0, "award").otherwise("estimated_contract"), "currency": F.when(i % 4 > 0, "EUR").otherwise("GBP"), "value_max": F.when(i % 5 > 0, F.col("value")),
+        "published": day, "deadline": F.date_add(day, (i % 300).cast("int")).cast("timestamp_ntz"), "award_date": F.when(F.col("status") == "F", F.date_add(day, 60)),
+        "suppliers": F.array(F.concat(F.lit("Fournisseur-"), i % 40), F.lit(None).cast("string")), "first_seen": day.cast("timestamp_ntz"), "updated": F.date_add(day, 1).cast("timestamp_ntz"),
+    })
+
+
+@query(f"""
+WITH {NOTICES_SQL}, {_FACETS_SQL}
+SELECT 'awards' AS choice, id FROM f WHERE status = 'F' AND (id % 7 = 2 OR id % 5 = 2) AND segment = 'BUILDING' AND amount_kind = 'award' AND currency = 'EUR' AND award_date >= DATE '1996-01-01' AND award_date <= DATE '2000-06-30'
+  AND contains('fournisseur ' || id % 40, 'seur 1') AND value_max >= 1000
+UNION ALL SELECT 'open', id FROM f WHERE status = 'O' AND (id + 3) % 3 > 0 AND contains(lower(buyer), '#0000000') AND (contains(lower(region), 'am') OR contains(lower(nation), 'am')) AND starts_with(priority, '2') AND value_max <= 300000
+  AND due::TIMESTAMP > TIMESTAMP '2000-01-01' AND ceil(epoch(due::TIMESTAMP - TIMESTAMP '2000-01-01') / 86400) <= 90
+UNION ALL SELECT 'new', id FROM f WHERE day = DATE '2000-01-01'
+UNION ALL SELECT 'updated', id FROM f WHERE day = DATE '1999-12-31'
+""")
+def filter_all_facets(spark, d):
+    """Four choices of a reader, which together use every facet."""
+    at = now("2000-01-01 00:00:00")
+    rows = _faceted(spark, d)
+    chosen = {
+        "awards": search.Filters(kind="AWARD", source="s2", sector="BUILDING", amount_kind="award", currency="EUR", award_from="1996-01-01", award_to="2000-06-30", supplier="SEUR 1", value_from=1000),
+        "open": search.Filters(kind="LIVE_TENDER", capability="crm", buyer="#0000000", region="AM", code_prefix="2", value_to=300000, due_within_days=90),
+        "new": search.Filters(change="new"), "updated": search.Filters(change="updated"),
+    }
+    parts = [rows.where(search.conjunction(f.predicates(at))).select(F.lit(name).alias("choice"), "id") for name, f in chosen.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"""
+WITH {NOTICES_SQL}, {_FACETS_SQL},
+k AS (SELECT id, [0, 4, 6, 9, 18, 36, 50][id % 7 + 1] AS points, id % 2 AS coded, id % 3 AS tier, CASE status WHEN 'O' THEN 3 WHEN 'P' THEN 1 ELSE 0 END AS openness, id % 4 AS breadth, id % 5 AS in_title,
+  CASE WHEN due::TIMESTAMP > TIMESTAMP '2000-01-01' THEN due END AS due, day FROM f)
+SELECT 'best' AS "by", id, row_number() OVER (ORDER BY points DESC, coded DESC, tier, openness DESC, breadth DESC, in_title DESC, due NULLS LAST, day DESC, id) AS rank FROM k QUALIFY rank <= 300
+UNION ALL SELECT 'recent', id, row_number() OVER (ORDER BY tier, day DESC, id) AS rank FROM k QUALIFY rank <= 100
+UNION ALL SELECT 'deadline', id, row_number() OVER (ORDER BY tier, due NULLS LAST, id) AS rank FROM k QUALIFY rank <= 100
+""")
+def ordered_criteria(spark, d):
+    """The first 300 by all nine criteria, and the first hundred of two orders by tier: top-k reports."""
+    i, at = F.col("id"), now("2000-01-01 00:00:00")
+    rows = _faceted(spark, d)
+    state = F.when(F.col("status") == "O", "OPEN").when(F.col("status") == "P", "FUTURE").otherwise("AWARDED")
+    points = F.get(F.array(*map(F.lit, [0, 4, 6, 9, 18, 36, 50])), (i % 7).cast("int"))
+    best = search.best_order(points, i % 2, i % 3, state, i % 4, i % 5, F.col("deadline"), F.col("published"), i, at)
+    orders = {"best": (best, 300)} | {by: (search.tiered_order(i % 3, by, F.col("published"), F.col("updated"), F.col("deadline"), at, i), 100) for by in ("recent", "deadline")}
+    parts = [search.ranked(rows, order, most).select(F.lit(by).alias("by"), "id", "rank") for by, (order, most) in orders.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""
+WITH {NOTICES_SQL}, {_FACETS_SQL}
+SELECT id FROM f WHERE contains(lower(segment || ' ' || nation || ' ' || regexp_replace(priority, '[^0-9A-Za-z]+', ' ', 'g')), 'build') AND contains(lower(segment || ' ' || nation || ' ' || regexp_replace(priority, '[^0-9A-Za-z]+', ' ', 'g')), 'urgent')
+  AND contains('fournisseur ' || id % 40, 'seur 2') AND currency = 'EUR' AND day >= DATE '1996-01-01' AND value_max >= 5000 AND value_max <= 250000
+""")
+def related_choices(spark, d):
+    """Related records that a reader's words, party, currency, days and amounts leave."""
+    rows = _faceted(spark, d).select("id", F.concat_ws(" ", "segment", "nation", "priority").alias("text"), F.col("suppliers").alias("party"), "day", "currency", F.col("value_max").alias("value"))
+    chosen = search.RelatedFilters(words="Build URGENT", party="seur-2", currency="EUR", day_from="1996-01-01", least=5000, most=250000)
+    return rows.where(search.conjunction(chosen.predicates())).select("id")
