@@ -38,6 +38,39 @@ def with_records(rows: DataFrame) -> DataFrame:
     return numbered.join(names, ["component", "number"]).select(*rows.columns, "record")
 
 
+def compatible(record: Column, notice: Column, whole_sources: tuple[str, ...] = ()) -> Column:
+    """Whether a notice that shares an identifier with a record may be the same one; both are structs (source, ocid, lot_id, lot_ids, signal_type).
+
+    They have to be of one lot, or both of none, and one source's procedure numbers may not differ. An award for one lot of several is the record's only if it
+    names a lot and all the record's lots. Sources that publish whole procedures need no more than the number and the lot.
+    """
+    filled = lambda x: F.coalesce(x, F.lit("")) != ""
+    one_lot = record["lot_id"].eqNullSafe(notice["lot_id"])
+    same_source = F.coalesce(record["source"] == notice["source"], F.lit(False))
+    same_number = filled(record["ocid"]) & F.coalesce(record["ocid"] == notice["ocid"], F.lit(False))
+    lots = lambda x: F.array_sort(F.array_distinct(F.coalesce(x["lot_ids"], F.array().cast("array<string>"))))
+    kind = lambda x: F.coalesce(x["signal_type"], F.lit(""))
+    partial = (kind(record) != "AWARD") & (F.size(F.coalesce(record["lot_ids"], F.array().cast("array<string>"))) > 1) & (kind(notice) == "AWARD")
+    part_of = filled(notice["lot_id"]) & (lots(record) == lots(notice))
+    other_number = same_source & filled(record["ocid"]) & filled(notice["ocid"]) & (record["ocid"] != notice["ocid"])
+    whole = same_source & same_number & F.coalesce(record["source"].isin(*whole_sources), F.lit(False)) if whole_sources else F.lit(False)
+    return F.when(whole, one_lot).otherwise((~partial | part_of) & one_lot & ~other_number)
+
+
+def is_older(incoming: Column, current: Column, observed: tuple[str, ...] = (), by_day: tuple[str, ...] = ()) -> Column:
+    """Whether a notice is an earlier revision than the one that holds; structs (source, updated, first_seen, last_seen, alias, aliases).
+
+    By the time of update or, without one, of first sight; null where either has neither. observed: sources whose times of update don't move, so
+    that the time of last sight counts. by_day: sources that tell days only, where of two notices of one day the one that the other names is
+    earlier.
+    """
+    same = lambda listed: F.coalesce((incoming["source"] == current["source"]) & incoming["source"].isin(*listed), F.lit(False)) if listed else F.lit(False)
+    at = lambda x: F.coalesce(x["updated"], x["first_seen"])
+    named = F.coalesce((incoming["alias"] != current["alias"]) & F.array_contains(current["aliases"], incoming["alias"]), F.lit(False))
+    by_time = F.when(same(by_day) & (at(incoming) == at(current)) & named, F.lit(True)).otherwise(at(incoming) < at(current))
+    return F.when(same(observed), incoming["last_seen"] < current["last_seen"]).otherwise(by_time)
+
+
 def _offers(facts: list[str], units: list[list[str]], whole: Column) -> dict[str, Column]:
     """For each fact the condition on which a revision offers it; the facts of a unit are offered together."""
     out = {c: whole | has_fact(F.col(c)) for c in facts}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bidstream.operators import listings, nested, ordered, tiers
+from bidstream.operators.reconcile import compatible, is_older
 from bidstream.sources import sinks
 from bidstream.sources.shared import shared_dir
 from bidstream.sources.tables import table
@@ -165,3 +166,28 @@ def names_in_order(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 4 == 0, F.upper(name)).otherwise(name).alias("name"))
     order = W.partitionBy("p_brand").orderBy(tiers.in_language_order(F.col("name")), "p_partkey")
     return parts.withColumn("nth", F.row_number().over(order)).select("p_partkey", "name", "nth")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, 's' || o_orderkey % 3 AS source, CASE WHEN o_orderkey % 5 > 0 THEN 'n' || o_orderkey % 2 END AS ocid, CASE WHEN o_orderkey % 4 = 0 THEN 'L1' END AS lot_id,
+  CASE o_orderkey % 3 WHEN 0 THEN ['L1', 'L2'] WHEN 1 THEN ['L2', 'L1'] ELSE ['L1'] END AS lots, o_orderstatus = 'F' AS award, o_orderdate::DATE AS day FROM orders),
+p AS (SELECT *, lag(k) OVER w AS pk, lag(source) OVER w AS ps, lag(ocid) OVER w AS po, lag(lot_id) OVER w AS pl, lag(lots) OVER w AS plots, lag(award) OVER w AS pa, lag(day) OVER w AS pday FROM o WINDOW w AS (PARTITION BY c ORDER BY k))
+SELECT k, pk, CASE WHEN source = ps AND source = 's2' AND ocid = po THEN lot_id IS NOT DISTINCT FROM pl
+  ELSE NOT (NOT pa AND len(plots) > 1 AND award AND (lot_id IS NULL OR list_sort(plots) <> list_sort(lots))) AND lot_id IS NOT DISTINCT FROM pl AND NOT coalesce(source = ps AND ocid <> po, false) END AS same,
+  CASE WHEN source = ps AND source = 's1' THEN day + (k % 7)::INTEGER < pday + (pk % 7)::INTEGER WHEN source = ps AND source = 's0' AND date_trunc('month', day) = date_trunc('month', pday) AND k % 2 = 0 THEN true
+    ELSE date_trunc('month', day) < date_trunc('month', pday) END AS older FROM p WHERE pk IS NOT NULL
+""")
+def compatible_notices(spark, d):
+    """Each order as a notice beside the customer's order before it as a record: whether they may be one, and which is the earlier revision."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    lots = F.when(k % 3 == 0, F.array(F.lit("L1"), F.lit("L2"))).when(k % 3 == 1, F.array(F.lit("L2"), F.lit("L1"))).otherwise(F.array(F.lit("L1")))
+    notice = F.struct(
+        k.alias("k"), F.concat(F.lit("s"), k % 3).alias("source"), F.when(k % 5 > 0, F.concat(F.lit("n"), k % 2)).alias("ocid"), F.when(k % 4 == 0, "L1").alias("lot_id"), lots.alias("lot_ids"),
+        F.when(F.col("o_orderstatus") == "F", "AWARD").otherwise("TENDER").alias("signal_type"), F.date_trunc("month", day).alias("updated"), F.date_trunc("month", day).alias("first_seen"),
+        F.date_add(day, (k % 7).cast("int")).alias("last_seen"), k.cast("string").alias("alias"),
+    )
+    rows = table(spark, d, "orders").select("o_custkey", notice.alias("n")).withColumn("r", F.lag("n").over(W.partitionBy("o_custkey").orderBy("n.k"))).where("r is not null")
+    # the record names every notice after it whose number is even
+    named = F.col("r").withField("aliases", F.when(F.col("n.k") % 2 == 0, F.array("n.alias")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("r", named)
+    return rows.select(F.col("n.k").alias("k"), F.col("r.k").alias("pk"), compatible(F.col("r"), F.col("n"), ("s2",)).alias("same"), is_older(F.col("n"), F.col("r"), ("s1",), ("s0",)).alias("older"))
