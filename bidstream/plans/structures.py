@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bidstream.operators import listings, nested, ordered, tiers
+from bidstream.operators import backfill, listings, nested, ordered, tiers
 from bidstream.operators.reconcile import compatible, is_older
 from bidstream.sources import sinks
 from bidstream.sources.shared import shared_dir
@@ -191,3 +191,62 @@ def compatible_notices(spark, d):
     named = F.col("r").withField("aliases", F.when(F.col("n.k") % 2 == 0, F.array("n.alias")).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("r", named)
     return rows.select(F.col("n.k").alias("k"), F.col("r.k").alias("pk"), compatible(F.col("r"), F.col("n"), ("s2",)).alias("same"), is_older(F.col("n"), F.col("r"), ("s1",), ("s0",)).alias("older"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey AS id, o_custkey % 100 AS b, CASE WHEN o_orderkey % 3 = 0 THEN 'FUNDING' WHEN o_orderstatus = 'F' THEN 'AWARD' ELSE 'TENDER' END AS t, 's' || o_orderkey % 4 AS source, o_totalprice AS v FROM orders)
+SELECT id, CASE WHEN id % 4 = 0 THEN 'id:a' || b WHEN id % 4 < 3 THEN 'name:buyer ' || b || '@DE+FR' END AS buyer_id, CASE WHEN id % 4 = 0 THEN 'identifier' WHEN id % 4 < 3 THEN 'name' END AS buyer_basis,
+  CASE WHEN id % 5 > 0 THEN 'ocid:o' || id // 2 ELSE 'url:https://n.example/' || id END AS procedure_id,
+  CASE WHEN id % 6 = 0 THEN 'given' WHEN id % 7 = 0 THEN NULL WHEN t = 'AWARD' THEN 'unknown' WHEN source = 's0' THEN 'grant_range' WHEN source = 's1' THEN 'estimated_contract' ELSE 'unknown' END AS amount_kind,
+  CASE WHEN id % 8 = 0 THEN 'tender:given' WHEN id % 8 = 1 THEN '' WHEN t = 'FUNDING' THEN 'application:2026-01-01' ELSE 'unknown:2026-01-01' END AS deadlines, CASE WHEN id % 9 = 0 THEN 'W' WHEN id % 9 = 1 THEN '' ELSE 'A and B' END AS winners FROM n
+""")
+def notices_completed(spark, d):
+    """Orders as notices that lack this or that, with identities and the facts that can be told."""
+    i, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    b = F.col("o_custkey") % 100
+    rows = table(spark, d, "orders").select(
+        i.alias("id"), F.when(i % 4 == 0, F.array(F.lit(" "), F.concat(F.lit("b"), b), F.concat(F.lit("a"), b))).alias("buyer_identifiers"), F.when(i % 4 < 3, F.concat(F.lit(" Buyer  "), b)).alias("buyer_name"),
+        F.array(F.lit("FR"), F.lit("DE")).alias("countries"), F.when(i % 5 > 0, F.concat(F.lit("o"), F.floor(i / 2))).otherwise("").alias("ocid"), F.concat(F.lit("https://n.example/"), i).alias("url"),
+        F.when(i % 3 == 0, "FUNDING").when(F.col("o_orderstatus") == "F", "AWARD").otherwise("TENDER").alias("signal_type"), F.concat(F.lit("s"), i % 4).alias("source"), none.cast("double").alias("value_min"),
+        F.when(i % 7 > 0, F.col("o_totalprice")).alias("value_max"), F.when(i % 6 == 0, "given").otherwise("").alias("amount_kind"), F.when(i % 8 != 1, "2026-01-01").alias("deadline_at"),
+        F.when(i % 8 == 0, F.array(F.struct(F.lit("tender").alias("kind"), none.alias("lot_id"), F.lit("given").alias("value")))).alias("deadlines"),
+        F.when(i % 9 == 0, F.array(F.lit("W"))).otherwise(F.array().cast("array<string>")).alias("winners"), F.when(i % 9 > 1, "A and B").alias("supplier"),
+    )
+    out = backfill.completed(rows, {"s0": "grant_range", "s1": "estimated_contract"})
+    return out.select(
+        "id", "buyer_id", "buyer_basis", "procedure_id", "amount_kind", F.coalesce(F.array_join(F.transform("deadlines", lambda x: F.concat_ws(":", x["kind"], x["value"])), ","), F.lit("")).alias("deadlines"),
+        F.array_join("winners", ",").alias("winners"),
+    )
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 > 0 THEN '2027-01-01' END WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN o_orderdate::DATE::VARCHAR
+  ELSE o_orderdate::DATE::VARCHAR || CASE WHEN o_orderkey % 5 = 0 THEN 'T00:00:00Z' ELSE 'T10:00:00Z' END END AS deadline_at,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'u' || o_orderkey % 2 || ':new,x:new,u1:old' ELSE 'u' || o_orderkey % 2 || ':old,u1:old' END AS documents FROM orders
+""")
+def facts_backfilled(spark, d):
+    """Orders of one source in three, half of which have a cached original."""
+    i, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date").cast("string")
+    document = lambda url, title: F.struct(url.alias("url"), F.lit(title).alias("title"))
+    own = F.concat(F.lit("u"), i % 2)
+    rows = table(spark, d, "orders").select(
+        i.alias("id"), F.when(i % 3 == 0, "grants").otherwise("other").alias("source"), F.concat(day, F.when(i % 5 == 0, "T00:00:00Z").otherwise("T10:00:00Z")).alias("deadline_at"),
+        F.array(document(own, "old"), document(F.lit("u1"), "old")).alias("documents"),
+    )
+    cache = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(i.alias("id"), F.when(i % 4 > 0, "2027-01-01").alias("deadline_at"), F.array(document(own, "new"), document(F.lit("x"), "new")).alias("documents"))
+    out = backfill.backfilled(rows, cache, "id", ["deadline_at"], "grants")
+    return out.select("id", "deadline_at", F.array_join(F.transform("documents", lambda x: F.concat_ws(":", x["url"], x["title"])), ",").alias("documents"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN -1 WHEN o_orderkey % 10 = 1 THEN NULL ELSE o_custkey END AS buyer, o_orderkey // 4 AS procedure, o_orderdate::DATE AS day FROM orders)
+SELECT id, CASE WHEN buyer IS NOT NULL THEN row_number() OVER (PARTITION BY buyer ORDER BY day, id) END AS buyer_place, CASE WHEN buyer IS NOT NULL THEN count(*) OVER (PARTITION BY buyer) END AS buyer_of,
+  row_number() OVER (PARTITION BY procedure ORDER BY day, id) AS procedure_place, count(*) OVER (PARTITION BY procedure) AS procedure_of FROM o
+""")
+def timeline_places(spark, d):
+    """Each order's place among its buyer's, one of whom has a third of all, and among its procedure's."""
+    i = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        i.alias("id"), F.when(i % 3 == 0, F.lit(-1)).when(i % 10 != 1, F.col("o_custkey")).cast("long").alias("buyer"), F.floor(i / 4).alias("procedure"), F.col("o_orderdate").cast("date").alias("day"))
+    out = backfill.in_timelines(rows, {"buyer": ["day", "id"], "procedure": ["day", "id"]})
+    return out.select("id", "buyer_place", "buyer_of", "procedure_place", "procedure_of")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidstream.functions import text as tx
-from bidstream.operators import checks, classify, history, identity, quality, related, states
+from bidstream.operators import backfill, checks, classify, history, identity, quality, related, states
 from bidstream.operators.capabilities import prefiltered
 from bidstream.plans.notices import NOTICES_SQL, notices, now
 from bidstream.sources import config
@@ -336,7 +336,7 @@ def translation_overlay(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("made_of"))
     made = docs.where("lang <> 'en' and doc_id % 3 > 0").select("doc_id", "made_of", F.concat(F.lit("en:"), "lang").alias("english"))
     current = docs.withColumn("made_of", F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(F.col("made_of")))
-    return current.join(made, ["doc_id", "made_of"], "left").select("doc_id", F.coalesce("english", "lang").alias("shown"))
+    return backfill.overlaid(current, made, "doc_id", "made_of", ["english"]).select("doc_id", F.coalesce("english_en", "lang").alias("shown"))
 
 
 @query("""

@@ -132,6 +132,25 @@ def write_bounded(df: DataFrame, path: str, key: str, size: Column, most_bytes:
     return leaves.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes"), F.count_distinct(key).alias("keys"))
 
 
+#: A snapshot of more bytes than this is kept compressed, and no file has more than this after that; fixed.
+RETAINED_PLAIN, RETAINED_FILE = 8 << 20, 64 << 20
+
+
+def write_retained(df: DataFrame, path: str, order: list[str], plain: int = RETAINED_PLAIN, a_file: int = RETAINED_FILE) -> str:
+    """Writes a snapshot as JSON lines in order, plain or, above a size, gzipped; the codec, none or gzip.
+
+    The same rows give the same lines in the same files, so a snapshot that did not change looks the same to whoever compares it. Rows are ordered by
+    ranges, and there are as many files as their bytes need.
+    """
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    size = df.agg(F.sum(F.octet_length(line) + 1)).first()[0] or 0
+    codec = "gzip" if size > plain else "none"
+    files = max(1, -(-size // a_file))
+    rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order) if files > 1 else df.coalesce(1).sortWithinPartitions(*order)
+    rows.select(line.alias("value")).write.mode("overwrite").option("compression", codec).text(path)
+    return codec
+
+
 def write_if_changed(df: DataFrame, path: str, listed: DataFrame | None, partition: str, key: str) -> tuple[DataFrame, bool]:
     """Writes `df` unless its manifest is the one that is listed already; the manifest, and whether anything was written."""
     now = history.manifest(df, partition, key)

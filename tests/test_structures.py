@@ -141,3 +141,20 @@ def test_names_in_a_languages_order(spark):
     assert swedish[-3:] == ["ähre", "Äpfel", "öl"]
     labels = df.agg(F.collect_list("n").alias("l")).select(tiers.label_order_in(F.col("l")).alias("x")).first()["x"]
     assert labels == got
+
+
+def test_retained_snapshots_look_the_same_and_grow_into_gzip(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, t string")
+
+    def lines(path):
+        files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+        return files, [[json.loads(x) for x in spark.read.text(f"{path}/{f}").orderBy(F.monotonically_increasing_id()).toPandas()["value"]] for f in files]
+
+    assert sinks.write_retained(df.repartition(7), f"{tmp_path}/a", ["id"]) == "none"
+    files, read = lines(f"{tmp_path}/a")
+    assert len(files) == 1 and read[0] == [{"id": i, "t": t} for i, t in rows] and not files[0].endswith(".gz")
+    assert sinks.write_retained(df.repartition(3), f"{tmp_path}/b", ["id"], plain=100, a_file=3000) == "gzip"
+    files, read = lines(f"{tmp_path}/b")
+    assert len(files) > 1 and all(f.endswith(".gz") for f in files) and [r["id"] for part in read for r in part] == list(range(300))
+    assert sinks.write_retained(df.limit(0), f"{tmp_path}/c", ["id"]) == "none"
