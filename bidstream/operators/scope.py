@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CLAUSE = r"(?i)[.;:!?\n]+|,? (?:but|however|aber|mais|pero) "
-#: Words before a phrase, and after one, that negate a clause.
-NEGATED_BEFORE = r"\b(?:no|not|without|excluding|except|neither|never|kein\w*|ohne|nicht|sans|aucun\w*|sin|ning[uú]n\w*)\b"
+#: Words before a phrase, and after one, that negate a clause; "not only" and its like do not.
+NEGATED_BEFORE = r"\b(?!(?:not (?:only|just)|nicht nur|no s[oó]lo|no solamente)\b)(?:no|not|without|excluding|except|neither|never|kein\w*|ohne|nicht|sans|aucun\w*|sin|ning[uú]n\w*)\b"
 NEGATED_AFTER = r"\b(?:(?:is|are|was|were|will be|shall be) (?:excluded|not)|not (?:required|included|commissioned|part)|entf[aä]llt|exclue?s?|no requerid[oa]s?)\b"
 
 
