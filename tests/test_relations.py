@@ -61,3 +61,16 @@ def test_added_today_is_of_the_zone(spark):
     df = spark.sql("select timestamp'2026-06-30 23:30:00' as t, timestamp'2026-07-01 10:00:00' as now")
     flags = tiers.freshness(F.col("t"), F.col("t"), F.col("now"))
     assert tuple(df.select(flags["new"], flags["updated"], flags["added_today"]).first()) == (True, False, True)  # summer time in London
+
+
+def test_links_count_each_overlapping_row_once(spark):
+    rows = spark.createDataFrame([(20, [1, 2, 2]), (40, [2, 1]), (3, [2, 1, 9]), (7, [9]), (60, []), (80, None), (100, [None, 5])], "id long, ids array<long>")
+    got = {r["id"]: r["links"] for r in tiers.overlap_links(rows.where("id % 20 = 0"), rows, "ids", "id").collect()}
+    assert got == {20: 2, 40: 2, 60: 0, 80: 0, 100: 0}
+
+
+def test_the_overlap_query_forms_all_pairs():
+    from bidstream.plans import catalog
+
+    assert catalog.oracle_sql()["supplier_overlap"] != catalog.oracle_sql()["supplier_overlap_classes"]
+    assert "links" in catalog.oracle_sql()["supplier_overlap"]
