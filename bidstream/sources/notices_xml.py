@@ -50,7 +50,8 @@ def parsed(df: DataFrame, xml: str, schema: str, roots: tuple[str, ...]) -> Data
     root = F.regexp_extract(text, _ROOT, 1)
     early = F.when(F.trim(text) == "", "empty").when(text.rlike(UNSAFE), "unsafe").when(~root.isin(*roots), "another document")
     out = df.withColumn("root", root).withColumn("early_", early)
-    out = out.withColumn("x", F.from_xml(F.when(F.col("early_").isNull(), F.col(xml)), schema, OPTIONS))
+    # a generator of one row: what filters on x above it isn't pushed under it, where a document would be parsed again for each mention of x
+    out = out.withColumn("x", F.explode_outer(F.array(F.from_xml(F.when(F.col("early_").isNull(), F.col(xml)), schema, OPTIONS))))
     fault = F.coalesce("early_", F.when(F.col("x").isNull() | F.col("x.fault_").isNotNull(), "malformed"))
     return out.withColumn("fault", fault).drop("early_")
 

@@ -1,5 +1,6 @@
 """Nested XML by schema: lots with deadlines of their own, feeds, and what is held back."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from bidstream.sources import notices_xml as nx
@@ -81,3 +82,14 @@ def test_pages_that_are_not_whole(spark):
     assert {r["name"]: r["fault"] for r in rows} == {
         "newest": "not newest first", "late": "newer than its page", "none": "no time", "state": "incomplete entry", "name": "incomplete entry", "host": "incomplete entry", "next": "several next pages", "empty": None}
     assert all(r["none"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["codice_facts", "codice_lots", "codice_faults", "eforms_lots", "eforms_faults"])
+def test_a_document_is_parsed_once(spark, tmp_path, name):
+    from bidstream.plans import catalog
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame([], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1
