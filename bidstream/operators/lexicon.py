@@ -115,6 +115,25 @@ def _read(text: str, automaton) -> list[list[dict]]:
     return out
 
 
+#: Characters of texts whose places a task holds at once, but for a text that is longer by itself; a text may have a place for each of its words.
+AT_ONCE = 1 << 18
+
+
+def _read_batches(batches: Iterable[pa.Array], lexicon: Lexicon) -> Iterator[pa.Array]:
+    """The places of each text, in arrays of few texts, whatever a batch holds."""
+    automaton = lexicon.automaton()
+    for texts in batches:
+        held, size = [], 0
+        for t in texts:
+            text = t.as_py() if lexicon.entries else None
+            if held and size + len(text or "") > AT_ONCE:
+                yield pa.array(held, type=_CLAUSES)
+                held, size = [], 0
+            held.append(_read(text, automaton) if text else [])
+            size += len(text or "")
+        yield pa.array(held, type=_CLAUSES)
+
+
 def places(text: Column, lexicon: Lexicon) -> Column:
     """Where the lexicon's phrases stand in a text, whole words only: an array for each clause that has any, of
     (clause, word, words, role, name, phrase, negated, inner) in order of place.
@@ -127,9 +146,7 @@ def places(text: Column, lexicon: Lexicon) -> Column:
 
     @F.arrow_udf(f"array<array<{PLACE}>>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = lexicon.automaton()
-        for texts in batches:
-            yield pa.array([_read(t, automaton) if t and lexicon.entries else [] for t in texts.to_pylist()], type=_CLAUSES)
+        return _read_batches(batches, lexicon)
 
     return read(text)
 

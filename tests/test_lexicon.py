@@ -166,3 +166,16 @@ def test_scope_query_by_loops(spark):
             rule = next((x.label for x in families.NOT_MEANT if by_loops(x, c)), "mention")
             contexts.append(f"{c[0]['clause']}:" + ("uncertain" if "uncertain" in roles else "delivery" if by_loops(families.DELIVERS, c) else "existing_system" if "existing" in roles else rule))
         assert (got[r["doc_id"]]["scope"], got[r["doc_id"]]["excluded"], got[r["doc_id"]]["contexts"]) == (scope, out, ",".join(contexts))
+
+
+def test_places_of_a_batch_come_in_arrays_of_few_texts():
+    import pyarrow as pa
+
+    from bidstream.operators import lexicon as lx
+
+    texts = ["cloud data. " * 3000, None, "", "no", "data"] * 40
+    lex = lx.Lexicon([lx.Phrase("cloud", "explicit", "a"), lx.Phrase("data", "needs", "b")])
+    got = list(lx._read_batches([pa.array(texts), pa.array(["data"])], lex))
+    automaton = lex.automaton()
+    assert [x for a in got for x in a.to_pylist()] == [lx._read(t, automaton) if t else [] for t in [*texts, "data"]]
+    assert len(got) > 5 and max(len(a) for a in got) < len(texts) / 4
