@@ -15,23 +15,30 @@ from bidstream.operators.ordered import round_robin
 from bidstream.sources.shared import stored
 
 
-def _nested(value: Column) -> Column:
-    """Whether a variant has values of its own to open."""
-    return F.coalesce(F.schema_of_variant(value).rlike(r"^(?:OBJECT<.|ARRAY<)") & ~F.to_json(value).isin("[]", "{}"), F.lit(False))
+def _nested(text: Column) -> Column:
+    """Whether a value, told by its JSON text, has values of its own to open."""
+    return text.startswith("{") & (text != "{}") | text.startswith("[") & (text != "[]")
 
 
-def opened(df: DataFrame, key: list[str], payload: str) -> DataFrame:
+def _once(value: Column) -> Column:
+    """A generator of one row: filters above it stay above, so a value is worked out once and not again for each mention."""
+    return F.explode_outer(F.array(value))
+
+
+def opened(df: DataFrame, key: list[str], payload: str, names: list[str] | None = None) -> DataFrame:
     """(key.., path, name, text, leaf): every value in a JSON text, at any depth, the outermost itself too.
 
     name: the key that a value stands under, null for the outermost and for members of arrays. leaf: it has no values of its own; an empty object or
-    array is a leaf. A text that is no JSON gives none.
+    array is a leaf. A text that is no JSON gives none. With `names`, only the values under these, and no others are kept on the way but for what is to be opened.
     """
+    wanted = F.lit(True) if names is None else F.coalesce(F.col("name").isin(names), F.lit(False))
     own = [f"own{i}_" for i in range(len(key))]  # the keys' names may be those of what explodes
-    level = df.select(*[F.col(k).alias(o) for k, o in zip(key, own, strict=True)], F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(payload).alias("v")).where("v is not null")
+    level = df.select(*[F.col(k).alias(o) for k, o in zip(key, own, strict=True)], F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), _once(F.try_parse_json(payload)).alias("v")).where("v is not null")
     levels = []
     while True:
-        level = stored(level.select(*own, "path", "name", F.to_json("v").alias("text"), (~_nested(F.col("v"))).alias("leaf")), "nested-level")
-        levels.append(level)
+        text = level.select(*own, "path", "name", _once(F.to_json("v")).alias("text")).withColumn("leaf", ~_nested(F.col("text")))
+        level = stored(text.where(wanted | ~F.col("leaf")), "nested-level")
+        levels.append(level.where(wanted))
         inner = level.where("not leaf")
         if not inner.limit(1).count():
             break
@@ -43,7 +50,7 @@ def opened(df: DataFrame, key: list[str], payload: str) -> DataFrame:
 
 def values_under(df: DataFrame, key: list[str], payload: str, names: list[str]) -> DataFrame:
     """(key.., path, text): all values that stand under one of the keys `names`, at any depth, objects and arrays too."""
-    return opened(df, key, payload).where(F.col("name").isin(names)).select(*key, "path", "text")
+    return opened(df, key, payload, names).select(*key, "path", "text")
 
 
 def fact_runs(versions: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
