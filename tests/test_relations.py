@@ -74,3 +74,20 @@ def test_the_overlap_query_forms_all_pairs():
 
     assert catalog.oracle_sql()["supplier_overlap"] != catalog.oracle_sql()["supplier_overlap_classes"]
     assert "links" in catalog.oracle_sql()["supplier_overlap"]
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_tiers_tell_each_pair_once_and_gather_none(spark, monkeypatch, several):
+    """Nulls relate nothing and hide nothing; only keys with several rows have their pairs gathered."""
+    monkeypatch.setattr(tiers, "TASK_ROWS", 1)
+    held = [(1, 1, 1), (2, 1, 1), (3, None, 1), (4, 2, None), (5, None, None), (6, 2, 1)] + ([(2, 9, 9), (2, 2, None)] if several else [])
+    rows = spark.createDataFrame(held, "id int, a int, b int")
+    out = tiers.tiered(rows.where("id < 4"), rows, "id", [["a"], ["b"]])
+    least = {}
+    for tier, place in ((0, 1), (1, 2)):
+        for q in held:
+            for r in held:
+                if q[0] < 4 and q[0] != r[0] and q[place] is not None and q[place] == r[place]:
+                    least[q[0], r[0]] = min(tier, least.get((q[0], r[0]), 9))
+    assert sorted(map(tuple, out.collect())) == sorted((q, r, t) for (q, r), t in least.items())
+    assert several or "HashAggregate" not in out._jdf.queryExecution().toString()
