@@ -12,8 +12,8 @@ from bidstream.sources.tables import table
 from bidstream.streaming import inventory
 
 QUERIES, SQL = {}, {}
-#: Parts that the stream reads one by one, and after how many of them it is stopped and started anew.
-PARTS, STOP = 4, 2
+#: Parts by time that the stream reads one after the other, and after how many of them it is stopped and started anew; what came since is one micro-batch.
+PARTS, STOP = 4, 1
 
 
 def query(sql: str | None = None):
@@ -27,15 +27,19 @@ def query(sql: str | None = None):
 
 
 def _streamed(spark, events, processor, *more):
-    """What a processor tells of the events, read in order of time in two runs, the second of which goes on from the first one's checkpoint."""
+    """What a processor tells of the events, read in order of time in several runs, each of which goes on from the checkpoint of the one before.
+
+    Parts are cut by time, to the millisecond as timers are, since ids need not follow it and a late row would be lost. Each is written by as many tasks as read it.
+    """
     inventory.with_state_store(spark)
     top = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    at = F.unix_millis("ts")
+    low, high = (x or 0 for x in events.agg(F.min(at), F.max(at)).first())
     step = (high - low) // PARTS + 1
     for p in range(PARTS):
-        events.where(F.col("event_id").between(low + p * step, low + (p + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{top}/in")
-        if p + 1 in (STOP, PARTS):
-            source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+        events.where(at.between(low + p * step, low + (p + 1) * step - 1)).write.mode("append").parquet(f"{top}/in")
+        if (p + 1) % STOP == 0 or p + 1 == PARTS:
+            source = spark.readStream.schema(events.schema).parquet(f"{top}/in")
             inventory.drain(inventory.told(source, F.col("user_id"), F.col("ts"), processor, *more), f"{top}/out", f"{top}/checkpoint")
     return spark.read.parquet(f"{top}/out").drop("batch")
 
