@@ -10,17 +10,21 @@ URL = r"https?://[^\s<>\"')\]]+"
 MAILBOX = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 #: What a translation must carry over unchanged.
 LITERALS = f"{URL}|{MAILBOX}|{NUMBER}"
+#: What a match holds at least: texts without it are not searched, which for mailboxes takes the square of a word's length.
+SIGNS = {URL: "://", MAILBOX: "@"}
 
 
 def multiset(text: Column, pattern: str) -> Column:
     """A pattern's matches, sorted: equal for texts that hold the same ones as often, in any order."""
-    return F.array_sort(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    found = F.array_sort(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    sign = SIGNS.get(pattern)
+    return found if sign is None else F.when(text.contains(sign), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def faults(source: Column, translated: Column, least: float = 0.3, most: float = 3.5) -> Column:
     """Why a translation cannot stand: empty, unlike length, changed numbers, links or mailboxes."""
     ratio = F.length(translated) / F.greatest(F.lit(1), F.length(source))
-    bare = lambda t: F.regexp_replace(t, f"{URL}|{MAILBOX}", " ")
+    bare = lambda t: F.when(t.contains("@"), F.regexp_replace(t, f"{URL}|{MAILBOX}", " ")).when(t.contains("://"), F.regexp_replace(t, URL, " ")).otherwise(t)
     checks = {
         "empty": (F.trim(source) != "") & (F.trim(translated) == ""), "length": (F.length(source) >= 40) & ~ratio.between(least, most),
         "numbers": multiset(bare(source), NUMBER) != multiset(bare(translated), NUMBER), "links": multiset(source, URL) != multiset(translated, URL),
@@ -31,7 +35,9 @@ def faults(source: Column, translated: Column, least: float = 0.3, most: float =
 
 def masked(text: Column) -> tuple[Column, Column]:
     """The text with its literals replaced by marks, and the literals in order."""
-    return F.regexp_replace(text, LITERALS, "⟦⟧"), F.regexp_extract_all(text, F.lit(f"({LITERALS})"), F.lit(1))
+    parts = lambda pattern: (F.regexp_replace(text, pattern, "⟦⟧"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    (mark, listed), (mark_, listed_) = parts(LITERALS), parts(f"{URL}|{NUMBER}")
+    return F.when(text.contains("@"), mark).otherwise(mark_), F.when(text.contains("@"), listed).otherwise(listed_)
 
 
 def restored(text: Column, literals: Column) -> Column:
