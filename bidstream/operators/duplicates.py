@@ -17,6 +17,10 @@ from bidstream.sources.shared import stored
 
 #: Least similarity of names and of titles in hundredths, and how far anchors may lie apart. Fixed.
 NAME, TITLE, DEADLINE_SECONDS, SHARE, PUBLISHED_DAYS = 95, 94, 86_400, 0.02, 45
+#: Two names of this length together are long enough for two insertions or deletions at that similarity; below it one is the most.
+LONG = 100 // (100 - NAME)
+#: Days and steps of the amounts' scale in a cell where names agree too.
+CELL = (4, 8)
 
 
 def _may_reach(a: Column, b: Column, percent: int) -> Column:
@@ -33,37 +37,75 @@ def classes(notices: DataFrame) -> DataFrame:
     return notices.join(least, on).select(notices["*"], "class_")
 
 
+def _alike_names(names: DataFrame) -> DataFrame:
+    """(buyer, other): each name with itself and with those that have one letter more, of names too short for a second edit.
+
+    A name of which one letter is taken away is found by equality, so the work grows with the names and not with their pairs.
+    """
+    name, longer = F.col("buyer"), F.length("buyer")
+    without = F.transform(F.sequence(F.lit(1), longer), lambda i: F.xxhash64(F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, longer))))
+    cut = F.when((longer > 1) & (longer <= LONG), F.array_distinct(without)).otherwise(F.array())
+    one, more = names.select("buyer", F.xxhash64("buyer").alias("key_")), names.select(name.alias("other"), F.explode(cut).alias("key_"))
+    a, b = F.length("buyer"), F.length("other")
+    near = one.join(more, "key_").where((b == a + 1) & (F.levenshtein("buyer", "other") == 1) & (200.0 * a / (a + b) >= NAME))
+    return names.select("buyer", name.alias("other")).union(near.select("buyer", "other"))
+
+
 def duplicate_pairs(notices: DataFrame) -> DataFrame:
     """(a, b): classes of notices that are nearly the same, a before b; notices has class_ from classes().
 
     deadline and published are timestamps. Names and titles are compared as they are given, so fold them first. A missing
     buyer, deadline or amount leaves a notice out; lots have to be equal, and so have the procedure numbers of one source.
+    Names of fewer than 2 * LONG letters together may differ by one letter only, so they are matched by equality first; longer ones
+    that differ meet in cells of day and amount alone, where the pairs grow with the square of a cell's notices.
     """
     rows = notices.where("id = class_ and buyer <> '' and deadline is not null and amount is not null")
     second = F.unix_seconds("deadline")
     # amounts within 2 % differ by no more than two steps of this scale, small ones by no more than 1
     step = math.log1p(SHARE)
     scale = F.floor(F.log(F.greatest(F.col("amount"), F.lit(1.0)) + 50) / F.lit(step)).cast("long")
-    cells = stored(rows.withColumn("day_", F.floor(second / DEADLINE_SECONDS)).withColumn("scale_", scale), "duplicate-cells")
-    near = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda s: s + F.col("scale_"))
-    spread = cells.withColumn("scale_", F.explode(near)).withColumn("day_", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda x: x + F.col("day_"))))
-    a, b = cells.alias("a"), spread.alias("b")
+    cells = rows.withColumn("day_", F.floor(second / DEADLINE_SECONDS)).withColumn("scale_", scale)
     c = F.col
+    # a is the one of the lower id, of which the bound of amounts is taken
+    first = F.when(c("a.id") < c("b.id"), c("a.amount")).otherwise(c("b.amount"))
     anchored = (
         (F.abs(F.unix_seconds("a.deadline") - F.unix_seconds("b.deadline")) <= DEADLINE_SECONDS) & c("a.currency").eqNullSafe(c("b.currency"))
-        & (F.abs(c("a.amount") - c("b.amount")) <= F.greatest(F.lit(1.0), c("a.amount") * SHARE))
+        & (F.abs(c("a.amount") - c("b.amount")) <= F.greatest(F.lit(1.0), first * SHARE))
     )
     days = F.abs(F.datediff("a.published", "b.published"))
     vetoes = c("a.lot").eqNullSafe(c("b.lot")) & F.coalesce(days <= PUBLISHED_DAYS, F.lit(True)) & ~F.coalesce(
         (c("a.source") == c("b.source")) & (c("a.ocid") != "") & (c("b.ocid") != "") & (c("a.ocid") != c("b.ocid")), F.lit(False)
     )
-    alike = _may_reach(c("a.buyer"), c("b.buyer"), NAME) & _may_reach(c("a.title"), c("b.title"), TITLE)
-    on = (c("a.day_") == c("b.day_")) & (c("a.scale_") == c("b.scale_")) & (c("a.id") < c("b.id"))
-    pairs = a.join(b, on & anchored & vetoes & alike).select(
-        c("a.id").alias("a"), c("b.id").alias("b"), c("a.buyer").alias("name_a"), c("b.buyer").alias("name_b"), c("a.title").alias("title_a"), c("b.title").alias("title_b"),
-    )
-    # what is left after the bounds is compared letter by letter
-    return pairs.where((indel_ratio("name_a", "name_b") >= NAME) & (indel_ratio("title_a", "title_b") >= TITLE)).select("a", "b").distinct()
+    title = (c("a.title") == c("b.title")) | _may_reach(c("a.title"), c("b.title"), TITLE)
+
+    def spread(df: DataFrame, column: str, reach: int, width: int) -> DataFrame:
+        """Copies of `df` for each cell of so many steps that holds something within reach."""
+        lowest, highest = (F.floor((c(column) + x) / width).cast("long") for x in (-reach, reach))
+        return df.withColumn(column, F.explode(F.sequence(lowest, highest)))
+
+    def met(a: DataFrame, b: DataFrame, keys: list[str], width: tuple[int, int], which: Column) -> DataFrame:
+        """Pairs of a and b in one cell, with what is left to be compared letter by letter."""
+        a = spread(spread(a, "day_", 1, width[0]), "scale_", 2, width[1]).alias("a")
+        b = b.withColumns({"day_": F.floor(c("day_") / width[0]).cast("long"), "scale_": F.floor(c("scale_") / width[1]).cast("long")}).alias("b")
+        on = which & anchored & vetoes & title
+        for k in [*keys, "day_", "scale_"]:
+            on = (c(f"a.{k}") == c(f"b.{k}")) & on
+        return a.join(b, on).select(
+            F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), c("a.buyer").alias("name_a"), c("b.buyer").alias("name_b"),
+            c("a.title").alias("title_a"), c("b.title").alias("title_b"),
+        )
+
+    names = _alike_names(cells.select("buyer").distinct())
+    pairs = met(cells.join(names, "buyer"), cells.withColumn("other", c("buyer")), ["other"], CELL, (c("a.buyer") != c("b.buyer")) | (c("a.id") < c("b.id")))
+    # the shortest name that may differ by more than a letter from a longer one
+    longer = cells.where(F.length("buyer") >= LONG)
+    if not longer.isEmpty():
+        a, b = F.length("a.buyer"), F.length("b.buyer")
+        which = (c("a.buyer") != c("b.buyer")) & (a + b >= 2 * LONG) & ((a > b) | ((a == b) & (c("a.id") < c("b.id"))))
+        pairs = pairs.union(met(longer, cells.where(F.length("buyer") >= LONG - 1), [], (1, 1), which & _may_reach(c("a.buyer"), c("b.buyer"), NAME)))
+    # what is left after the bounds is compared letter by letter, unless it is equal
+    same = lambda x, y, least: (c(x) == c(y)) | (indel_ratio(F.when(c(x) != c(y), c(x)), c(y)) >= least)
+    return pairs.where(same("name_a", "name_b", NAME) & same("title_a", "title_b", TITLE)).select("a", "b").distinct()
 
 
 def duplicate_groups(notices: DataFrame) -> DataFrame:

@@ -102,3 +102,27 @@ def test_duplicates_against_all_pairs(spark):
     root = union_find(pairs)
     got = {r["id"]: r["group"] for r in duplicates.duplicate_groups(df).collect()}
     assert got == {r[0]: root[r[0]] for r in rows} and len(set(got.values())) < len(rows) - 40
+
+
+def test_duplicates_of_short_names_meet_by_name(spark):
+    rng = random.Random(9)
+    names = ["Town of Yam", "Town of Yams", "Town of Yms", "Tow", "Tows", "n" * 9, "n" * 10, "n" * 11, "City of Xanadu East", "City of Xanadu Eastx", "City of Xanadu Eastxy", "City of Xanadu Easty", "Ŷ" * 18 + "a", "Ŷ" * 20]
+    rows = [(i, "ab"[i % 2], rng.choice(names), "Works", f"2026-01-0{rng.randrange(1, 8)} 00:00:00", rng.choice([-5.0, 0.5, 1.4, 100.0, 101.9, 5e6]), "EUR", None, "", "2026-01-01") for i in range(300)]
+    schema = "id long, source string, buyer string, title string, deadline string, amount double, currency string, lot string, ocid string, published string"
+    df = spark.createDataFrame(rows, schema).withColumns({"deadline": F.col("deadline").cast("timestamp"), "published": F.col("published").cast("date")})
+    known = duplicates.classes(df)
+    firsts = {}
+    for r in rows:
+        firsts.setdefault(r[1:], r)
+    kept = list(firsts.values())
+    near = lambda x, y: abs(int(x[4][9]) - int(y[4][9])) <= 1 and abs(x[5] - y[5]) <= max(1, 0.02 * x[5]) and ratio(x[2], y[2]) >= 95
+    want = {(x[0], y[0]) for x in kept for y in kept if x[0] < y[0] and near(x, y)}
+    got = [(r["a"], r["b"]) for r in duplicates.duplicate_pairs(known).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_names_are_matched_without_their_pairs(spark):
+    # names that differ in a digit are all much alike, and none by one letter more; each has itself and its longer form only
+    buyers = spark.range(3000).selectExpr("explode(array(printf('Customer#%09d', id), printf('Customer#%09dx', id))) AS buyer")
+    got = duplicates._alike_names(buyers)
+    assert got.count() == 9000 and got.where("other NOT IN (buyer, concat(buyer, 'x'))").count() == 0
