@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from zoneinfo import available_timezones
 
@@ -114,21 +115,27 @@ def prose_deadlines(text: Column, labels: tuple[str, ...], stops: tuple[str, ...
     named = "|".join(re.escape(x.lower()) for x in sorted(labels, key=len, reverse=True))
     tails = F.regexp_extract_all(low, F.lit(rf"(?:{named})((?:(?!{named}).){{0,{reach}}})"), F.lit(1))
     ended = F.transform(tails, lambda t: F.get(F.split(t, "[!?]" + "".join(rf"|(?<!\w){re.escape(x.lower())}(?!\w)" for x in stops), 2), 0))
-    part = lambda t, i: F.regexp_extract(t, _DAY, i)
     after = lambda t: F.regexp_extract(t, _DAY + r"(?:\s*(?:,|at|by|-|–)?\s*(?:at\s+|by\s+)?" + _CLOCK + r")?", 0)
     before = lambda t: F.regexp_extract(t, _CLOCK + r"\s*(?:on|,)\s+(?:the\s+)?" + _DAY, 0)
 
-    def one(t: Column) -> Column:
-        day = F.concat_ws("-", part(t, 3), F.lpad(_month(part(t, 2)).cast("string"), 2, "0"), F.lpad(part(t, 1), 2, "0"))
-        clock = F.when(before(t) != "", F.regexp_extract(before(t), "^" + _CLOCK, 0)).otherwise(
-            F.regexp_extract(after(t), _DAY + r"\s*(?:,|at|by|-|–)?\s*(?:at\s+|by\s+)?(" + _CLOCK + ")$", 4)
-        )
-        return F.when(day.try_cast("date").isNotNull() & (part(t, 3) != ""), F.concat(day, F.coalesce(F.concat(F.lit("T"), _clock(clock)), F.lit(""))))
+    def one(said: Column, t: Column) -> Column:
+        """Of a day with what may follow it, and of the text that it stands in."""
+        part = lambda i: F.regexp_extract(said, _DAY, i)
+        day = F.concat_ws("-", part(3), F.lpad(_month(part(2)).cast("string"), 2, "0"), F.lpad(part(1), 2, "0"))
+        clock = _once(before(t), lambda b: F.when(b != "", F.regexp_extract(b, "^" + _CLOCK, 0)).otherwise(
+            F.regexp_extract(said, _DAY + r"\s*(?:,|at|by|-|–)?\s*(?:at\s+|by\s+)?(" + _CLOCK + ")$", 4)
+        ))
+        return _once(day, lambda d: F.when(d.try_cast("date").isNotNull(), F.concat(d, F.coalesce(F.concat(F.lit("T"), _once(clock, _clock)), F.lit("")))))
 
-    found = F.array_sort(F.array_compact(F.transform(ended, one)))
+    found = F.array_sort(F.array_compact(F.transform(ended, lambda t: _once(after(t), lambda said: F.when(said != "", one(said, t))))))
     return timed_first(found)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it; in a lambda Spark would work it out each time."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _month(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(name, 1, 3)).cast("int")
 
@@ -136,17 +143,24 @@ def _month(name: Column) -> Column:
 def _clock(text: Column) -> Column:
     """HH:mm of a clock such as 5pm, 17:00 or 12 noon; null for a bare number without minutes or half of the day."""
     pick = lambda i: F.regexp_extract(text, "^" + _CLOCK + "$", i)
-    half, minute, hour = pick(3), F.coalesce(F.nullif(pick(2), F.lit("")), F.lit("00")), pick(1).try_cast("int")
-    shifted = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).when(half == "noon", F.lit(12)).otherwise(hour)
-    good = (shifted < 24) & (minute.try_cast("int") < 60) & ((half != "") | (pick(2) != ""))
-    return F.when(good, F.concat(F.lpad(shifted.cast("string"), 2, "0"), F.lit(":"), minute))
+
+    def told(c: Column) -> Column:
+        half, minute, hour = c["half"], F.when(c["minute"] != "", c["minute"]).otherwise("00"), c["hour"].try_cast("int")
+        shifted = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).when(half == "noon", F.lit(12)).otherwise(hour)
+        good = (shifted < 24) & (minute.try_cast("int") < 60) & ((half != "") | (c["minute"] != ""))
+        return F.when(good, F.concat(F.lpad(shifted.cast("string"), 2, "0"), F.lit(":"), minute))
+
+    return F.when(text != "", _once(F.struct(pick(1).alias("hour"), pick(2).alias("minute"), pick(3).alias("half")), told))
 
 
 def timed_first(values: Column) -> Column:
     """Of ISO texts of one day the longest, so a time is not lost to a bare date; days in order."""
-    days = F.array_distinct(F.transform(values, lambda v: F.substring(v, 1, 10)))
-    longest = lambda d: F.array_max(F.transform(F.filter(values, lambda v: v.startswith(d)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
-    return F.array_sort(F.transform(days, longest))
+    def of_days(values: Column) -> Column:
+        days = F.array_distinct(F.transform(values, lambda v: F.substring(v, 1, 10)))
+        longest = lambda d: F.array_max(F.transform(F.filter(values, lambda v: v.startswith(d)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
+        return F.array_sort(F.transform(days, longest))
+
+    return _once(values, of_days)
 
 
 def engagement_deadline(text: Column, labels: tuple[str, ...] = ("responses by", "respond by", "register interest by", "expressions of interest by", "closing date")) -> Column:

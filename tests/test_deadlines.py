@@ -35,3 +35,11 @@ def test_ends_of_deadlines(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     want = spark.createDataFrame([(e,) for e in ENDS], "t string").select(F.unix_micros(F.col("t").cast("timestamp"))).collect()
     assert [r["us"] for r in rows] == [w[0] for w in want]
+
+
+def test_prose_is_searched_once_for_each_thing(spark):
+    df = spark.createDataFrame([("Closing date: 12 noon on 3 May 2026. Closing date 4 May 2026 at 5pm. Closing date 5 of June 2026 at 99",), ("Closing date to be told",), (None,)], "t string")
+    out = df.select(dates.prose_deadlines(F.col("t"), ("closing date",)).alias("d"))
+    assert [r["d"] for r in out.collect()] == [["2026-05-03T12:00", "2026-05-04T17:00", "2026-06-05"], [], None]
+    # a lambda works out what it names as often as it names it
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract(") < 20
