@@ -54,15 +54,22 @@ def _items(c: Capability, basis: str, hits: Column) -> Column:
 
 def _quoted(text: Column, field: str, capabilities: list[Capability]) -> Column:
     """All evidence of a text, with the sentence that it stands in; a phrase in the title has IN_TITLE more, but for contextual ones."""
-    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
-    more = IN_TITLE if field == "title" else 0
+    sentences = F.filter(F.transform(F.split(text, SENTENCE), lambda s: F.trim(s)), lambda s: _holds(s, capabilities))
+    more, none = IN_TITLE if field == "title" else 0, F.array().cast(EVIDENCE)
 
     def of(s: Column) -> Column:
-        return F.transform(F.concat(*[c.found(s) for c in capabilities]), lambda e: F.struct(
+        return F.transform(F.concat(none, *[F.when(_holds(s, [c]), c.found(s)).otherwise(none) for c in capabilities]), lambda e: F.struct(
             (e["points"] + F.when(e["basis"] == "contextual", 0).otherwise(more)).alias("points"), F.lit(field).alias("field"), e["capability"], e["family"], e["basis"], e["phrase"], s.alias("quote"),
         ))
 
-    return F.flatten(F.transform(sentences, of)).cast(QUOTED)
+    # a text without the letters of any phrase has no evidence, and is not cut into sentences and clauses to find none
+    return F.when(_holds(text, capabilities), F.flatten(F.transform(sentences, of)).cast(QUOTED)).otherwise(F.array().cast(QUOTED))
+
+
+def _holds(text: Column, capabilities: list[Capability]) -> Column:
+    """Whether the letters of any phrase stand in a text, as they have to for any evidence."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(p) for c in capabilities for p in (*c.explicit, *c.needs, *c.contextual)], F.lit(False))
 
 
 def prefiltered(

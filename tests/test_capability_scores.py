@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidstream.operators import scope
+from bidstream.operators.capabilities import Capability, prefiltered
 from bidstream.plans import texts
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,14 @@ def test_scores_of_documents(spark):
 @pytest.mark.parametrize("clause, want", [("not only a crm", True), ("not a crm", False), ("nicht nur ein crm", True), ("nicht ein crm", False), ("no sólo un crm", True), ("not just a crm but more", True), ("no crm", False)])
 def test_not_only_is_no_negation(spark, clause, want):
     assert spark.createDataFrame([(clause,)], "c string").select(scope.says(F.col("c"), scope.words(("crm",)))).first()[0] is want
+
+
+def test_texts_without_a_phrase_are_not_cut(spark):
+    some = [Capability("crm", "platform", ("c.r.m", "crm"), contextual=("cases",), context=("desk",)), Capability("none", "ai")]
+    rows = [(1, "A C.R.M", "No crm. Cases at the desk!\nThe CRM"), (2, "cxrym", "cases"), (3, None, None), (4, "", "CRM? crm")]
+    out = prefiltered(spark.createDataFrame(rows, "id int, title string, description string").withColumn("codes", F.array().cast("array<string>")), some)
+    got = {r["id"]: (r["score"], r["capabilities"], [e["phrase"] for e in r["evidence"]]) for r in out.collect()}
+    assert got == {1: (46, ["crm"], ["crm", "cases"]), 2: (0, [], []), 3: (0, [], []), 4: (46, ["crm"], ["crm", "crm"])}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    asked = [m.start() for m in re.finditer(r"CASE WHEN \(*false OR Contains\(lower\((?:title|description)#", plan, re.I)]
+    assert len(asked) == 2 and asked[0] < plan.index("split(")
