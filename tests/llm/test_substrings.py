@@ -103,3 +103,42 @@ def test_many_rows_of_one_id(spark):
         seconds.append(time.perf_counter() - began)
         assert [tuple(r) for r in out] == [(len(text.encode()), len(text.encode()), 1, 2000)]
     assert seconds[1] < 2 * seconds[0] + 5
+
+
+def test_a_key_stays_whole_beside_one_of_many_contexts(spark, tmp_path, monkeypatch):
+    """With a key of many contexts there, those of few are still compared whole, however Spark joins and deals out."""
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(3)
+    rows = planted()
+    passages = [prose(rng, 110) for _ in range(40)]
+    rows += [(100 + i, prose(rng, 60) + passages[i % 40] + prose(rng, 60), "en", "a", 0, "s", "b", "k") for i in range(120)]
+    try:
+        spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        out = substrings.op4_substrings(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, out), key=repr) == by_force(rows)
+
+
+def test_many_contexts_give_few_rows_each(spark, monkeypatch):
+    """A context of a key of many gives rows where what it shares begins and ends, not one for each of its strings."""
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", 10)
+    rng = random.Random(5)
+    passage = prose(rng, 110)
+    rows = [(i, prose(rng, 60) + passage + prose(rng, 60), "en", "a", 0, "s", "b", "k") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    made, plain = spark.sparkContext.accumulator(0), type(df).mapInArrow
+
+    def counted(self, func, *args, **more):
+        def each(batches):
+            for b in func(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return plain(self, each, *args, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest(), r["spans"], len(r["kept"])) for r in substrings.remove_repeats(df).collect()]
+    assert sorted(out, key=repr) == by_force(rows)
+    assert made.value < 200 * 80
