@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +30,7 @@ REACH_BEFORE, REACH_AFTER = 4, 3
 PLACE = "struct<clause:int,word:int,words:int,role:string,name:string,phrase:string,negated:boolean,inner:boolean>"
 _FIELDS = [("clause", pa.int32()), ("word", pa.int32()), ("words", pa.int32()), ("role", pa.string()), ("name", pa.string()), ("phrase", pa.string()), ("negated", pa.bool_()), ("inner", pa.bool_())]
 _CLAUSES = pa.list_(pa.list_(pa.struct(_FIELDS)))
+_PROOFS = pa.list_(pa.struct([("name", pa.string()), ("strength", pa.string()), ("phrase", pa.string()), ("clause", pa.int32())]))
 
 
 class _Folds(dict):
@@ -85,17 +85,31 @@ class Lexicon:
 
 
 def _marked(found: list[dict]) -> list[dict]:
-    """A clause's places in order, with negated (by a negation near them) and inner (in a longer place of the same role and name)."""
-    end = lambda h: h["word"] + h["words"]
-    still = [h for h in found if h["role"] == STILL]
-    negations = [n for n in found if n["role"] in (BEFORE, AFTER) and not any(s["word"] <= n["word"] and end(n) <= end(s) for s in still)]
-    widest: dict[tuple, list[dict]] = {}
+    """A clause's places in order, with negated (by a negation near them) and inner (in a longer place of the same role and name).
+
+    Each place is looked at a few times, whatever else the clause has.
+    """
+    found = sorted(found, key=lambda x: (x["word"], -x["words"], x["role"], x["name"]))
+    still, first, last = -1, set(), set()  # how far what undoes a negation reaches, words at which negated places begin, and end
+    for h in found:
+        if h["role"] == STILL:
+            still = max(still, h["word"] + h["words"])
+        h["still"] = still
+    # one that begins at the same word may come after a negation in this order
+    begun = {h["word"]: h["still"] for h in found}
     for h in found:
-        widest.setdefault((h["role"], h["name"]), []).append(h)
+        if h["role"] in (BEFORE, AFTER) and begun[h["word"]] < h["word"] + h["words"]:
+            if h["role"] == BEFORE:
+                first.update(range(h["word"] + h["words"], h["word"] + h["words"] + REACH_BEFORE + 1))
+            else:
+                last.update(range(h["word"] - REACH_AFTER, h["word"] + 1))
+    reached: dict[tuple, int] = {}
     for h in found:
-        h["negated"] = any(0 <= (h["word"] - end(n) if n["role"] == BEFORE else n["word"] - end(h)) <= (REACH_BEFORE if n["role"] == BEFORE else REACH_AFTER) for n in negations)
-        h["inner"] = any(a["words"] > h["words"] and a["word"] <= h["word"] and end(h) <= end(a) for a in widest[h["role"], h["name"]])
-    return sorted(found, key=lambda x: (x["word"], -x["words"], x["role"], x["name"]))
+        del h["still"]
+        end, alike = h["word"] + h["words"], (h["role"], h["name"])
+        h["negated"], h["inner"] = h["word"] in first or end in last, reached.get(alike, -1) >= end
+        reached[alike] = max(reached.get(alike, -1), end)
+    return found
 
 
 def _read(text: str, automaton) -> list[list[dict]]:
@@ -104,12 +118,10 @@ def _read(text: str, automaton) -> list[list[dict]]:
         folded = folded_words(clause)
         if len(folded) < 3:
             continue
-        found, spaces = [], None
+        found, spaces, at = [], 0, 0
         for end, (key, words, uses) in automaton.iter(folded):
-            if spaces is None:
-                spaces = [i for i, c in enumerate(folded) if c == " "]
-            word = bisect_left(spaces, end - len(key) + 1)
-            found += [{"clause": number, "word": word, "words": words, "role": role, "name": name, "phrase": key[1:-1]} for role, name in uses]
+            spaces, at = spaces + folded.count(" ", at, end), end
+            found += [{"clause": number, "word": spaces - words, "words": words, "role": role, "name": name, "phrase": key[1:-1]} for role, name in uses]
         if found:
             out.append(_marked(found))
     return out
@@ -119,19 +131,19 @@ def _read(text: str, automaton) -> list[list[dict]]:
 AT_ONCE = 1 << 18
 
 
-def _read_batches(batches: Iterable[pa.Array], lexicon: Lexicon) -> Iterator[pa.Array]:
-    """The places of each text, in arrays of few texts, whatever a batch holds."""
+def _read_batches(batches: Iterable[pa.Array], lexicon: Lexicon, made: Callable = lambda clauses: clauses, kind: pa.DataType = _CLAUSES) -> Iterator[pa.Array]:
+    """What is `made` of the places of each text, in arrays of few texts, whatever a batch holds."""
     automaton = lexicon.automaton()
     for texts in batches:
         held, size = [], 0
         for t in texts:
             text = t.as_py() if lexicon.entries else None
             if held and size + len(text or "") > AT_ONCE:
-                yield pa.array(held, type=_CLAUSES)
+                yield pa.array(held, type=kind)
                 held, size = [], 0
-            held.append(_read(text, automaton) if text else [])
+            held.append(made(_read(text, automaton) if text else []))
             size += len(text or "")
-        yield pa.array(held, type=_CLAUSES)
+        yield pa.array(held, type=kind)
 
 
 def places(text: Column, lexicon: Lexicon) -> Column:
@@ -151,6 +163,29 @@ def places(text: Column, lexicon: Lexicon) -> Column:
     return read(text)
 
 
+def _proofs(clauses: list[list[dict]]) -> list[dict]:
+    """evidence() of a text's places."""
+    out = []
+    for clause in clauses:
+        contexts, bars = ({c["name"] for c in clause if c["role"] == role} for role in ("context", "bar"))
+        for h in clause:
+            if h["role"] not in ("explicit", "needs", "contextual") or h["negated"] or h["inner"] or h["name"] in bars or "" in bars:
+                continue
+            hint = h["role"] == "contextual" and h["name"] not in contexts and "" not in contexts
+            out.append({"name": h["name"], "strength": "hint" if hint else h["role"], "phrase": h["phrase"], "clause": h["clause"]})
+    return out
+
+
+def evidence_of(text: Column, lexicon: Lexicon) -> Column:
+    """evidence() of the places in a text, worked out where they are found, so that what counts for nothing does not leave Python."""
+
+    @F.arrow_udf("array<struct<name:string,strength:string,phrase:string,clause:int>>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _read_batches(batches, lexicon, _proofs, _PROOFS)
+
+    return read.asNondeterministic()(text)  # or else Spark reads the texts again for each filter on what is found
+
+
 def by_clause(found: Column, rule: Callable[[Column], Column]) -> Column:
     """What a rule over one clause's places gives, of all clauses in order."""
     return F.flatten(F.transform(found, rule))

@@ -83,8 +83,7 @@ SELECT doc_id, count(*) AS proofs, count(DISTINCT name) FILTER (strength <> 'hin
 def capability_evidence(spark, d):
     """Evidence of forty capabilities by thousands of phrases, with contexts, bars and negations, over all documents."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    read = docs.select("doc_id", lexicon.places(F.col("text"), benchmark_lexicon(spark, d, use)).alias("places"))
-    rows = read.select("doc_id", lexicon.evidence(F.col("places")).alias("e")).where(F.size("e") > 0)
+    rows = docs.select("doc_id", lexicon.evidence_of(F.col("text"), benchmark_lexicon(spark, d, use)).alias("e")).where(F.size("e") > 0)
     firm = F.filter("e", lambda e: e["strength"] != "hint")
     text = F.array_join(F.transform("e", lambda e: F.concat_ws(":", e["name"], e["strength"], e["phrase"], e["clause"].cast("string"))), ",")
     return rows.select(
