@@ -19,8 +19,10 @@ from bidstream.sources.shared import stored
 NAME, TITLE, DEADLINE_SECONDS, SHARE, PUBLISHED_DAYS = 95, 94, 86_400, 0.02, 45
 #: Two names of this length together are long enough for two insertions or deletions at that similarity; below it one is the most.
 LONG = 100 // (100 - NAME)
-#: Days and steps of the amounts' scale in a cell where names agree too.
-CELL = (4, 8)
+#: Days and steps of the amounts' scale in a cell where names agree too. A notice is copied to some 1.6 cells; with half of that it would be 2.3.
+CELL = (8, 16)
+#: What notices of a class agree in.
+SAME = ["source", "buyer", "title", "deadline", "amount", "currency", "lot", "ocid", "published"]
 
 
 def _may_reach(a: Column, b: Column, percent: int) -> Column:
@@ -31,10 +33,12 @@ def _may_reach(a: Column, b: Column, percent: int) -> Column:
 
 def classes(notices: DataFrame) -> DataFrame:
     """`notices` with `class_`, the least id of those with the same source, buyer, title, deadline, amount, currency, lot, procedure and day."""
-    same = ["source", "buyer", "title", "deadline", "amount", "currency", "lot", "ocid", "published"]
-    least = notices.groupBy(*same).agg(F.min("id").alias("class_"))
-    on = [notices[c].eqNullSafe(least[c]) for c in same]
-    return notices.join(least, on).select(notices["*"], "class_")
+    return _classed(notices, notices.groupBy(*SAME).agg(F.min("id").alias("class_")))
+
+
+def _classed(notices: DataFrame, least: DataFrame) -> DataFrame:
+    on = [notices[c].eqNullSafe(least[c]) for c in SAME]
+    return notices.join(least, on).select(notices["*"], least["class_"])
 
 
 def _alike_names(names: DataFrame) -> DataFrame:
@@ -84,32 +88,42 @@ def duplicate_pairs(notices: DataFrame) -> DataFrame:
         return df.withColumn(column, F.explode(F.sequence(lowest, highest)))
 
     def met(a: DataFrame, b: DataFrame, keys: list[str], width: tuple[int, int], which: Column) -> DataFrame:
-        """Pairs of a and b in one cell, with what is left to be compared letter by letter."""
+        """Pairs of a and b in one cell, with what is left to be compared letter by letter. Only what is compared is copied to the cells."""
         a = spread(spread(a, "day_", 1, width[0]), "scale_", 2, width[1]).alias("a")
         b = b.withColumns({"day_": F.floor(c("day_") / width[0]).cast("long"), "scale_": F.floor(c("scale_") / width[1]).cast("long")}).alias("b")
         on = which & anchored & vetoes & title
         for k in [*keys, "day_", "scale_"]:
             on = (c(f"a.{k}") == c(f"b.{k}")) & on
-        return a.join(b, on).select(
-            F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), c("a.buyer").alias("name_a"), c("b.buyer").alias("name_b"),
-            c("a.title").alias("title_a"), c("b.title").alias("title_b"),
-        )
+        met = a.join(b, on)
+        names = [c(f"{side}.buyer").alias(f"name_{side}") for side in "ab"] if "buyer" in a.columns else []
+        return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), *names, c("a.title").alias("title_a"), c("b.title").alias("title_b"))
 
+    # what is left after the bounds is compared letter by letter, unless it is equal
+    same = lambda x, y, least: (c(x) == c(y)) | (indel_ratio(F.when(c(x) != c(y), c(x)), c(y)) >= least)
+    compared = ["id", "source", "title", "deadline", "amount", "currency", "lot", "ocid", "published", "day_", "scale_"]
+    # names that meet here are near enough as it is, so the key alone goes with a notice
     names = _alike_names(cells.select("buyer").distinct())
-    pairs = met(cells.join(names, "buyer"), cells.withColumn("other", c("buyer")), ["other"], CELL, (c("a.buyer") != c("b.buyer")) | (c("a.id") < c("b.id")))
+    one = cells.join(names, "buyer").select(*compared, "other", (c("buyer") == c("other")).alias("own_"))
+    pairs = met(one, cells.select(*compared, c("buyer").alias("other")), ["other"], CELL, ~c("a.own_") | (c("a.id") < c("b.id")))
+    pairs = pairs.where(same("title_a", "title_b", TITLE)).select("a", "b")
     # the shortest name that may differ by more than a letter from a longer one
-    longer = cells.where(F.length("buyer") >= LONG)
+    longer = cells.where(F.length("buyer") >= LONG).select(*compared, "buyer")
     if not longer.isEmpty():
         a, b = F.length("a.buyer"), F.length("b.buyer")
         which = (c("a.buyer") != c("b.buyer")) & (a + b >= 2 * LONG) & ((a > b) | ((a == b) & (c("a.id") < c("b.id"))))
-        pairs = pairs.union(met(longer, cells.where(F.length("buyer") >= LONG - 1), [], (1, 1), which & _may_reach(c("a.buyer"), c("b.buyer"), NAME)))
-    # what is left after the bounds is compared letter by letter, unless it is equal
-    same = lambda x, y, least: (c(x) == c(y)) | (indel_ratio(F.when(c(x) != c(y), c(x)), c(y)) >= least)
-    return pairs.where(same("name_a", "name_b", NAME) & same("title_a", "title_b", TITLE)).select("a", "b").distinct()
+        shorter = cells.where(F.length("buyer") >= LONG - 1).select(*compared, "buyer")
+        found = met(longer, shorter, [], (1, 1), which & _may_reach(c("a.buyer"), c("b.buyer"), NAME))
+        pairs = pairs.union(found.where(same("name_a", "name_b", NAME) & same("title_a", "title_b", TITLE)).select("a", "b"))
+    return pairs  # each once: a notice is in one cell, which another's copies meet once, and names are near in one order
 
 
 def duplicate_groups(notices: DataFrame) -> DataFrame:
     """(id, group): the least id of the notices that are nearly the same as it, by way of others too."""
-    known = stored(classes(notices), "duplicate-classes")
-    grouped = components(duplicate_pairs(known)).withColumnRenamed("node", "class_")
+    firsts = stored(notices.groupBy(*SAME).agg(F.min("id").alias("id"), F.count("*").alias("n_")), "duplicate-classes")
+    grouped = components(duplicate_pairs(firsts.withColumn("class_", F.col("id")))).withColumnRenamed("node", "class_")
+    known = firsts.select("id", F.col("id").alias("class_"))
+    # notices are read again, to be told their class, only where classes have others than the first
+    several = firsts.where("n_ > 1").select(*SAME, F.col("id").alias("class_"))
+    if not several.isEmpty():
+        known = known.union(_classed(notices, several).where("id <> class_").select("id", "class_"))
     return known.join(grouped, "class_", "left").select("id", F.coalesce("component", "class_").alias("group"))

@@ -33,11 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("c").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("c").alias("was"), F.least("c", "near").alias("c"))
         lower = stored(lower, "labels")
+        if not lower.where("c != was").limit(1).count():  # no neighbour has a lesser one, so they are equal throughout
+            return lower.select("node", F.col("c").alias("component"))
         jump = lower.select(F.col("node").alias("c"), F.col("c").alias("next"))
-        new = stored(lower.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("c")), "labels")
-        labels = new.select("node", "c")
-        if not new.where("c != was").limit(1).count():
-            return labels.withColumnRenamed("c", "component")
+        labels = stored(lower.join(jump, "c", "left").select("node", F.least("c", F.coalesce("next", "c")).alias("c")), "labels")
 
 
 def key_components(keyed: DataFrame, node: str, key: str) -> DataFrame:
